@@ -22,12 +22,6 @@ def uuid_sql(expr: str) -> str:
     return "concat(" + ", '-', ".join(f"substr(md5({expr}), {a}, {n})" for a, n in cuts) + ")"
 
 
-def text_of(expr: str) -> str:
-    return f"CAST({expr} AS STRING)"
-
-
-ORG = uuid_sql("concat('org', CAST({} % 4 AS STRING))")
-
 VIEWS: dict[str, str] = {
     # --- tracing -------------------------------------------------------------------------------
     "registry": """
@@ -152,6 +146,48 @@ VIEWS: dict[str, str] = {
                CASE WHEN CAST(FLOOR(l_quantity) AS INT) % 10 = 9 AND l_tax > 0.03 THEN 'embedding failed'
                     WHEN l_tax > 0.05 THEN 'limit.rss' ELSE 'limit.scope' END AS limitation
         FROM {lineitem}""",
+    "run_rows": """
+        SELECT concat('run', CAST(l_orderkey % 3 AS STRING)) AS run_id,
+               concat('prof', CAST(l_partkey % 5 AS STRING)) AS profile_id,
+               concat('cand', CAST(l_partkey % 5 AS STRING)) AS candidate_id,
+               concat('fx', CAST(l_suppkey % 7 AS STRING)) AS fixture_id, l_linenumber - 1 AS page_index,
+               CASE l_orderkey % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'jpeg-q70'
+                                   WHEN 2 THEN 'resize-s0p75' ELSE 'crop-f0p25' END AS attack_id,
+               CASE WHEN l_suppkey % 7 >= 5 THEN NULL
+                    ELSE concat('id-', CAST(l_suppkey % 7 AS STRING), '-', CAST(l_linenumber AS STRING)) END AS expected_id,
+               CASE WHEN l_suppkey % 7 >= 5 OR (l_orderkey % 3 = 0 AND l_partkey % 5 = 4 AND l_discount > 0.085)
+                      OR (l_orderkey % 3 = 2 AND l_partkey % 5 = 0 AND l_quantity > 49) THEN NULL
+                    ELSE concat('id-', CAST(l_suppkey % 7 AS STRING), '-', CAST(l_linenumber AS STRING)) END AS decoded_id,
+               CASE WHEN l_orderkey % 3 = 2 AND l_partkey % 5 = 0 AND l_quantity > 49 THEN 'execution_error'
+                    WHEN l_suppkey % 7 >= 5 OR (l_orderkey % 3 = 0 AND l_partkey % 5 = 4 AND l_discount > 0.085)
+                      THEN 'not_detected' ELSE 'decoded' END AS reason,
+               l_tax < 0.055 AS eligible,
+               38.0e0 + (l_suppkey % 7 + l_linenumber) % 8 + (l_partkey % 5) / 10.0e0 AS psnr_db,
+               0.95e0 + ((l_suppkey % 7 + l_linenumber) % 8) / 1000.0e0 + (l_partkey % 5) / 1000.0e0 AS ssim,
+               l_extendedprice / 100.0e0 AS elapsed_ms
+        FROM {lineitem}""",
+    "planned_rows": """
+        SELECT DISTINCT concat('fx', CAST(l_orderkey AS STRING)) AS fixture_id, l_linenumber - 1 AS page_index,
+               concat('prof', CAST(l_partkey % 2 AS STRING)) AS profile_id,
+               concat('atk', CAST(l_suppkey % 2 AS STRING)) AS attack_id,
+               SHA256(concat('fx', CAST(l_orderkey AS STRING), chr(0), CAST(l_linenumber - 1 AS STRING), chr(0), 'prof',
+                      CAST(l_partkey % 2 AS STRING), chr(0), 'atk', CAST(l_suppkey % 2 AS STRING))) AS row_id,
+               concat('cand', CAST(l_partkey % 2 AS STRING)) AS candidate_id,
+               concat('id-', CAST(l_orderkey AS STRING)) AS expected_id
+        FROM {lineitem}""",
+    "observed_rows": """
+        SELECT concat('fx', CAST(l_orderkey AS STRING)) AS fixture_id,
+               l_linenumber - 1 + CASE WHEN l_tax > 0.065 AND l_tax < 0.075 THEN 10 ELSE 0 END AS page_index,
+               concat('prof', CAST(l_partkey % 2 AS STRING)) AS profile_id,
+               concat('atk', CAST(l_suppkey % 2 AS STRING)) AS attack_id,
+               SHA256(concat('fx', CAST(l_orderkey AS STRING), chr(0), CAST(l_linenumber - 1 AS STRING), chr(0), 'prof',
+                      CAST(l_partkey % 2 AS STRING), chr(0), 'atk', CAST(l_suppkey % 2 AS STRING),
+                      CASE WHEN l_discount > 0.095 THEN 'x' ELSE '' END)) AS row_id,
+               concat('cand', CAST(l_partkey % 2 + CASE WHEN l_discount > 0.085 AND l_discount < 0.095 THEN 1 ELSE 0 END
+                      AS STRING)) AS candidate_id,
+               CASE WHEN l_discount > 0.075 AND l_discount < 0.085 THEN NULL
+                    ELSE concat('id-', CAST(l_orderkey AS STRING)) END AS expected_id
+        FROM {lineitem} WHERE l_tax < 0.075""",
     "envelope_rows": """
         SELECT l_orderkey AS row_key, concat('atk', CAST(l_suppkey % 13 AS STRING)) AS attack,
                l_linestatus = 'O' AS positive,
@@ -269,6 +305,54 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     "hits": """
         SELECT event_type AS key, CAST(ts AS TIMESTAMP) AS ts, event_id FROM {events}""",
+    "issuance_recipients": """
+        SELECT concat('iss-', CAST(o_orderkey AS STRING)) AS issuance_id,
+               concat('user', CAST(c_custkey AS STRING), '@example.org') AS recipient_email, c_name AS recipient_name
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    "verification_states": """
+        SELECT concat('ver-', CAST(o_orderkey AS STRING)) AS verification_id,
+               CASE o_orderstatus WHEN 'F' THEN 'VERIFIED_INTACT' WHEN 'O' THEN 'NO_WATERMARK' ELSE 'PARTIAL_EVIDENCE' END
+                 AS verification_status
+        FROM {orders}""",
+    "known_recipients": """
+        SELECT concat('org', CAST(s_nationkey % 4 AS STRING)) AS organization_id,
+               concat('user', CAST(s_suppkey % 50 AS STRING), '@Example.org') AS external_reference,
+               max(CASE WHEN s_acctbal > 3000 THEN s_name ELSE ' ' END) AS display_name
+        FROM {supplier} GROUP BY 1, 2""",
+    "cancel_requests": """
+        SELECT l_partkey AS request_id, l_linenumber AS line, l_orderkey AS job_id, l_suppkey AS actor_id,
+               concat('org', CAST(o_custkey % 4 + CASE WHEN l_tax > 0.075 THEN 1 ELSE 0 END AS STRING)) AS organization_id,
+               CASE l_returnflag WHEN 'R' THEN 'auditor' WHEN 'A' THEN 'administrator'
+                                 ELSE CASE WHEN l_linestatus = 'O' THEN 'issuer' ELSE 'verifier' END END AS role,
+               CASE WHEN l_returnflag = 'N' AND l_discount > 0.02 THEN o_custkey ELSE l_suppkey END AS as_owner,
+               concat('corr-', CAST(l_partkey % 10 AS STRING)) AS correlation_id
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "cancel_audit": """
+        SELECT concat('org', CAST(o_custkey % 4 AS STRING)) AS organization_id, l_suppkey AS actor_id,
+               'job.cancel_requested' AS action, l_orderkey AS target_id,
+               concat('corr-', CAST(l_partkey % 10 AS STRING)) AS correlation_id, 'succeeded' AS outcome
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_discount < 0.055""",
+    "attempt_log": """
+        SELECT l_orderkey AS target_id, CAST(l_shipdate AS TIMESTAMP) AS at, l_partkey AS attempt_key,
+               l_discount < 0.085 AS owner_exists, l_tax < 0.065 AS eligible, l_quantity < 45 AS key_ok,
+               l_returnflag <> 'R' AS storage_ok
+        FROM {lineitem}""",
+    "messages": """
+        SELECT o_orderkey AS job_key, CASE WHEN o_custkey % 17 = 0 THEN '{"schema_version":1,"message_type":' ELSE
+          concat('{"schema_version":', CASE WHEN o_custkey % 19 = 0 THEN '2' ELSE '1' END,
+            ',"message_type":"', CASE WHEN o_orderkey % 2 = 0 THEN 'issuance.requested' ELSE 'verification.requested' END,
+            '","message_id":"', CASE WHEN o_custkey % 23 = 0 THEN 'not-an-id' ELSE UUID_M END, '","job_id":"', UUID_J,
+            '","attempt":', CAST(o_orderkey % 4 AS STRING),
+            ',"issuance_id":', CASE WHEN o_orderkey % 2 = 0 OR o_custkey % 29 = 0 THEN concat('"', UUID_I, '"') ELSE 'null' END,
+            ',"verification_id":', CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE concat('"', UUID_V, '"') END,
+            ',"input_object_key":"', CASE o_custkey % 13 WHEN 0 THEN 'https://x/y' WHEN 1 THEN '/abs/key' WHEN 2 THEN 'a/../b'
+              WHEN 3 THEN 'a/b?sig=1' ELSE concat('inputs/', CAST(o_orderkey AS STRING), '.bin') END,
+            '","input_sha256":"', CASE WHEN o_custkey % 7 = 0 THEN upper(SHA256(CAST(o_orderkey AS STRING)))
+                                       ELSE SHA256(CAST(o_orderkey AS STRING)) END,
+            '","deadline_at":"', replace(CAST(o_orderdate AS STRING), ' ', 'T'), CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'Z' END,
+            '","correlation_id":"', UUID_C, '"', CASE WHEN o_custkey % 31 = 0 THEN ',"extra":1' ELSE '' END, '}') END AS body,
+          CAST(o_orderdate AS TIMESTAMP) AS received_at
+        FROM {orders}""",
     "page_sizes": """
         SELECT l_orderkey AS document_id, l_partkey AS page_index, l_linenumber AS line,
                CAST(FLOOR(l_quantity * 100) AS BIGINT) AS width, CAST(FLOOR(l_extendedprice / 10) AS BIGINT) AS height
@@ -277,6 +361,9 @@ VIEWS: dict[str, str] = {
         SELECT l.vec_id AS pair_id, l.embedding AS a, r.embedding AS b
         FROM {embeddings} l JOIN {embeddings} r ON r.vec_id = l.vec_id + 1""",
 }
+for _mark, _seed in (("UUID_M", "m"), ("UUID_J", "j"), ("UUID_I", "i"), ("UUID_V", "v"), ("UUID_C", "c")):
+    VIEWS["messages"] = VIEWS["messages"].replace(_mark, uuid_sql(f"concat('{_seed}', CAST(o_orderkey AS STRING))"))
+
 _PLACE = re.compile(r"\{([a-z]+)\}")
 
 

@@ -28,6 +28,11 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def quote(sql: str) -> str:
+    """``at`` is a reserved word in the checking database."""
+    return re.sub(r"\bat\b", '"at"', sql)
+
+
 def with_views(sql: str) -> str:
     """Prefix the views a statement names as common table expressions."""
     names = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
@@ -35,9 +40,11 @@ def with_views(sql: str) -> str:
     recursive = body.upper().startswith("WITH RECURSIVE")
     body = re.sub(r"^WITH(\s+RECURSIVE)?\s", "", body, flags=re.I) if body.upper().startswith("WITH") else None
     heads = [f"{name} AS ({view_sql(name)})" for name in names]
+    heads = [quote(head) for head in heads]
     if body is not None:
+        body = quote(body)
         return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(heads + [body])
-    return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + sql.strip()
+    return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + quote(sql.strip())
 
 
 def query(name: str, oracle: str | None = None):
