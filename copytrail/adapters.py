@@ -353,16 +353,121 @@ VIEWS: dict[str, str] = {
             '","correlation_id":"', UUID_C, '"', CASE WHEN o_custkey % 31 = 0 THEN ',"extra":1' ELSE '' END, '}') END AS body,
           CAST(o_orderdate AS TIMESTAMP) AS received_at
         FROM {orders}""",
+    "upload_intents": """
+        SELECT l_orderkey AS intent_id, l_linenumber AS line, l_partkey AS part,
+               CASE l_suppkey % 4 WHEN 0 THEN 'administrator' WHEN 1 THEN 'issuer' WHEN 2 THEN 'verifier' ELSE 'auditor' END AS role,
+               CASE WHEN l_tax > 0.075 THEN 'other' WHEN l_partkey % 2 = 0 THEN 'issuance_input' ELSE 'verification_input' END AS kind,
+               CASE WHEN l_discount > 0.095 THEN 'text/html' WHEN l_linenumber % 2 = 0 THEN 'application/pdf' ELSE 'image/png' END
+                 AS content_type,
+               CASE WHEN l_quantity > 48 THEN 0 ELSE CAST(FLOOR(l_extendedprice * 1000) AS BIGINT) + CAST(FLOOR(l_quantity) AS BIGINT) * 100000 END
+                 AS size_bytes,
+               CASE WHEN l_quantity < 3 THEN 'abc' ELSE SHA256(CAST(l_orderkey AS STRING)) END AS sha256
+        FROM {lineitem}""",
+    "file_names": """
+        SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN concat('C:', chr(92), 'temp', chr(92)) WHEN 1 THEN 'dir/sub/' WHEN 2 THEN ' ..' WHEN 3 THEN ' "<x>|' ELSE '' END,
+                 text, CASE doc_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '' WHEN 3 THEN '.' WHEN 4 THEN '.toolongext' ELSE '.jpg ' END)
+                 AS name,
+               substr(SHA256(CAST(doc_id AS STRING)), 1, 32) AS issuance_id,
+               CASE doc_id % 3 WHEN 0 THEN 'outputs/a.png' WHEN 1 THEN 'outputs/a.pdf' ELSE NULL END AS object_key
+        FROM {documents}""",
+    "storage_keys": """
+        SELECT o_orderkey AS object_key_id, CASE WHEN o_orderkey % 2 = 0 THEN 'issuance' ELSE 'verification' END AS purpose,
+               UUID_O AS organization_id, UUID_I AS object_id,
+               CASE o_custkey % 8
+                 WHEN 0 THEN concat('uploads/orphan/', CASE WHEN o_orderkey % 2 = 0 THEN 'issuance' ELSE 'verification' END, '_input/', UUID_O, '/',
+                                    replace(UUID_I, '-', ''), '.bin')
+                 WHEN 1 THEN concat('inputs/', CASE WHEN o_orderkey % 3 = 0 THEN 'issuance' ELSE 'verification' END, '/', UUID_O, '/', UUID_I, '.bin')
+                 WHEN 2 THEN concat('outputs/issuance/', UUID_O, '/', UUID_I, CASE WHEN o_orderkey % 3 = 0 THEN '.png' ELSE '.pdf' END)
+                 WHEN 3 THEN concat('inputs/issuance/', UUID_O, '/', UUID_M, '.bin') WHEN 4 THEN concat('inputs/issuance/../', UUID_O, '.bin')
+                 WHEN 5 THEN concat('outputs/issuance/', upper(UUID_O), '/', UUID_I, '.pdf') WHEN 6 THEN 'https://bucket/key'
+                 ELSE concat('inputs/verification/', UUID_O, '/', UUID_I, '.bin') END AS key,
+               concat('inputs/', CASE WHEN o_custkey % 5 = 0 THEN 'issuance' ELSE 'verification' END, '/', UUID_O, '/', UUID_I, '.bin') AS target_key,
+               CASE o_custkey % 8 WHEN 0 THEN 'orphan' WHEN 2 THEN 'issuance_output' WHEN 7 THEN 'verification_input' ELSE 'stale_promotion' END
+                 AS category
+        FROM {orders}""",
+    "audit_metadata": """
+        SELECT event_id, concat('{"kind":', CASE user_id % 5 WHEN 0 THEN '"issuance_input"' WHEN 1 THEN '["a"]' WHEN 2 THEN 'null'
+                 WHEN 3 THEN '"https://host/path"' ELSE '"//host/path"' END,
+                 ',"Role":"x","role":"', event_type, '","object_size":', CAST(user_id AS STRING), ',"attempt":',
+                 CASE WHEN user_id % 2 = 0 THEN 'true' ELSE '1' END, ',"status":"', repeat('s', CAST(user_id % 7 * 60 AS INT)),
+                 '","secret":"token","extra":', props, '}') AS metadata_json
+        FROM {events}""",
+    "evidence": """
+        SELECT l_orderkey AS evidence_id, l_linenumber AS line, l_partkey AS part,
+               concat('{"algorithm_label":"', CASE l_partkey % 3 WHEN 0 THEN 'integrity_release_v1' WHEN 1 THEN
+                 'experimental_unreleased_fingerprint_v2' ELSE 'secret_label' END, '","decode_status":"',
+                 CASE l_returnflag WHEN 'R' THEN 'decoded' WHEN 'A' THEN 'cancelled' ELSE 'unknown' END, '","fingerprint_confidence":',
+                 CASE WHEN l_tax > 0.065 THEN '1.5' WHEN l_tax > 0.055 THEN '"0.5"' ELSE CAST(l_discount AS STRING) END,
+                 ',"integrity_score":', CASE WHEN l_linestatus = 'O' THEN 'null' ELSE CAST(l_tax AS STRING) END,
+                 ',"valid_vote_count":', CAST(CAST(FLOOR(l_quantity) AS INT) % 5 - 1 AS STRING),
+                 ',"exact_file_hash_match":', CASE l_returnflag WHEN 'R' THEN 'true' WHEN 'A' THEN 'false' ELSE 'null' END,
+                 ',"suspicious_regions":[{"x":0.1,"y":0.2,"width":', CASE WHEN l_discount > 0.05 THEN '0' ELSE '0.25' END,
+                 ',"height":0.5},{"x":0.5,"y":0.5,"width":0.1,"height":0.1', CASE WHEN l_tax > 0.045 THEN ',"z":1' ELSE '' END, '}]',
+                 ',"limitations":["a.b","Bad Value","c_', l_linenumber, '"],"internal":"x"}') AS body,
+               concat('{"processing_ms":', CAST(l_partkey AS STRING), ',"pages_processed":', CAST(CAST(FLOOR(l_quantity) AS INT) - 10 AS STRING),
+                 ',"peak_rss_bytes":"many","other":5}') AS metrics
+        FROM {lineitem}""",
+    "manifest_rows": """
+        SELECT o_orderkey AS manifest_id, CAST(CASE WHEN o_custkey % 11 = 0 THEN 2 ELSE 1 END AS INT) AS schema_version,
+               UUID_I AS issuance_id, CASE WHEN o_custkey % 13 = 0 THEN upper(UUID_V) ELSE UUID_V END AS document_id,
+               CASE WHEN o_custkey % 7 = 0 THEN 'recipient' ELSE UUID_M END AS recipient_id,
+               concat(replace(CAST(o_orderdate AS STRING), ' ', 'T'), CASE o_custkey % 9 WHEN 0 THEN '' WHEN 1 THEN '.25Z' ELSE 'Z' END) AS issued_at,
+               SHA256(CAST(o_orderkey AS STRING)) AS source_sha256,
+               CASE WHEN o_custkey % 17 = 0 THEN 'ABC' ELSE SHA256(CAST(o_custkey AS STRING)) END AS output_sha256,
+               CASE WHEN o_custkey % 19 = 0 THEN 'Bad Algorithm' ELSE 'none' END AS fingerprint_algorithm,
+               'integrity_release_v1' AS integrity_algorithm,
+               CASE WHEN o_custkey % 23 = 0 THEN '' ELSE concat('key', CAST(o_custkey AS STRING)) END AS signing_key_id,
+               'policy-1' AS retention_policy_id
+        FROM {orders}""",
+    "measurements": """
+        SELECT l_orderkey AS measure_id, l_linenumber AS line, l_partkey AS part,
+               CASE WHEN l_suppkey % 7 >= 5 THEN 'negative_external' ELSE 'clean_image' END AS fixture_kind,
+               CASE WHEN l_tax > 0.075 THEN 1.5e0 ELSE l_discount * 10 END AS confidence,
+               CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_quantity > 48 THEN -0.1e0 ELSE l_discount END AS bit_error_rate,
+               CASE WHEN l_returnflag = 'A' THEN 'Infinity' WHEN l_quantity < 3 THEN 'high' ELSE '41.5' END AS psnr_db,
+               0.9e0 + l_tax AS ssim, CASE WHEN l_partkey % 11 = 0 THEN 65535.0e0 ELSE 255.0e0 END AS quality_data_range,
+               CASE WHEN l_suppkey % 6 = 5 THEN 'negative_control_original_vs_unmodified' ELSE 'original_vs_watermarked_before_attack' END
+                 AS quality_scope,
+               l_extendedprice - 1000 AS elapsed_ms, CAST(CASE WHEN l_discount > 0.095 THEN 10 ELSE 0 END AS BIGINT) AS temp_peak_bytes,
+               CASE WHEN l_linenumber = 7 THEN 'maybe' ELSE 'eligible' END AS eligibility_reason
+        FROM {lineitem}""",
+    "issue_requests": """
+        SELECT c_custkey AS request_id, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'id' WHEN 2 THEN 'id' ELSE '' END AS recipient_id,
+               CASE c_custkey % 4 WHEN 0 THEN concat(' ', c_name, '@example.org ') WHEN 1 THEN NULL WHEN 2 THEN 'x@example.org' ELSE '' END
+                 AS recipient_email, concat(' ', c_name, ' ') AS recipient_name
+        FROM {customer}""",
+    "outbox": """
+        SELECT o_orderkey AS job_key, UUID_J AS job_id, concat('org', CAST(o_custkey % 4 AS STRING)) AS organization_id,
+               CAST(o_orderkey % 4 AS INT) AS attempt, UUID_M AS message_id,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'issuance' ELSE 'verification' END AS kind,
+               CASE WHEN o_orderkey % 2 = 0 THEN UUID_I ELSE NULL END AS issuance_id,
+               CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE UUID_V END AS verification_id,
+               concat('inputs/', CAST(o_orderkey AS STRING), '.bin') AS input_object_key,
+               CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE SHA256(CAST(o_orderkey AS STRING)) END AS input_sha256,
+               concat(replace(CAST(o_orderdate AS STRING), ' ', 'T'), 'Z') AS deadline_text, UUID_C AS correlation_id
+        FROM {orders}""",
+    "outbox_events": """
+        SELECT UUID_J AS job_id, concat('org', CAST((CASE WHEN o_custkey % 37 = 0 THEN o_custkey + 1 ELSE o_custkey END) % 4 AS STRING)) AS organization_id,
+               CAST(o_orderkey % 4 AS INT) AS attempt, UUID_M AS message_id,
+               concat(CASE WHEN o_orderkey % 2 = 0 THEN 'issuance' ELSE 'verification' END, '.requested') AS topic,
+               CASE WHEN o_custkey % 41 = 0 THEN CAST(o_orderdate AS TIMESTAMP) ELSE NULL END AS published_at, m.body AS payload
+        FROM {orders} JOIN (MESSAGES) m ON m.job_key = o_orderkey
+        UNION ALL
+        SELECT UUID_J, 'org0', 0, concat(UUID_M, '-2'), 'issuance.requested', NULL, '{}' FROM {orders} WHERE o_totalprice > 450000""",
     "page_sizes": """
-        SELECT l_orderkey AS document_id, l_partkey AS page_index, l_linenumber AS line,
+        SELECT l_orderkey AS document_id, l_partkey AS page_index, l_linenumber AS line, CAST(l_extendedprice * 1500 AS BIGINT) AS document_bytes,
+               l_linenumber * 8 AS document_pages,
                CAST(FLOOR(l_quantity * 100) AS BIGINT) AS width, CAST(FLOOR(l_extendedprice / 10) AS BIGINT) AS height
         FROM {lineitem}""",
     "vectors": """
         SELECT l.vec_id AS pair_id, l.embedding AS a, r.embedding AS b
         FROM {embeddings} l JOIN {embeddings} r ON r.vec_id = l.vec_id + 1""",
 }
-for _mark, _seed in (("UUID_M", "m"), ("UUID_J", "j"), ("UUID_I", "i"), ("UUID_V", "v"), ("UUID_C", "c")):
-    VIEWS["messages"] = VIEWS["messages"].replace(_mark, uuid_sql(f"concat('{_seed}', CAST(o_orderkey AS STRING))"))
+VIEWS["outbox_events"] = VIEWS["outbox_events"].replace("MESSAGES", VIEWS["messages"])
+for _name in ("messages", "storage_keys", "manifest_rows", "outbox", "outbox_events"):
+    for _mark in "MJIVC":
+        VIEWS[_name] = VIEWS[_name].replace(f"UUID_{_mark}", uuid_sql(f"concat('{_mark}', CAST(o_orderkey AS STRING))"))
+    VIEWS[_name] = VIEWS[_name].replace("UUID_O", uuid_sql("concat('org', CAST(o_custkey % 4 AS STRING))"))
 
 _PLACE = re.compile(r"\{([a-z]+)\}")
 
