@@ -353,6 +353,17 @@ VIEWS: dict[str, str] = {
             '","correlation_id":"', UUID_C, '"', CASE WHEN o_custkey % 31 = 0 THEN ',"extra":1' ELSE '' END, '}') END AS body,
           CAST(o_orderdate AS TIMESTAMP) AS received_at
         FROM {orders}""",
+    "sources": """
+        SELECT doc_id AS ordinal, concat('doc-', CAST(doc_id AS STRING)) AS fixture_id,
+               CASE lang WHEN 'en' THEN 'clean_pdf' WHEN 'fr' THEN 'negative_external' WHEN 'de' THEN 'clean_image'
+                         ELSE 'tamper_ground_truth' END AS kind,
+               SHA256(text) AS sha256, CAST(1 + FLOOR(n_chars / 2000) AS INT) AS pages
+        FROM {documents}""",
+    "small_sources": """
+        SELECT item_id AS ordinal, concat('item-', CAST(item_id AS STRING)) AS fixture_id,
+               CASE WHEN length(text) % 4 = 0 THEN 'negative_external' ELSE 'clean_image' END AS kind,
+               SHA256(text) AS sha256, CAST(1 + FLOOR(length(text) / 400) AS INT) AS pages
+        FROM {benchmark}""",
     "upload_intents": """
         SELECT l_orderkey AS intent_id, l_linenumber AS line, l_partkey AS part,
                CASE l_suppkey % 4 WHEN 0 THEN 'administrator' WHEN 1 THEN 'issuer' WHEN 2 THEN 'verifier' ELSE 'auditor' END AS role,
@@ -480,13 +491,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One adapter view over the tables of a folder."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same table as a stream of its files, admitted a bounded number at a time."""
+    schema = read_table(spark, folder, name).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+
+
+def view(spark: SparkSession, folder: str, name: str, streaming: bool = False) -> DataFrame:
+    """One adapter view over the tables of a folder, or over streams of them."""
     sql = _spark_text(VIEWS[name])
-    used = {table: read_table(spark, folder, table) for table in set(_PLACE.findall(sql)) if table in TABLES}
+    read = stream_table if streaming else read_table
+    used = {table: read(spark, folder, table) for table in set(_PLACE.findall(sql)) if table in TABLES}
     # JSON literals hold braces, so the source names are filled by hand instead of by str.format.
     for table, frame in used.items():
-        alias = f"src_{table}"
+        alias = f"stream_{table}" if streaming else f"src_{table}"
         frame.createOrReplaceTempView(alias)
         sql = sql.replace("{" + table + "}", alias)
     return spark.sql(sql)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copytrail.adapters import VIEWS, view, view_sql
+from copytrail.adapters import VIEWS, read_table, stream_table, view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,13 @@ class Inputs:
         raise AttributeError(name)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, self.folder, name)
+
+    def stream(self, name: str) -> DataFrame:
+        """A view or a table as a stream."""
+        if name in VIEWS:
+            return view(self.spark, self.folder, name, streaming=True)
+        return stream_table(self.spark, self.folder, name)
 
 
 def quote(sql: str) -> str:

@@ -11,20 +11,25 @@ from copytrail.functions.geometry import crop_geometry
 from copytrail.skew import lookup_join, rank_in_key
 
 
-def union_iou(rects: DataFrame, cases: DataFrame, tiles: int = 8) -> DataFrame:
+def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
     """Intersection over union of two rectangle unions per case; both empty is 1, one empty is 0.
 
-    The unit square is cut into tiles and rectangles are clipped to them and deduplicated, so a case with
-    very many rectangles is spread over tiles and a tile fully covered many times keeps one row. Inside a
-    tile, vertical slabs between neighbouring edges are measured by merging their intervals in order.
+    The unit square of a case is cut into tiles, the more the more rectangles it has. Rectangles are clipped
+    to tiles and deduplicated, so a huge case is spread over thousands of tiles and a tile that many
+    rectangles cover fully keeps one row. Inside a tile, vertical slabs between neighbouring edges are
+    measured by merging their intervals in order.
     """
     right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
 
     def span(low: Column, high: Column) -> Column:
-        return F.sequence(F.floor(low * tiles).cast("int"), F.greatest(F.floor(low * tiles), F.ceil(high * tiles) - 1).cast("int"))
-
-    step = F.lit(1.0 / tiles)
-    boxes = rects.select("case_id", "side", F.col("x").alias("x0"), right.alias("x1"), F.col("y").alias("y0"), bottom.alias("y1"),
+        first = F.floor(low * F.col("_t"))
+        return F.sequence(first.cast("int"), F.greatest(first, F.ceil(high * F.col("_t")) - 1).cast("int"))
+
+    counts = rects.groupBy("case_id").agg(F.count("*").alias("_n"))
+    tiles = F.when(F.col("_n") <= 16, 1).when(F.col("_n") <= 256, 4).when(F.col("_n") <= 4096, 16).otherwise(64)
+    sized = lookup_join(rects.select("case_id", "side", "x", "y", "width", "height"), counts, ["case_id"], "inner").withColumn("_t", tiles)
+    step = F.lit(1.0) / F.col("_t")
+    boxes = sized.select("case_id", "side", "_t", F.col("x").alias("x0"), right.alias("x1"), F.col("y").alias("y0"), bottom.alias("y1"),
                          F.explode(span(F.col("x"), right)).alias("i")).select(
         "*", F.explode(span(F.col("y0"), F.col("y1"))).alias("j")).select(
         "case_id", "side", "i", "j", F.greatest("x0", F.col("i") * step).alias("x0"), F.least("x1", (F.col("i") + 1) * step).alias("x1"),

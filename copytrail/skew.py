@@ -62,16 +62,25 @@ def rank_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buc
         "_bucket", "_start", "_pos")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, bucket: Column, name: str) -> DataFrame:
-    """Running sum of ``value`` within a key, in the two steps of ``rank_in_key``."""
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, bucket: Column, reduce) -> DataFrame:
     marked = df.withColumn("_bucket", bucket)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
+    totals = marked.groupBy(*keys, "_bucket").agg(reduce(value).alias("_total"))
+    starts = totals.withColumn("_start", reduce("_total").over(before)).drop("_total")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.withColumn("_inner", F.sum(value).over(inside))
-    return summed.join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_start") + F.col("_inner")).drop(
-        "_bucket", "_start", "_inner")
+    return marked.withColumn("_inner", reduce(value).over(inside)).join(starts, [*keys, "_bucket"])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, bucket: Column, name: str) -> DataFrame:
+    """Running sum of ``value`` within a key, in the two steps of ``rank_in_key``."""
+    return _running(df, keys, order, value, bucket, F.sum).withColumn(
+        name, F.coalesce("_start", F.lit(0)) + F.col("_inner")).drop("_bucket", "_start", "_inner")
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, bucket: Column, name: str) -> DataFrame:
+    """Running maximum of ``value`` within a key, in the two steps of ``rank_in_key``."""
+    return _running(df, keys, order, value, bucket, F.max).withColumn(
+        name, F.greatest("_start", "_inner")).drop("_bucket", "_start", "_inner")
 
 
 def previous_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], bucket: Column) -> DataFrame:
