@@ -48,38 +48,31 @@ def _(i):
 DAYS = 30
 
 
-def _millis_floor(stamp):
-    return f"date_trunc('millisecond', {stamp})"
-
-
 @query("deadline_monitor", f"""
-    WITH ev AS (SELECT o_orderkey AS job_id, o_orderdate AS at, true AS opened FROM orders UNION ALL SELECT l_orderkey, l_shipdate, false FROM lineitem),
-    mark AS (SELECT max(at) - INTERVAL '10' MINUTE AS w FROM ev),
-    due AS (SELECT job_id, min(at) + INTERVAL '{DAYS}' DAY AS due_at FROM ev WHERE opened GROUP BY 1)
-    SELECT d.job_id, {ts_sql('d.due_at', 'due_at')}, 'failed' AS new_status, 'DEMO_JOB_DEADLINE_EXCEEDED' AS error_code FROM due d
-    WHERE d.due_at <= (SELECT w FROM mark) AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.job_id = d.job_id AND NOT opened AND ev.at < d.due_at)""")
+    WITH mark AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL '10' MINUTE AS w)
+    SELECT o_orderkey AS job_id, {ts_sql(f"o_orderdate + INTERVAL '{DAYS}' DAY", 'due_at')}, 'failed' AS new_status,
+      'DEMO_JOB_DEADLINE_EXCEEDED' AS error_code FROM orders
+    WHERE o_orderdate + INTERVAL '{DAYS}' DAY <= (SELECT w FROM mark) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey
+      AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL '{DAYS}' DAY)""")
 def _(i):
-    opened = i.stream("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"), F.lit(True).alias("opened"))
-    closed = i.stream("lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").cast("timestamp").alias("at"), F.lit(False).alias("opened"))
-    out = drain(monitors.deadline_monitor(opened.unionByName(closed), DAYS * 86400), "deadline")
+    created = i.stream("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    results = i.stream("lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    out = drain(monitors.deadline_monitor(created, results, DAYS * 86400), "deadline")
     return out.select("job_id", ts("due_at"), "new_status", "error_code")
 
 
 @query("orphan_uploads", f"""
-    WITH ev AS (SELECT o_orderkey AS k, o_orderdate AS at, true AS opened FROM orders
-                UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL '1' HOUR * (o_custkey % 48), false FROM orders),
-    mark AS (SELECT max(at) - INTERVAL '10' MINUTE AS w FROM ev)
+    WITH mark AS (SELECT least(max(o_orderdate), max(o_orderdate + INTERVAL '1' HOUR * (o_custkey % 48))) - INTERVAL '10' MINUTE AS w FROM orders)
     SELECT o_orderkey AS upload_id, {ts_sql("o_orderdate + INTERVAL '24' HOUR", 'eligible_at')} FROM orders
     WHERE o_custkey % 48 >= 24 AND o_orderdate + INTERVAL '24' HOUR <= (SELECT w FROM mark)""")
 def _(i):
     orders = i.stream("orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_custkey")
-    both = orders.withColumn("opened", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "at", F.expr("CASE WHEN opened THEN at ELSE at + INTERVAL '1' HOUR * (o_custkey % 48) END"))
-    return drain(monitors.orphan_uploads(both.select("key", "at", "opened")), "orphans").select("upload_id", ts("eligible_at"))
+    deleted = orders.select("key", F.expr("at + INTERVAL '1' HOUR * (o_custkey % 48)").alias("at"))
+    return drain(monitors.orphan_uploads(orders, deleted), "orphans").select("upload_id", ts("eligible_at"))
 
 
 @query("stale_monitor", f"""
-    WITH e AS (SELECT user_id AS k, date_trunc('millisecond', ts) AS at FROM events),
+    WITH e AS (SELECT user_id AS k, ts AS at FROM events),
     n AS (SELECT k, at, lead(at) OVER (PARTITION BY k ORDER BY at) AS nxt FROM e), mark AS (SELECT max(ts) - INTERVAL '10' MINUTE AS w FROM events)
     SELECT k AS key, {ts_sql('at', 'last_seen')}, {ts_sql("at + INTERVAL '720' MINUTE", 'stale_at')} FROM n
     WHERE nxt - at >= INTERVAL '720' MINUTE OR (nxt IS NULL AND at + INTERVAL '720' MINUTE <= (SELECT w FROM mark))""")

@@ -1,191 +1,100 @@
-"""Keyed stream processors: job states, time-outs and request limits.
+"""Stream monitors: time-outs by built-in joins and sessions, job states and request limits by keyed state.
 
-Their results depend on earlier decisions in key order, which no aggregate expresses. Each keeps a state of
-fixed size per key. Rows of one key inside one micro-batch are ordered in memory, so the admission limit of
-the source (files or bytes per trigger) bounds what a task holds.
+Time-outs need no custom state. The last two do, because each decision depends on the accepted ones before it;
+their state has a fixed size per key. Rows of one key inside one micro-batch are ordered in memory, so the
+admission limit of the source (files or bytes per trigger) bounds what a task holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from copytrail import constants as C
 from copytrail.streaming.limits import admit
 
 
-def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-
-
-class _JobStates(StatefulProcessor):
-    """Follows declared edges only; a rejected change leaves the state alone."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        status = held[0] if held else None
-        out = []
-        for change_id, target, attempt in _ordered(rows, ["changed_at", "change_id", "target"])[["change_id", "target", "attempt"]].itertuples(index=False):
-            if status is None:
-                code = None if target == "created" else "JOB_TRANSITION"
-            elif not 0 <= attempt <= C.MAX_ATTEMPT:
-                code = "JOB_ATTEMPT"
-            elif target not in C.JOB_EDGES[status]:
-                code = "JOB_TRANSITION"
-            else:
-                code = "JOB_ATTEMPT" if (status, target) == ("retryable_failed", "queued") and attempt >= C.MAX_ATTEMPT else None
-            out.append((key[0], change_id, status, target, code))
-            if code is None:
-                status = target
-        if status is not None:
-            self.state.update((status,))
-        yield pd.DataFrame(out, columns=["job_id", "change_id", "status", "target", "error_code"])
-
-    def close(self) -> None:
-        pass
-
-
-def job_states(changes: DataFrame) -> DataFrame:
-    """Accepted and rejected changes of (job_id, changed_at, change_id, target, attempt), in key order."""
-    return changes.groupBy("job_id").transformWithStateInPandas(
-        _JobStates(), "job_id bigint, change_id bigint, status string, target string, error_code string", "Append", "None")
-
-
-def _millis(stamp: pd.Timestamp) -> int:
-    return int(stamp.value // 1_000_000)
-
-
-class _Deadlines(StatefulProcessor):
-    """One timer per key. When it fires, the key is reported unless it was closed before its deadline.
-
-    The timer also clears the state, so closed keys and closings that never had an opening do not pile up.
-    """
+def overdue(opened: DataFrame, closed: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
+    """Openings of (key, at) that no closing of (key, at) follows before the deadline.
 
-    def __init__(self, milliseconds: int):
-        self.span = milliseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("open", "due bigint, closed_at bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due, closed_at = (self.state.get() if self.state.exists() else None) or (None, None)
-        part = pd.concat(list(rows), ignore_index=True)
-        opened, closed = part.loc[part["opened"], "at"], part.loc[~part["opened"], "at"]
-        if len(closed):
-            first = _millis(closed.min())
-            closed_at = first if closed_at is None else min(first, closed_at)
-        if due is None and len(opened):
-            due = _millis(opened.min()) + self.span
-            self.handle.registerTimer(due)
-        elif due is None:
-            self.handle.registerTimer(closed_at + self.span)
-        self.state.update((due, closed_at))
-        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "due_ms": pd.Series([], dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, closed_at = self.state.get() if self.state.exists() else (None, None)
-        if due is not None and expiredTimerInfo.getExpiryTimeInMs() < due:
-            return
-        self.state.clear()
-        if due is not None and not (closed_at is not None and closed_at < due):
-            yield pd.DataFrame({"key": [key[0]], "due_ms": [due]})
-
-    def close(self) -> None:
-        pass
-
-
-def overdue(events: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Keys that were opened and not closed before their deadline.
-
-    ``events`` has (key, at, opened). A deadline fires once the watermark has passed it.
+    A time-bounded outer join: an opening leaves the state with its answer once the watermark has passed its
+    deadline, and a closing as soon as no opening can still reach it.
     """
-    rows = events.withWatermark("at", delay).select("key", "at", "opened").groupBy("key").transformWithStateInPandas(
-        _Deadlines(seconds * 1000), "key bigint, due_ms bigint", "Append", "EventTime")
-    return rows.select("key", F.timestamp_millis("due_ms").alias("due_at"))
+    span = F.expr(f"INTERVAL '{seconds}' SECOND")
+    left = opened.withWatermark("at", delay).select("key", "at").alias("o")
+    right = closed.withWatermark("at", delay).select("key", "at").alias("c")
+    match = (F.col("o.key") == F.col("c.key")) & (F.col("c.at") >= F.col("o.at")) & (F.col("c.at") < F.col("o.at") + span)
+    return left.join(right, match, "left_outer").filter(F.col("c.key").isNull()).select(
+        F.col("o.key").alias("key"), (F.col("o.at") + span).alias("due_at"))
 
 
-def deadline_monitor(events: DataFrame, seconds: int = C.JOB_TIMEOUT_SECONDS, delay: str = "10 minutes") -> DataFrame:
+def deadline_monitor(created: DataFrame, results: DataFrame, seconds: int = C.JOB_TIMEOUT_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """Jobs without a result by their deadline, with the failure they get."""
-    return overdue(events, seconds, delay).select(
+    return overdue(created, results, seconds, delay).select(
         F.col("key").alias("job_id"), "due_at", F.lit("failed").alias("new_status"), F.lit("DEMO_JOB_DEADLINE_EXCEEDED").alias("error_code"))
 
 
-def orphan_uploads(events: DataFrame, hours: int = C.RETENTION_HOURS["orphan_upload"], delay: str = "10 minutes") -> DataFrame:
+def orphan_uploads(created: DataFrame, deleted: DataFrame, hours: int = C.RETENTION_HOURS["orphan_upload"], delay: str = "10 minutes") -> DataFrame:
     """Uploads created and not deleted within the orphan window."""
-    return overdue(events, hours * 3600, delay).select(F.col("key").alias("upload_id"), F.col("due_at").alias("eligible_at"))
-
+    return overdue(created, deleted, hours * 3600, delay).select(F.col("key").alias("upload_id"), F.col("due_at").alias("eligible_at"))
 
-class _Silence(StatefulProcessor):
-    """One timer per key, moved by every event."""
 
-    def __init__(self, milliseconds: int):
-        self.span = milliseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("seen", "last bigint")
+def stale_monitor(events: DataFrame, minutes: int = C.STALE_MINUTES, delay: str = "10 minutes") -> DataFrame:
+    """Silences of at least ``minutes`` per key of (key, at): the end of each activity session."""
+    sessions = events.withWatermark("at", delay).groupBy("key", F.session_window("at", f"{minutes} minutes").alias("s"))
+    return sessions.agg(F.max("at").alias("last_seen")).select("key", "last_seen", F.col("s.end").alias("stale_at"))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        last, out = (held[0] if held else None), []
-        if last is not None:
-            self.handle.deleteTimer(last + self.span)
-        for at in _ordered(rows, ["at"])["at"]:
-            now = _millis(at)
-            if last is not None and now - last >= self.span:
-                out.append((key[0], last, last + self.span))
-            last = now if last is None else max(last, now)
-        self.state.update((last,))
-        self.handle.registerTimer(last + self.span)
-        yield pd.DataFrame(out, columns=["key", "last_ms", "stale_ms"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0]
-        self.state.clear()
-        yield pd.DataFrame({"key": [key[0]], "last_ms": [last], "stale_ms": [last + self.span]})
+def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
-    def close(self) -> None:
-        pass
 
+def _follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Declared edges move the state, anything else is reported and leaves it alone."""
+    status = state.get[0] if state.exists else None
+    out = []
+    ordered = _ordered(rows, ["changed_at", "change_id", "target"])
+    for change_id, target, attempt in ordered[["change_id", "target", "attempt"]].itertuples(index=False):
+        if status is None:
+            code = None if target == "created" else "JOB_TRANSITION"
+        elif not 0 <= attempt <= C.MAX_ATTEMPT:
+            code = "JOB_ATTEMPT"
+        elif target not in C.JOB_EDGES[status]:
+            code = "JOB_TRANSITION"
+        else:
+            code = "JOB_ATTEMPT" if (status, target) == ("retryable_failed", "queued") and attempt >= C.MAX_ATTEMPT else None
+        out.append((key[0], change_id, status, target, code))
+        if code is None:
+            status = target
+    if status is not None:
+        state.update((status,))
+    yield pd.DataFrame(out, columns=["job_id", "change_id", "status", "target", "error_code"])
 
-def stale_monitor(events: DataFrame, minutes: int = C.STALE_MINUTES, delay: str = "10 minutes") -> DataFrame:
-    """Silences of at least ``minutes`` per key of (key, at), each with the moment it turned stale."""
-    rows = events.withWatermark("at", delay).select("key", "at").groupBy("key").transformWithStateInPandas(
-        _Silence(minutes * 60_000), "key bigint, last_ms bigint, stale_ms bigint", "Append", "EventTime")
-    return rows.select("key", F.timestamp_millis("last_ms").alias("last_seen"), F.timestamp_millis("stale_ms").alias("stale_at"))
 
+def job_states(changes: DataFrame) -> DataFrame:
+    """Accepted and rejected changes of (job_id, changed_at, change_id, target, attempt), in key order."""
+    return changes.groupBy("job_id").applyInPandasWithState(
+        _follow, "job_id bigint, change_id bigint, status string, target string, error_code string", "status string", "append",
+        GroupStateTimeout.NoTimeout)
 
-class _Limiter(StatefulProcessor):
-    """Keeps the times of the allowed requests inside the window: at most ``limit`` of them."""
 
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.window = limit, seconds * 1_000_000
+def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """Admit or deny each request of (key, ts, event_id); only allowed requests count against the limit.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "at bigint")
+    The state of a key is the times of its allowed requests inside the window, at most ``limit`` of them.
+    """
+    window = seconds * 1_000_000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def decide(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ordered = _ordered(rows, ["micros", "event_id"])
-        past = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        allowed, kept = admit(ordered["micros"], past, self.limit, self.window)
-        self.recent.put([(t,) for t in kept])
+        allowed, kept = admit(ordered["micros"], state.get[0] if state.exists else (), limit, window)
+        state.update(([int(t) for t in kept],))
         yield pd.DataFrame({"key": key[0], "event_id": ordered["event_id"], "allowed": allowed})
 
-    def close(self) -> None:
-        pass
-
-
-def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Admit or deny each request of (key, ts, event_id); only allowed requests count against the limit."""
     rows = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return rows.groupBy("key").transformWithStateInPandas(
-        _Limiter(limit, seconds), "key string, event_id bigint, allowed boolean", "Append", "None")
+    return rows.groupBy("key").applyInPandasWithState(
+        decide, "key string, event_id bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
