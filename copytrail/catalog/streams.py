@@ -75,7 +75,7 @@ def _(i):
     WITH e AS (SELECT user_id AS k, ts AS at FROM events),
     n AS (SELECT k, at, lead(at) OVER (PARTITION BY k ORDER BY at) AS nxt FROM e), mark AS (SELECT max(ts) - INTERVAL '10' MINUTE AS w FROM events)
     SELECT k AS key, {ts_sql('at', 'last_seen')}, {ts_sql("at + INTERVAL '720' MINUTE", 'stale_at')} FROM n
-    WHERE nxt - at >= INTERVAL '720' MINUTE OR (nxt IS NULL AND at + INTERVAL '720' MINUTE <= (SELECT w FROM mark))""")
+    WHERE nxt - at > INTERVAL '720' MINUTE OR (nxt IS NULL AND at + INTERVAL '720' MINUTE <= (SELECT w FROM mark))""")
 def _(i):
     events = i.stream("events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"))
     return drain(monitors.stale_monitor(events, 720), "stale").select("key", ts("last_seen"), ts("stale_at"))

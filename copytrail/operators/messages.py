@@ -18,9 +18,13 @@ def scan_objects(objects: DataFrame, content: Column, declared_sha256: Column, m
 
 
 def parse_messages(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Messages with their parsed fields and broken rules; one pass serves both branches."""
+    """Messages with their parsed fields and broken rules; one pass serves both branches.
+
+    The one-element explode keeps later filters on ``errors`` above this step. A plain column would be
+    copied into the filter, and every rule would parse the text again.
+    """
     parsed = raw.withColumn("m", F.from_json(body, E.MESSAGE_SCHEMA))
-    return parsed.withColumn("errors", E.job_message_errors(F.col(body), F.col("m")))
+    return parsed.select("*", F.explode(F.array(E.job_message_errors(F.col(body), F.col("m")))).alias("errors"))
 
 
 def accepted_messages(parsed: DataFrame) -> DataFrame:

@@ -91,7 +91,11 @@ def profile_scores(rows: DataFrame, rules: ScoreRules, by: Sequence[str] = ("pro
           for tag, fn in (("lo", F.min), ("hi", F.max))])
     names = ["scheduled_rows", "execution_errors", "false_attribution", "gradient_completed_attacks"] + [
         f"{name}_{part}" for name in rated for part in ("true_attribution", "denominator")]
-    reduce = F.min if rules.use_minimum else F.avg
+
+    def reduce(column: str) -> Column:
+        # Twelve places: the order of a distributed sum must not decide a gate at its exact threshold.
+        return F.min(column) if rules.use_minimum else F.round(F.avg(column), 12)
+
     word = "minimum" if rules.use_minimum else "mean"
     scored = pages.groupBy(*by).agg(
         F.min("_c0").alias("candidate_id"), (F.min("_c0") == F.max("_c1")).alias("identity_consistent"),

@@ -44,7 +44,7 @@ def orphan_uploads(created: DataFrame, deleted: DataFrame, hours: int = C.RETENT
 
 
 def stale_monitor(events: DataFrame, minutes: int = C.STALE_MINUTES, delay: str = "10 minutes") -> DataFrame:
-    """Silences of at least ``minutes`` per key of (key, at): the end of each activity session."""
+    """Silences longer than ``minutes`` per key of (key, at): the end of each activity session."""
     sessions = events.withWatermark("at", delay).groupBy("key", F.session_window("at", f"{minutes} minutes").alias("s"))
     return sessions.agg(F.max("at").alias("last_seen")).select("key", "last_seen", F.col("s.end").alias("stale_at"))
 
