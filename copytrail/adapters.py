@@ -17,9 +17,9 @@ TABLES = (
 
 
 def uuid_sql(expr: str) -> str:
-    """Lower-case canonical id text from the md5 of an expression."""
+    """Lower-case canonical id text from a hex digest."""
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    return "concat(" + ", '-', ".join(f"substr(md5({expr}), {a}, {n})" for a, n in cuts) + ")"
+    return "concat(" + ", '-', ".join(f"substr({expr}, {a}, {n})" for a, n in cuts) + ")"
 
 
 VIEWS: dict[str, str] = {
@@ -475,10 +475,13 @@ VIEWS: dict[str, str] = {
         FROM {embeddings} l JOIN {embeddings} r ON r.vec_id = l.vec_id + 1""",
 }
 VIEWS["outbox_events"] = VIEWS["outbox_events"].replace("MESSAGES", VIEWS["messages"])
+# The five ids of an order are digests; they are taken once per row and cut into id text above that.
+_KEYED = "(SELECT *, " + ", ".join(f"md5(concat('{m}', CAST(o_orderkey AS STRING))) AS hash_{m.lower()}" for m in "MJIVC") + (
+    ", md5(concat('org', CAST(o_custkey % 4 AS STRING))) AS hash_o FROM {orders}) keyed")
 for _name in ("messages", "storage_keys", "manifest_rows", "outbox", "outbox_events"):
-    for _mark in "MJIVC":
-        VIEWS[_name] = VIEWS[_name].replace(f"UUID_{_mark}", uuid_sql(f"concat('{_mark}', CAST(o_orderkey AS STRING))"))
-    VIEWS[_name] = VIEWS[_name].replace("UUID_O", uuid_sql("concat('org', CAST(o_custkey % 4 AS STRING))"))
+    VIEWS[_name] = VIEWS[_name].replace("FROM {orders}", f"FROM {_KEYED}")
+    for _mark in "MJIVCO":
+        VIEWS[_name] = VIEWS[_name].replace(f"UUID_{_mark}", uuid_sql(f"hash_{_mark.lower()}"))
 
 _PLACE = re.compile(r"\{([a-z]+)\}")
 

@@ -73,7 +73,7 @@ def check_access(requests: DataFrame, actors: DataFrame, rows: DataFrame, kind:
     who = actors.select("actor_id", F.col("organization_id").alias("_aorg"), F.col("role").alias("_role"))
     what = rows.select(key, F.col("organization_id").alias("_rorg"), F.col("owner_id").alias("_owner"),
                        (F.col("kind") if kind == "jobs" else F.lit(None).cast("string")).alias("_kind"))
-    joined = lookup_join(lookup_join(requests, who, ["actor_id"]), what, [key])
+    joined = lookup_join(lookup_join(requests, who, ["actor_id"]), what, [key], counted=requests)
     seen = (F.col("_aorg") == F.col("_rorg")) & _visible(kind, F.col("_role"), F.col("_kind"), F.col("_owner") == F.col("actor_id"))
     return joined.withColumn("visible", F.coalesce(seen, F.lit(False))).drop("_aorg", "_role", "_rorg", "_owner", "_kind")
 
@@ -99,7 +99,7 @@ def job_lists(actors: DataFrame, jobs: DataFrame, recipients: DataFrame, verific
         F.col("position") <= limit)
     owner = jobs.withColumn("position", F.row_number().over(
         Window.partitionBy("organization_id", "owner_id", "kind").orderBy(*newest))).filter(F.col("position") <= limit)
-    wide = actors.filter(F.col("role").isin(*WHOLE_TENANT)).join(tenant, "organization_id").select("actor_id", *tenant.columns)
+    wide = lookup_join(actors.filter(F.col("role").isin(*WHOLE_TENANT)), tenant, ["organization_id"], "inner").select("actor_id", *tenant.columns)
     wanted = F.when(F.col("role") == "issuer", "issuance").when(F.col("role") == "verifier", "verification")
     own = actors.withColumn("kind", wanted).filter(F.col("kind").isNotNull()).withColumn("owner_id", F.col("actor_id")).drop("role").join(
         owner, ["organization_id", "owner_id", "kind"]).select("actor_id", *tenant.columns)

@@ -187,13 +187,13 @@ def audit_once(events: DataFrame, history: DataFrame, order: Sequence[str]) -> D
     """New events, at most one per (tenant, action, target, outcome), the first by ``order``."""
     rest = [c for c in events.columns if c not in AUDIT_KEY]
     firsts = events.groupBy(*AUDIT_KEY).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*AUDIT_KEY, "_f.*")
-    return firsts.join(history.select(*AUDIT_KEY), list(AUDIT_KEY), "left_anti")
+    return firsts.join(history.select(*AUDIT_KEY).distinct(), list(AUDIT_KEY), "left_anti")
 
 
 def deletion_evidence(outcomes: DataFrame, stamped: DataFrame) -> DataFrame:
     """The first deletion time of each target not stamped before, with its audit row's fields."""
     first = outcomes.groupBy("organization_id", "target_id", "action").agg(F.min("at").alias("deleted_at"))
-    fresh = first.join(stamped.select("target_id", "action"), ["target_id", "action"], "left_anti")
+    fresh = first.join(stamped.select("target_id", "action").distinct(), ["target_id", "action"], "left_anti")
     return fresh.withColumn("outcome", F.lit("succeeded")).withColumn("metadata_status", F.lit("deleted"))
 
 
@@ -203,7 +203,8 @@ def cancel_triage(requests: DataFrame, jobs: DataFrame, audit: DataFrame) -> Dat
                       F.col("status").alias("_status"), F.col("cancel_requested_at").alias("_cancel"))
     replays = audit.filter((F.col("action") == "job.cancel_requested") & (F.col("outcome") == "succeeded")).select(
         "organization_id", "actor_id", F.col("target_id").alias("job_id"), "correlation_id").distinct().withColumn("_replay", F.lit(True))
-    rows = lookup_join(requests, job, ["job_id"]).join(replays, ["organization_id", "actor_id", "job_id", "correlation_id"], "left")
+    asked = ["organization_id", "actor_id", "job_id", "correlation_id"]
+    rows = lookup_join(lookup_join(requests, job, ["job_id"]), replays, asked, counted=requests)
     visible = (F.col("_org") == F.col("organization_id")) & (
         (F.col("role") == "administrator")
         | ((F.col("role") == "issuer") & (F.col("_kind") == "issuance") & (F.col("_owner") == F.col("as_owner")))

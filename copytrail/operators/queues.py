@@ -29,7 +29,7 @@ def cleanup_batch(candidates: DataFrame, attempted: DataFrame, limit: int) -> Da
     """The next objects to remove, in category priority, skipping the ones already tried."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be within 1..500")
-    fresh = candidates.join(attempted.select("category", "id"), ["category", "id"], "left_anti")
+    fresh = candidates.join(attempted.select("category", "id").distinct(), ["category", "id"], "left_anti")
     return fresh.orderBy("priority", "at", "id").limit(limit)
 
 

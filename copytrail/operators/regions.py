@@ -26,7 +26,7 @@ def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
         return F.sequence(first.cast("int"), F.greatest(first, F.ceil(high * F.col("_t")) - 1).cast("int"))
 
     counts = rects.groupBy("case_id").agg(F.count("*").alias("_n"))
-    tiles = F.when(F.col("_n") <= 16, 1).when(F.col("_n") <= 256, 4).when(F.col("_n") <= 4096, 16).otherwise(64)
+    tiles = F.when(F.col("_n") <= 16, 1).when(F.col("_n") <= 256, 4).when(F.col("_n") <= 4096, 16).when(F.col("_n") <= 65536, 64).otherwise(256)
     sized = lookup_join(rects.select("case_id", "side", "x", "y", "width", "height"), counts, ["case_id"], "inner").withColumn("_t", tiles)
     step = F.lit(1.0) / F.col("_t")
     boxes = sized.select("case_id", "side", "_t", F.col("x").alias("x0"), right.alias("x1"), F.col("y").alias("y0"), bottom.alias("y1"),

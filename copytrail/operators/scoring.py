@@ -343,7 +343,7 @@ def schedule_diff(planned: DataFrame, observed: DataFrame) -> DataFrame:
 
 def resume_plan(planned: DataFrame, completed: DataFrame) -> DataFrame:
     """Planned rows that have no result yet."""
-    return planned.join(completed.select("row_id"), "row_id", "left_anti")
+    return planned.join(completed.select("row_id").distinct(), "row_id", "left_anti")
 
 
 def select_candidates(candidates: DataFrame, selected: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
-from copytrail.skew import lookup_join
+from copytrail.skew import lookup_join, running_max, running_sum
 
 CONCLUSIVE = ("decoded", "partial_payload_evidence")
 
@@ -50,19 +50,32 @@ def manifest_trust(manifests: DataFrame, keys: DataFrame) -> DataFrame:
 def active_signing_key(requests: DataFrame, keys: DataFrame, at: str = "at") -> DataFrame:
     """The single active key of the tenant whose half-open window holds the request time, or an error code.
 
-    Keys that cannot match (not active, other algorithm) leave before the join, and requests meet their
-    tenant's keys once per distinct (tenant, time).
+    No request is paired with its tenant's keys. Window starts and ends are turned into segments of time with
+    the number of open keys and the sum of their numbers; where one key is open the sum is its number. Each
+    distinct request time then finds the segment it falls into by a running maximum.
     """
-    usable = keys.filter((F.col("status") == "active") & (F.col("algorithm") == "Ed25519")).select(
-        "organization_id", F.col("key_id").alias("_key"), "valid_from", "valid_until")
-    moments = requests.select("organization_id", at).distinct()
-    matched = moments.join(usable, "organization_id").filter(
-        (F.col("valid_from") <= F.col(at)) & (F.col("valid_until").isNull() | (F.col(at) < F.col("valid_until"))))
-    found = matched.groupBy("organization_id", at).agg(F.count("*").alias("_n"), F.min("_key").alias("_id"))
-    joined = lookup_join(requests, found, ["organization_id", at])
-    return joined.withColumn("signing_key_id", F.when(F.col("_n") == 1, F.col("_id"))).withColumn(
-        "error_code", F.when(F.col("_n") == 1, F.lit(None).cast("string")).otherwise(
-            F.lit("MANIFEST_SIGNING_KEY_UNREGISTERED"))).drop("_n", "_id")
+    usable = keys.filter((F.col("status") == "active") & (F.col("algorithm") == "Ed25519")).filter(
+        F.col("valid_until").isNull() | (F.col("valid_until") > F.col("valid_from"))).select(
+        "organization_id", F.col("key_id").alias("_key"), F.xxhash64("key_id").cast("decimal(38,0)").alias("_number"),
+        F.col("valid_from").cast("timestamp").alias("_from"), F.col("valid_until").cast("timestamp").alias("_until"))
+    edges = usable.select("organization_id", "_number", F.explode(F.array(
+        F.struct(F.col("_from").alias("t"), F.lit(1).alias("d")), F.struct(F.col("_until").alias("t"), F.lit(-1).alias("d")))).alias("e"))
+    steps = edges.filter(F.col("e.t").isNotNull()).groupBy("organization_id", F.col("e.t").alias("_t")).agg(
+        F.sum("e.d").alias("_d"), F.sum(F.col("_number") * F.col("e.d")).alias("_dn"))
+    day = F.to_date("_t")
+    segments = running_sum(running_sum(steps, ["organization_id"], [F.col("_t")], "_d", day, "_open"),
+                           ["organization_id"], [F.col("_t")], "_dn", day, "_sum")
+    single = segments.filter(F.col("_open") == 1).select("organization_id", "_t", F.col("_sum").cast("decimal(38,0)").alias("_number")).join(
+        usable.select("organization_id", "_number", "_key"), ["organization_id", "_number"]).select(
+        "organization_id", F.col("_t").alias("_since"), F.col("_key").alias("signing_key_id"))
+    moments = requests.select("organization_id", F.col(at).cast("timestamp").alias("_t"), F.lit(None).cast("timestamp").alias("_edge")).distinct()
+    marks = steps.select("organization_id", "_t", F.col("_t").alias("_edge")).unionByName(moments)
+    placed = running_max(marks, ["organization_id"], [F.col("_t"), F.col("_edge").asc_nulls_last()], "_edge", day, "_since").filter(
+        F.col("_edge").isNull()).select("organization_id", F.col("_t"), "_since")
+    found = placed.join(single, ["organization_id", "_since"]).select("organization_id", F.col("_t").alias("_at"), "signing_key_id")
+    joined = lookup_join(requests.withColumn("_at", F.col(at).cast("timestamp")), found, ["organization_id", "_at"])
+    return joined.withColumn("error_code", F.when(
+        F.col("signing_key_id").isNull(), F.lit("MANIFEST_SIGNING_KEY_UNREGISTERED"))).drop("_at")
 
 
 def retained_evidence(issuances: DataFrame, results: DataFrame, jobs: DataFrame, documents: DataFrame,
@@ -86,9 +99,8 @@ def retained_evidence(issuances: DataFrame, results: DataFrame, jobs: DataFrame,
         & F.get_json_object("public_payload", "$.output_sha256").eqNullSafe(F.col("output_sha256"))
     )
     joined = (
-        issuances.join(res, ["issuance_id", "organization_id"], "left").join(job, "_job", "left")
-        .join(doc, "document_id", "left").join(rec, ["_job", "organization_id"], "left")
-        .join(man, ["issuance_id", "organization_id"], "left")
+        lookup_join(issuances, doc, ["document_id"]).join(res, ["issuance_id", "organization_id"], "left").join(job, "_job", "left")
+        .join(rec, ["_job", "organization_id"], "left").join(man, ["issuance_id", "organization_id"], "left")
     )
     valid = joined.withColumn("evidence_valid", F.coalesce(agreed, F.lit(False)))
     manifest = (

@@ -242,3 +242,15 @@ def test_erasure_ladder(spark):
     rank = F.array(*[F.lit(v) for v in range(20)])
     ladder = one(spark, G.erasure_ladder(F.array(F.lit(0)), rank))
     assert ladder == [[0], list(range(16)), list(range(8)), [0, 1, 2, 3], [0, 1], []]
+
+
+def test_active_signing_key_windows(spark):
+    keys = spark.createDataFrame([
+        ("a", "o", "active", 0, 10), ("b", "o", "active", 10, 20), ("c", "o", "active", 15, None), ("d", "o", "revoked", 0, 99),
+        ("e", "p", "active", 5, 5), ("f", "p", "active", 7, 9)], "key_id string, organization_id string, status string, f long, u long").selectExpr(
+        "key_id", "organization_id", "status", "'Ed25519' AS algorithm", "timestamp_seconds(f) AS valid_from", "timestamp_seconds(u) AS valid_until")
+    asked = [("o", n) for n in (0, 9, 10, 14, 15, 19, 20, 99)] + [("p", n) for n in (4, 5, 7, 8, 9)] + [("q", 1)]
+    requests = spark.createDataFrame(asked, "organization_id string, s long").selectExpr("organization_id", "s", "timestamp_seconds(s) AS at")
+    found = {(r.organization_id, r.s): r.signing_key_id for r in T.active_signing_key(requests, keys).collect()}
+    assert found == {("o", 0): "a", ("o", 9): "a", ("o", 10): "b", ("o", 14): "b", ("o", 15): None, ("o", 19): None, ("o", 20): "c", ("o", 99): "c",
+                     ("p", 4): None, ("p", 5): None, ("p", 7): "f", ("p", 8): "f", ("p", 9): None, ("q", 1): None}
