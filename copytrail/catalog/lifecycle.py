@@ -285,7 +285,7 @@ def _(i):
                FROM uploads WHERE orphan_deleted_at IS NULL),
     r AS (SELECT 'reconciliation' AS lane, upload_id AS id, deleted_at AS at, 1 AS turn, row_number() OVER (ORDER BY deleted_at, upload_id) AS rn
           FROM uploads WHERE deleted_at IS NOT NULL)
-    SELECT lane, id, row_number() OVER (ORDER BY rn, turn) AS position FROM (SELECT * FROM o UNION ALL SELECT * FROM r)
+    SELECT lane, id, CAST(row_number() OVER (ORDER BY rn, turn) AS INT) AS position FROM (SELECT * FROM o UNION ALL SELECT * FROM r)
     ORDER BY rn, turn LIMIT 500""")
 def _(i):
     ordinary = i.uploads.filter(F.col("orphan_deleted_at").isNull()).select(F.col("created_at").alias("at"), F.col("upload_id").alias("id"))

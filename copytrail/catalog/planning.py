@@ -49,18 +49,23 @@ def plan_sql(source, candidates, attacks):
                  sha256(CAST('copytrail-identity-v1' AS BLOB) || unhex('00') || b) AS ih FROM bound),
     plan AS (SELECT CAST(((before + page_index) * {len(candidates)} + cn) * {len(attacks)} + an AS BIGINT) AS ordinal, fixture_id, page_index, profile_sha256, attack_id,
                sha256(concat(fixture_id, chr(0), CAST(page_index AS STRING), chr(0), profile_sha256, chr(0), attack_id)) AS row_id,
-               CAST(CAST(concat('0x', substr(ch, 1, 16)) AS UBIGINT) AS DECIMAL(20, 0)) AS case_seed,
+               CAST(concat('0x', substr(ch, 1, 16)) AS UBIGINT) AS seed_number, CAST(CAST(concat('0x', substr(ch, 1, 16)) AS UBIGINT) AS VARCHAR) AS case_seed,
                CASE WHEN kind <> 'negative_external' THEN concat(substr(ih, 1, 8), '-', substr(ih, 9, 4), '-4', substr(ih, 14, 3), '-',
                  substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(ih, 17, 1)), 1), substr(ih, 18, 3), '-', substr(ih, 21, 12)) END AS expected_id FROM hashed)"""
 
 
+def readable(plan):
+    """Seeds as text, because an unsigned 64-bit value has no common type in both engines."""
+    return plan.withColumn("case_seed", F.col("case_seed").cast("string"))
+
+
 def _contracts(i, version):
     return B.candidate_order(B.candidate_grid(i.spark, version)), B.attack_order(B.default_attacks(i.spark))
 
 
-@query("execution_plan", "WITH" + plan_sql("small_sources", profile_hashes(1), ATTACKS) + "SELECT * FROM plan")
+@query("execution_plan", "WITH" + plan_sql("small_sources", profile_hashes(1), ATTACKS) + "SELECT * EXCLUDE (seed_number) FROM plan")
 def _(i):
-    return B.execution_plan(i.small_sources, *_contracts(i, 1), SEED)
+    return readable(B.execution_plan(i.small_sources, *_contracts(i, 1), SEED))
 
 
 @query("shard_assign", "WITH" + plan_sql("sources", profile_hashes(3), K.PREGATE_ATTACKS) + """
@@ -71,29 +76,29 @@ def _(i):
     return plan.groupBy("shard_index", "attack_id").agg(F.count("*").alias("rows"), F.min("row_id").alias("first_row"))
 
 
-@query("pregate_plan_v3", "WITH" + plan_sql("sources", profile_hashes(3), K.PREGATE_ATTACKS) + "SELECT * FROM plan")
+@query("pregate_plan_v3", "WITH" + plan_sql("sources", profile_hashes(3), K.PREGATE_ATTACKS) + "SELECT * EXCLUDE (seed_number) FROM plan")
 def _(i):
     candidates, attacks = _contracts(i, 3)
-    return B.pregate_plan(i.sources, candidates, attacks, SEED, candidate_count=4)
+    return readable(B.pregate_plan(i.sources, candidates, attacks, SEED, candidate_count=4))
 
 
 @query("pregate_plan_v2", "WITH" + plan_sql("sources", profile_hashes(2), K.PREGATE_ATTACKS) + """
-    SELECT profile_sha256, attack_id, count(*) AS rows, count(expected_id) AS positives, min(row_id) AS first_row, max(case_seed) AS largest_seed
+    SELECT profile_sha256, attack_id, count(*) AS rows, count(expected_id) AS positives, min(row_id) AS first_row, CAST(max(seed_number) AS VARCHAR) AS largest_seed
     FROM plan GROUP BY 1, 2""")
 def _(i):
     candidates, attacks = _contracts(i, 2)
     return B.pregate_plan(i.sources, candidates, attacks, SEED, candidate_count=16).groupBy("profile_sha256", "attack_id").agg(
         F.count("*").alias("rows"), F.count("expected_id").alias("positives"), F.min("row_id").alias("first_row"),
-        F.max("case_seed").alias("largest_seed"))
+        F.max("case_seed").cast("string").alias("largest_seed"))
 
 
 @query("smoke_subset", """
     WITH pos AS (SELECT * FROM sources WHERE kind IN ('clean_image', 'tamper_ground_truth') ORDER BY ordinal LIMIT 1),
     neg AS (SELECT * FROM sources WHERE kind = 'negative_external' ORDER BY ordinal LIMIT 1),
     chosen AS (SELECT * FROM pos UNION ALL SELECT * FROM neg),""" + plan_sql("chosen", profile_hashes(1)[:1], [a for a in ATTACKS if a in K.SMOKE_ATTACKS])
-       + "SELECT * FROM plan")
+       + "SELECT * EXCLUDE (seed_number) FROM plan")
 def _(i):
-    return B.smoke_subset(i.sources, *_contracts(i, 1), SEED)
+    return readable(B.smoke_subset(i.sources, *_contracts(i, 1), SEED))
 
 
 TAIL = "\n" + json.dumps({"attacks": ATTACKS, "candidates": profile_hashes(1)}, separators=(",", ":"))

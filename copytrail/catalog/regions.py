@@ -113,7 +113,7 @@ GRID = """
 
 
 @query("region_grid", SQL_PAGES + "," + GRID.replace("{s}", "256") + """
-    SELECT page_id, tile_index AS region_index, x, y FROM cells""")
+    SELECT page_id, tile_index AS region_index, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM cells""")
 def _(i):
     return _pages(i).select("page_id", F.explode(G.region_grid(F.col("height"), F.col("width"), 256)).alias("g")).select("page_id", "g.*")
 
@@ -138,7 +138,7 @@ LATE = """CASE WHEN (width - CAST(round_even(width * 0.8660254037844386e0, 0) AS
     AND y + 256 <= (height - CAST(round_even(height * 0.8660254037844386e0, 0) AS BIGINT)) // 2 + CAST(round_even(height * 0.8660254037844386e0, 0) AS BIGINT)
     THEN 0 ELSE 1 END"""
 SAMPLED = """
-    SELECT page_id, tile_index, rn - 1 AS ordinal, NULL AS error_code FROM o WHERE n >= 12 AND rn <= 12
+    SELECT page_id, tile_index, CAST(rn - 1 AS INT) AS ordinal, NULL AS error_code FROM o WHERE n >= 12 AND rn <= 12
     UNION ALL SELECT DISTINCT page_id, CAST(NULL AS INT), NULL, 'too_few_tiles' FROM o WHERE n < 12"""
 
 

@@ -352,7 +352,7 @@ def _(i):
             sha256(CAST('copytrail-identity-v1' AS BLOB) || unhex('00') || binding) AS id_hash,
             sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || CAST(concat('copytrail-result:', CAST(l_orderkey AS STRING), ':', CAST(page_index AS STRING)) AS BLOB)) AS rec FROM b)
     SELECT l_orderkey, l_partkey, sha256(concat(fixture_id, chr(0), CAST(page_index AS STRING), chr(0), profile, chr(0), attack_id)) AS row_id,
-      CAST(CAST(concat('0x', substr(case_hash, 1, 16)) AS UBIGINT) AS DECIMAL(20, 0)) AS case_seed,
+      CAST(CAST(concat('0x', substr(case_hash, 1, 16)) AS UBIGINT) AS VARCHAR) AS case_seed,
       concat(substr(id_hash, 1, 8), '-', substr(id_hash, 9, 4), '-4', substr(id_hash, 14, 3), '-',
         substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(id_hash, 17, 1)), 1), substr(id_hash, 18, 3), '-', substr(id_hash, 21, 12)) AS issuance_id,
       concat(substr(rec, 1, 8), '-', substr(rec, 9, 4), '-5', substr(rec, 14, 3), '-',
@@ -364,7 +364,7 @@ def _(i):
     fx, page, profile, attack = (F.col(c) for c in ("fixture_id", "page_index", "profile", "attack_id"))
     seed = 20260939
     return r.select("l_orderkey", "l_partkey", I.row_id(fx, page, profile, attack).alias("row_id"),
-                    I.case_seed(seed, fx, page, profile, attack).alias("case_seed"),
+                    I.case_seed(seed, fx, page, profile, attack).cast("string").alias("case_seed"),
                     I.expected_issuance_id(seed, fx, page, profile).alias("issuance_id"),
                     I.receipt_id(F.col("l_orderkey"), page).alias("receipt_id"))
 

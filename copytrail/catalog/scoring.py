@@ -105,8 +105,8 @@ def _run_scores(i, rules):
     e AS (SELECT *, sum(execution_errors) OVER (PARTITION BY run_id) AS errs,
             jpeg70_true_attribution / jpeg70_denominator AS r1, resize075_true_attribution / resize075_denominator AS r2,
             crop025_true_attribution / crop025_denominator AS r3 FROM scores)
-    SELECT run_id, profile_id, row_number() OVER (PARTITION BY run_id ORDER BY round(mean_ssim, 9) DESC, least(r1, r2, r3) DESC,
-           processing_ms_per_page, profile_id) AS rank, round(least(r1, r2, r3), 6) AS worst_rate FROM e
+    SELECT run_id, profile_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY round(mean_ssim, 9) DESC, least(r1, r2, r3) DESC,
+           processing_ms_per_page, profile_id) AS INT) AS rank, round(least(r1, r2, r3), 6) AS worst_rate FROM e
     WHERE errs = 0 AND false_attribution = 0 AND r1 >= 0.95 AND r2 >= 0.95 AND r3 >= 0.90 AND mean_psnr_db >= 38 AND mean_ssim >= 0.95""")
 def _(i):
     return r6(S.eligible_profiles(_run_scores(i, S.PROFILE_V1), ["run_id"]), "worst_rate").select("run_id", "profile_id", "rank", "worst_rate")

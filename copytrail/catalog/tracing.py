@@ -226,7 +226,7 @@ def _(i):
     SELECT concat('iss-', CAST(doc_id AS STRING)) AS issuance_id, CASE WHEN n < 4 THEN 0 ELSE n END AS evaluated_regions,
            round(CASE WHEN n < 4 THEN 0 ELSE m / n END, 6) AS score, limitation,
            CASE WHEN limitation IS NULL THEN n - m ELSE 0 END AS suspicious_regions,
-           CASE WHEN limitation IS NULL THEN f END AS first_suspicious FROM l""")
+           CAST(CASE WHEN limitation IS NULL THEN f END AS INT) AS first_suspicious FROM l""")
 def _(i):
     docs = i.table("documents").select(F.concat(F.lit("iss-"), "doc_id").alias("issuance_id"), "text")
     altered = docs.withColumn("text", F.replace("text", F.lit("ou"), F.lit("uo")))

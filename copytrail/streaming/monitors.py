@@ -57,8 +57,8 @@ def _follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iter
     """Declared edges move the state, anything else is reported and leaves it alone."""
     status = state.get[0] if state.exists else None
     out = []
-    ordered = _ordered(rows, ["changed_at", "change_id", "target"])
-    for change_id, target, attempt in ordered[["change_id", "target", "attempt"]].itertuples(index=False):
+    changes = sorted(row for part in rows for row in zip(*(part[c].to_numpy() for c in ("changed_at", "change_id", "target", "attempt"))))
+    for _, change_id, target, attempt in changes:
         if status is None:
             code = None if target == "created" else "JOB_TRANSITION"
         elif not 0 <= attempt <= C.MAX_ATTEMPT:
@@ -72,7 +72,7 @@ def _follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iter
             status = target
     if status is not None:
         state.update((status,))
-    yield pd.DataFrame(out, columns=["job_id", "change_id", "status", "target", "error_code"])
+    yield pd.DataFrame(dict(zip(("job_id", "change_id", "status", "target", "error_code"), zip(*out))))
 
 
 def job_states(changes: DataFrame) -> DataFrame:
