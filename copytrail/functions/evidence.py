@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
-from copytrail.functions.text import codes, matches
+from copytrail.functions.text import codes, let, matches
 
 _UUID_ANY_CASE = "(?i)" + C.UUID_PATTERN
 
@@ -24,15 +24,18 @@ def redact_map(metadata: Column) -> Column:
 
 def redact_metadata(metadata_json: Column) -> Column:
     """``redact_map`` of a JSON object, keeping scalar members only."""
-    parsed = F.try_parse_json(metadata_json)
-    entries = []
-    for key in AUDIT_KEYS:
-        kind = F.schema_of_variant(F.variant_get(parsed, f"$.{key}", "variant"))
-        text = F.get_json_object(metadata_json, f"$.{key}")
-        scalar = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID")
-        value = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
-        entries.append(F.when(scalar, F.struct(F.lit(key).alias("key"), value.alias("value"))))
-    return redact_map(F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+    def kept(p: Column) -> Column:
+        entries = []
+        for key in AUDIT_KEYS:
+            kind = F.schema_of_variant(F.variant_get(p["typed"], f"$.{key}", "variant"))
+            text = F.try_element_at(p["texts"], F.lit(key))
+            scalar = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID")
+            value = F.when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+            entries.append(F.when(scalar, F.struct(F.lit(key).alias("key"), value.alias("value"))))
+        return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+
+    parsed = F.struct(F.try_parse_json(metadata_json).alias("typed"), F.from_json(metadata_json, "map<string,string>").alias("texts"))
+    return redact_map(let(parsed, kept))
 
 
 def audit_event_errors(actor_id: Column, actor_org: Column, target_org: Column, system: Column, action: Column, outcome: Column,
@@ -61,7 +64,10 @@ _SIDES = ("x", "y", "width", "height")
 
 def project_evidence(evidence_json: Column, integrity_mode: bool = False, fingerprint_enabled: bool = False) -> Column:
     """Closed projection of stored evidence: unknown members vanish and values out of range become null."""
-    e = F.from_json(evidence_json, EVIDENCE_SCHEMA)
+    return let(F.from_json(evidence_json, EVIDENCE_SCHEMA), lambda e: _project(e, integrity_mode, fingerprint_enabled))
+
+
+def _project(e: Column, integrity_mode: bool, fingerprint_enabled: bool) -> Column:
     label = e["algorithm_label"]
     if integrity_mode:
         label = F.when(label == ALGORITHM_LABELS[0], ALGORITHM_LABELS[1]).otherwise(label)
@@ -103,7 +109,8 @@ METRIC_KEYS = ("processing_ms", "pages_processed", "peak_rss_bytes", "temp_peak_
 def project_metrics(metrics_json: Column) -> Column:
     """Known metrics that hold a non-negative 64-bit integer."""
     parsed = F.from_json(metrics_json, ", ".join(f"{k} bigint" for k in METRIC_KEYS))
-    return F.map_filter(F.create_map(*[x for k in METRIC_KEYS for x in (F.lit(k), parsed[k])]), lambda k, v: v >= 0)
+    return let(parsed, lambda p: F.map_filter(
+        F.create_map(*[x for k in METRIC_KEYS for x in (F.lit(k), p[k])]), lambda k, v: v >= 0))
 
 
 PUBLIC_FIELDS = ("schema_version", "issuance_id", "issued_at", "output_sha256", "fingerprint_algorithm", "integrity_algorithm",
@@ -149,7 +156,10 @@ OBJECT_KEY_PATTERN = r"^(?![a-zA-Z][a-zA-Z0-9+.-]*://)(?!/)(?!.*\.\.)(?!.*[?&]).
 
 def job_message_errors(body: Column, m: Column) -> Column:
     """Broken rules of a request message; ``m`` is ``body`` parsed with ``MESSAGE_SCHEMA``."""
-    keys = F.json_object_keys(body)
+    return let(F.json_object_keys(body), lambda keys: _message_rules(keys, m))
+
+
+def _message_rules(keys: Column, m: Column) -> Column:
     whole = keys.isNotNull() & m.isNotNull()
     issuing, verifying = m["message_type"] == "issuance.requested", m["message_type"] == "verification.requested"
     has_i, has_v = matches(m["issuance_id"], _UUID_ANY_CASE), matches(m["verification_id"], _UUID_ANY_CASE)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
+from copytrail.functions.text import let
 
 SIDES = ("x", "y", "width", "height")
 
@@ -43,32 +44,36 @@ def transform_regions(regions: Column, matrix: Column) -> Column:
 
     The identity returns its input; a corner sent to infinity gives an error and no regions.
     """
-    def depth(x: Column, y: Column) -> Column:
-        return matrix[6] * x + matrix[7] * y + matrix[8]
-
-    def corners(r: Column) -> list[tuple[Column, Column]]:
-        right, bottom = r["x"] + r["width"], r["y"] + r["height"]
-        return [(r["x"], r["y"]), (right, r["y"]), (right, bottom), (r["x"], bottom)]
-
-    def lost(r: Column) -> Column:
-        bad = F.lit(False)
-        for x, y in corners(r):
-            bad = bad | ~(F.abs(depth(x, y)) > 1e-15)
-        return bad
-
-    def mapped(r: Column) -> Column:
-        xs = [(matrix[0] * x + matrix[1] * y + matrix[2]) / depth(x, y) for x, y in corners(r)]
-        ys = [(matrix[3] * x + matrix[4] * y + matrix[5]) / depth(x, y) for x, y in corners(r)]
+    # Each step names its values in a struct, so that none is computed twice per region.
+    names = ("a", "b", "c", "d")
+    finite = F.lit(1e-15)
+
+    def corners(r: Column) -> Column:
+        return F.struct(r["x"].alias("x0"), r["y"].alias("y0"), (r["x"] + r["width"]).alias("x1"), (r["y"] + r["height"]).alias("y1"))
+
+    def projected(c: Column) -> Column:
+        points = ((c["x0"], c["y0"]), (c["x1"], c["y0"]), (c["x1"], c["y1"]), (c["x0"], c["y1"]))
+        parts = []
+        for n, (x, y) in zip(names, points):
+            for label, row in (("x", 0), ("y", 3), ("w", 6)):
+                parts.append((matrix[row] * x + matrix[row + 1] * y + matrix[row + 2]).alias(f"{label}{n}"))
+        return F.struct(*parts)
+
+    def envelope(p: Column) -> Column:
+        xs, ys = [p[f"x{n}"] / p[f"w{n}"] for n in names], [p[f"y{n}"] / p[f"w{n}"] for n in names]
         zero, one = F.lit(0.0), F.lit(1.0)
-        left, top = F.greatest(zero, F.least(*xs)), F.greatest(zero, F.least(*ys))
-        right, bottom = F.least(one, F.greatest(*xs)), F.least(one, F.greatest(*ys))
-        return F.when((right > left) & (bottom > top), rect(left, top, right - left, bottom - top))
+        return F.struct(F.greatest(zero, F.least(*xs)).alias("l"), F.greatest(zero, F.least(*ys)).alias("t"),
+                        F.least(one, F.greatest(*xs)).alias("r"), F.least(one, F.greatest(*ys)).alias("b"))
+
+    def result(points: Column) -> Column:
+        lost = F.exists(points, lambda p: ~((F.abs(p["wa"]) > finite) & (F.abs(p["wb"]) > finite) & (F.abs(p["wc"]) > finite) & (F.abs(p["wd"]) > finite)))
+        boxes = F.filter(F.transform(points, envelope), lambda e: (e["r"] > e["l"]) & (e["b"] > e["t"]))
+        moved = F.transform(boxes, lambda e: rect(e["l"], e["t"], e["r"] - e["l"], e["b"] - e["t"]))
+        return F.struct(F.when(~lost, moved).alias("regions"), F.when(lost, "corner_at_infinity").alias("error"))
 
     unchanged = matrix == F.array(*[F.lit(v) for v in IDENTITY])
-    infinite = ~unchanged & F.exists(regions, lost)
-    moved = F.filter(F.transform(regions, mapped), lambda r: r.isNotNull())
-    return F.struct(F.when(unchanged, regions).when(~infinite, moved).alias("regions"),
-                    F.when(infinite, "corner_at_infinity").alias("error"))
+    same = F.struct(regions.alias("regions"), F.lit(None).cast("string").alias("error"))
+    return F.when(unchanged, same).otherwise(let(F.transform(F.transform(regions, corners), projected), result))
 
 
 def merge_regions(*groups: Column) -> Column:

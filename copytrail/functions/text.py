@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ PROMOTED_KEY = rf"^inputs/(issuance|verification)/({_UUID})/({_UUID})\.(bin)$"
 OUTPUT_KEY = rf"^outputs/(issuance)/({_UUID})/({_UUID})\.(pdf|png)$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def codes(*rules: tuple[str, Column]) -> Column:
     """The names of the rules that hold, in order; a rule that is null does not hold."""
     return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules]), lambda c: c.isNotNull())
@@ -50,13 +56,14 @@ def _strip(value: Column) -> Column:
 
 def safe_filename(name: Column) -> Column:
     """Display name of an uploaded file: no path, control or reserved characters; empty when nothing safe is left."""
+    def shorten(clean: Column) -> Column:
+        stem, ext = F.regexp_extract(clean, r"(?s)^(.*)\.[^.]*$", 1), F.regexp_extract(clean, r"\.([^.]*)$", 1)
+        return F.when(F.length(clean) <= 120, clean).when(
+            clean.contains("."), F.concat(F.substring(stem, 1, 120), F.lit("."), ext)).otherwise(F.substring(clean, 1, 120))
+
     last = _strip(F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1))
-    clean = _strip(F.regexp_replace(last, r'[\x00-\x1f\x7f"\\/:*?<>|]', ""))
-    clean = F.regexp_replace(clean, r"^(\.\s*)+", "")
-    stem, ext = F.regexp_extract(clean, r"(?s)^(.*)\.[^.]*$", 1), F.regexp_extract(clean, r"\.([^.]*)$", 1)
-    cut = F.when(F.length(clean) <= 120, clean).when(
-        clean.contains("."), F.concat(F.substring(stem, 1, 120), F.lit("."), ext)).otherwise(F.substring(clean, 1, 120))
-    return F.when(is_download_name(cut), cut).otherwise(F.lit(""))
+    clean = F.regexp_replace(_strip(F.regexp_replace(last, r'[\x00-\x1f\x7f"\\/:*?<>|]', "")), r"^(\.\s*)+", "")
+    return let(let(clean, shorten), lambda c: F.when(is_download_name(c), c).otherwise(F.lit("")))
 
 
 def is_download_name(name: Column) -> Column:
@@ -96,8 +103,8 @@ def download_name(issuance_id: Column, source_filename: Column, object_key: Colu
     stem = F.when(original.contains("."), F.regexp_extract(original, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(original)
     slug = document_slug(stem)
     plain = F.concat(reference, F.lit("."), extension)
-    full = F.when(slug != "", F.concat(slug, F.lit("-"), plain)).otherwise(plain)
-    return F.when(is_download_name(full), full).otherwise(plain)
+    # A slug holds at most 80 letters, digits and hyphens, so putting it in front keeps a valid name valid.
+    return let(slug, lambda s: F.when((s != "") & is_download_name(plain), F.concat(s, F.lit("-"), plain)).otherwise(plain))
 
 
 def parse_storage_key(key: Column) -> Column:
@@ -113,23 +120,24 @@ def parse_storage_key(key: Column) -> Column:
 
 def key_is_owned(key: Column, category: Column, organization_id: Column, object_id: Column, purpose: Column) -> Column:
     """Whether a key belongs to the row that asks to delete it, for the cleanup category."""
-    p = parse_storage_key(key)
-    own = (p["organization_id"] == organization_id)
-    same_kind = p["kind"] == purpose
-    test = (
-        F.when(category == "orphan", (p["shape"] == "orphan") & own & same_kind & (p["object_id"] == F.replace(object_id, F.lit("-"), F.lit(""))))
-        .when(category.isin("stale_promotion", "issuance_input", "verification_input"),
-              (p["shape"] == "promoted") & own & same_kind & (p["object_id"] == object_id))
-        .when(category == "issuance_output", (p["shape"] == "output") & own & (p["object_id"] == object_id))
-    )
-    return F.coalesce(test, F.lit(False))
+    def test(p: Column) -> Column:
+        own = (p["organization_id"] == organization_id)
+        same_kind = p["kind"] == purpose
+        return (
+            F.when(category == "orphan", (p["shape"] == "orphan") & own & same_kind & (p["object_id"] == F.replace(object_id, F.lit("-"), F.lit(""))))
+            .when(category.isin("stale_promotion", "issuance_input", "verification_input"),
+                  (p["shape"] == "promoted") & own & same_kind & (p["object_id"] == object_id))
+            .when(category == "issuance_output", (p["shape"] == "output") & own & (p["object_id"] == object_id))
+        )
+
+    return F.coalesce(let(parse_storage_key(key), test), F.lit(False))
 
 
 def copy_boundary_ok(source: Column, destination: Column) -> Column:
     """Whether a copy goes from an upload to a promoted input of the same tenant and kind."""
-    a, b = parse_storage_key(source), parse_storage_key(destination)
-    return F.coalesce((a["shape"] == "orphan") & (b["shape"] == "promoted") & (a["kind"] == b["kind"])
-                      & (a["organization_id"] == b["organization_id"]), F.lit(False))
+    both = F.struct(parse_storage_key(source).alias("a"), parse_storage_key(destination).alias("b"))
+    return F.coalesce(let(both, lambda p: (p["a"]["shape"] == "orphan") & (p["b"]["shape"] == "promoted") & (p["a"]["kind"] == p["b"]["kind"])
+                          & (p["a"]["organization_id"] == p["b"]["organization_id"])), F.lit(False))
 
 
 def sniff_kind(content: Column) -> Column:

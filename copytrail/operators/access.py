@@ -53,7 +53,7 @@ def visible_totals(actors: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     names = ["n", "t"] + [f"{p}_{name}" for name, _ in slices for p in ("n", "t")]
     owned = rows.groupBy("organization_id", F.col("owner_id").alias("actor_id")).agg(*cells).select(
         "organization_id", "actor_id", F.struct(*names).alias("_own"))
-    joined = lookup_join(actors, tenant, ["organization_id"]).join(owned, ["organization_id", "actor_id"], "left")
+    joined = lookup_join(actors, tenant, ["organization_id"], spread=["actor_id"]).join(owned, ["organization_id", "actor_id"], "left")
     role = F.col("role")
     wide = role == "administrator" if kind == "uploads" else role.isin(*WHOLE_TENANT)
 
@@ -99,7 +99,7 @@ def job_lists(actors: DataFrame, jobs: DataFrame, recipients: DataFrame, verific
         F.col("position") <= limit)
     owner = jobs.withColumn("position", F.row_number().over(
         Window.partitionBy("organization_id", "owner_id", "kind").orderBy(*newest))).filter(F.col("position") <= limit)
-    wide = lookup_join(actors.filter(F.col("role").isin(*WHOLE_TENANT)), tenant, ["organization_id"], "inner").select("actor_id", *tenant.columns)
+    wide = lookup_join(actors.filter(F.col("role").isin(*WHOLE_TENANT)), tenant, ["organization_id"], "inner", spread=["actor_id"]).select("actor_id", *tenant.columns)
     wanted = F.when(F.col("role") == "issuer", "issuance").when(F.col("role") == "verifier", "verification")
     own = actors.withColumn("kind", wanted).filter(F.col("kind").isNotNull()).withColumn("owner_id", F.col("actor_id")).drop("role").join(
         owner, ["organization_id", "owner_id", "kind"]).select("actor_id", *tenant.columns)

@@ -27,7 +27,7 @@ def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
 
     counts = rects.groupBy("case_id").agg(F.count("*").alias("_n"))
     tiles = F.when(F.col("_n") <= 16, 1).when(F.col("_n") <= 256, 4).when(F.col("_n") <= 4096, 16).when(F.col("_n") <= 65536, 64).otherwise(256)
-    sized = lookup_join(rects.select("case_id", "side", "x", "y", "width", "height"), counts, ["case_id"], "inner").withColumn("_t", tiles)
+    sized = lookup_join(rects.select("case_id", "side", "x", "y", "width", "height"), counts, ["case_id"], "inner", spread=["x", "y", "width", "height"]).withColumn("_t", tiles)
     step = F.lit(1.0) / F.col("_t")
     boxes = sized.select("case_id", "side", "_t", F.col("x").alias("x0"), right.alias("x1"), F.col("y").alias("y0"), bottom.alias("y1"),
                          F.explode(span(F.col("x"), right)).alias("i")).select(
@@ -87,7 +87,7 @@ def partner_ring(regions: DataFrame, key: str, shifts: Sequence[int] = (1, 2, 3)
     slot = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
     ranked = rank_in_key(hashed, ["page_id"], [F.col("_h"), F.col("region_index")], slot)
     sizes = regions.groupBy("page_id").agg(F.count("*").alias("_n"))
-    placed = lookup_join(ranked, sizes, ["page_id"])
+    placed = lookup_join(ranked, sizes, ["page_id"], counted=regions, spread=["region_index"])
     steps = F.array(*[F.lit(s) for s in shifts])
     effective = F.transform(steps, lambda s: s % F.col("_n"))
     bad = F.array_contains(effective, 0) | (F.size(F.array_distinct(effective)) < len(shifts))

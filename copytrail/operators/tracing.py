@@ -23,7 +23,7 @@ def exact_trace(suspects: DataFrame, registry: DataFrame) -> DataFrame:
 
     The registry is reduced to one row per (tenant, hash) first, so the join never multiplies suspects.
     """
-    joined = lookup_join(suspects, _keyed(registry), ["organization_id", "input_sha256"])
+    joined = lookup_join(suspects, _keyed(registry), ["organization_id", "input_sha256"], spread=["suspect_id"])
     return joined.withColumn("exact_matches", F.coalesce("_n", F.lit(0))).withColumnRenamed("_id", "exact_issuance_id").drop("_n")
 
 
@@ -42,7 +42,7 @@ def manifest_trust(manifests: DataFrame, keys: DataFrame) -> DataFrame:
         .when(outside, "VALID_UNTRUSTED_WINDOW")
         .otherwise("VALID_TRUSTED")
     )
-    joined = lookup_join(manifests, known, ["organization_id", "key_id"])
+    joined = lookup_join(manifests, known, ["organization_id", "key_id"], spread=["issuance_id"])
     return joined.withColumn("trust_code", code).withColumn("trusted", F.col("trust_code") == "VALID_TRUSTED").withColumn(
         "key_known", F.coalesce("_known", F.lit(False))).drop("_status", "_from", "_until", "_known")
 
@@ -99,7 +99,7 @@ def retained_evidence(issuances: DataFrame, results: DataFrame, jobs: DataFrame,
         & F.get_json_object("public_payload", "$.output_sha256").eqNullSafe(F.col("output_sha256"))
     )
     joined = (
-        lookup_join(issuances, doc, ["document_id"]).join(res, ["issuance_id", "organization_id"], "left").join(job, "_job", "left")
+        lookup_join(issuances, doc, ["document_id"], spread=["issuance_id"]).join(res, ["issuance_id", "organization_id"], "left").join(job, "_job", "left")
         .join(rec, ["_job", "organization_id"], "left").join(man, ["issuance_id", "organization_id"], "left")
     )
     valid = joined.withColumn("evidence_valid", F.coalesce(agreed, F.lit(False)))
@@ -123,9 +123,9 @@ def resolve_verdict(suspects: DataFrame, registry: DataFrame, retained: DataFram
         "organization_id", "input_sha256", "_n", F.col("_id").alias("exact_issuance_id"),
         F.when(F.col("_org") == F.col("organization_id"), F.struct("_e", "_m")).alias("_x"))
     seen = lookup_join(decodes.select("suspect_id", F.col("status").alias("_dstatus"), F.col("issuance_id").alias("_id")),
-                       known, ["_id"]).select("suspect_id", "_dstatus", F.col("_id").alias("_did"), "_org",
+                       known, ["_id"], spread=["suspect_id"]).select("suspect_id", "_dstatus", F.col("_id").alias("_did"), "_org",
                                               F.struct("_e", "_m").alias("_y"))
-    rows = lookup_join(suspects, exact, ["organization_id", "input_sha256"]).join(seen, "suspect_id", "left")
+    rows = lookup_join(suspects, exact, ["organization_id", "input_sha256"], spread=["suspect_id"]).join(seen, "suspect_id", "left")
     rows = rows.withColumn("_known", F.when(F.col("_org") == F.col("organization_id"), F.lit(True)))
     none_id, none_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
 
@@ -176,7 +176,7 @@ def attestation(references: DataFrame, manifests: DataFrame, keys: DataFrame) ->
     man = manifests.select("organization_id", "issuance_id", "public_payload", "key_id",
                            F.col("algorithm").alias("signing_algorithm"))
     known = keys.select("organization_id", "key_id", F.col("key_id").alias("signing_key_id"))
-    facts = lookup_join(man, known, ["organization_id", "key_id"]).drop("key_id").withColumn(
+    facts = lookup_join(man, known, ["organization_id", "key_id"], spread=["issuance_id"]).drop("key_id").withColumn(
         "expected_sha256", _string_field("public_payload", "output_sha256")).filter(
         F.col("expected_sha256").rlike(C.SHA256_PATTERN)).select(
         "organization_id", "issuance_id", "expected_sha256", F.sha2("public_payload", 256).alias("manifest_sha256"),
@@ -255,7 +255,7 @@ def trace_modified_copy(suspect_chunks: DataFrame, issued_chunks: DataFrame) ->
     holders = issued_chunks.groupBy("organization_id", "chunk_sha256", "issuance_id").agg(F.lit(1).alias("_one")).groupBy(
         "organization_id", "chunk_sha256").agg(F.count("*").alias("_holders"), F.min("issuance_id").alias("_id"))
     lines = suspect_chunks.groupBy("suspect_id", "organization_id", "chunk_sha256").agg(F.count("*").alias("_n"))
-    votes = lookup_join(lines, holders, ["organization_id", "chunk_sha256"]).select(
+    votes = lookup_join(lines, holders, ["organization_id", "chunk_sha256"], spread=["suspect_id"]).select(
         "suspect_id", "_n", F.when(F.col("_holders") == 1, F.col("_id")).alias("issuance_id"),
         F.coalesce(F.col("_holders") > 1, F.lit(False)).alias("_shared"))
     tally = votes.groupBy("suspect_id", "issuance_id").agg(

@@ -37,7 +37,7 @@ def soft_vote(votes: DataFrame, threshold: float = C.VOTE_SUPPORT) -> DataFrame:
         F.count("*").alias("_votes"), F.sum("bit_error_rate").alias("_errors"), F.count("bit_error_rate").alias("_measured"),
         F.bool_or("_conflict").alias("_conflict"), F.bool_or(F.col("reason") == "invalid_crc").alias("_crc"))
     totals = groups.groupBy("subject_id", "candidate_id").agg(F.sum("_votes").alias("_all"))
-    placed = lookup_join(groups, totals, ["subject_id", "candidate_id"], "inner", counted=votes).withColumn("_support", F.col("_votes") / F.col("_all"))
+    placed = lookup_join(groups, totals, ["subject_id", "candidate_id"], "inner", counted=votes, spread=["_id"]).withColumn("_support", F.col("_votes") / F.col("_all"))
     real = F.col("_id").isNotNull()
     fits = real & (F.col("_votes") >= C.VOTE_QUORUM) & (F.col("_support") >= threshold)
     rank = F.struct("_support", "_votes", F.col("_errors").alias("_e"), F.col("_measured").alias("_m"), "candidate_id")

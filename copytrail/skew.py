@@ -31,18 +31,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                counted: DataFrame | None = None) -> DataFrame:
+                counted: DataFrame | None = None, spread: Sequence[str] | None = None) -> DataFrame:
     """Equi-join ``left`` to ``right``, whose rows are few per key, with hot left keys spread over salts.
 
-    Rows of a hot key get a salt from the hash of the whole row; the matching right rows are repeated once
-    per salt, and only for those keys. The result is the plain join's. ``counted`` names a cheaper frame with
-    the same key frequencies, for a ``left`` that is costly to compute twice.
+    Rows of a hot key get a salt from the hash of ``spread`` (by default the whole row; naming an id lets the
+    scan skip columns nobody else asks for). The matching right rows are repeated once per salt, and only for
+    those keys. The result is the plain join's. ``counted`` names a cheaper frame with the same key
+    frequencies, for a ``left`` that is costly to compute twice.
     """
     salts = _setting(left, "salts", SALTS)
     hot = F.broadcast(hot_keys(left if counted is None else counted, keys))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
     salted = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
@@ -114,7 +115,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions:
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, grid, 10000).alias("_cuts"), F.count("*").alias("_n"))
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    sliced = lookup_join(counted, cuts, keys, "inner", counted=rows).withColumn(
+    sliced = lookup_join(counted, cuts, keys, "inner", counted=rows, spread=[value]).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
     wanted = F.array(*[
         F.struct(F.lit(label).alias("label"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at"))
