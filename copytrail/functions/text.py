@@ -51,17 +51,21 @@ def upload_intent_code(role: Column, kind: Column, content_type: Column, size: C
 
 
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.trim(value, F.lit(" \t\n\x0b\f\r"))
+
+
+def _stem(name: Column) -> Column:
+    """Everything before the last dot; the names may be whole texts, so no pattern that could backtrack over them."""
+    return F.substring(name, F.lit(1), F.greatest(F.lit(0), F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1))
 
 
 def safe_filename(name: Column) -> Column:
     """Display name of an uploaded file: no path, control or reserved characters; empty when nothing safe is left."""
     def shorten(clean: Column) -> Column:
-        stem, ext = F.regexp_extract(clean, r"(?s)^(.*)\.[^.]*$", 1), F.regexp_extract(clean, r"\.([^.]*)$", 1)
         return F.when(F.length(clean) <= 120, clean).when(
-            clean.contains("."), F.concat(F.substring(stem, 1, 120), F.lit("."), ext)).otherwise(F.substring(clean, 1, 120))
+            clean.contains("."), F.concat(F.substring(_stem(clean), 1, 120), F.lit("."), F.substring_index(clean, ".", -1))).otherwise(F.substring(clean, 1, 120))
 
-    last = _strip(F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1))
+    last = _strip(F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1))
     clean = F.regexp_replace(_strip(F.regexp_replace(last, r'[\x00-\x1f\x7f"\\/:*?<>|]', "")), r"^(\.\s*)+", "")
     return let(let(clean, shorten), lambda c: F.when(is_download_name(c), c).otherwise(F.lit("")))
 
@@ -100,7 +104,7 @@ def download_name(issuance_id: Column, source_filename: Column, object_key: Colu
     extension = F.when(suffix.isin("pdf", "png"), suffix).otherwise("pdf")
     reference = F.concat(F.lit(f"{prefix}-"), F.substring(issuance_id, 1, 8))
     original = _strip(F.coalesce(source_filename, F.lit("")))
-    stem = F.when(original.contains("."), F.regexp_extract(original, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(original)
+    stem = F.when(original.contains("."), _stem(original)).otherwise(original)
     slug = document_slug(stem)
     plain = F.concat(reference, F.lit("."), extension)
     # A slug holds at most 80 letters, digits and hyphens, so putting it in front keeps a valid name valid.
