@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from copytrail.skew import lookup_join
+from copytrail.skew import lookup_join, sparse_join
 
 # Which role sees its own rows, per kind of row (fixed values).
 OWN_ROLE = {"issuances": "issuer", "verifications": "verifier"}
@@ -79,7 +79,8 @@ def check_access(requests: DataFrame, actors: DataFrame, rows: DataFrame, kind:
 
 
 def _with_subjects(jobs: DataFrame, recipients: DataFrame, verifications: DataFrame) -> DataFrame:
-    return jobs.join(recipients, "issuance_id", "left").join(verifications, "verification_id", "left")
+    named = sparse_join(jobs, recipients, ["issuance_id"], ["job_id"])
+    return sparse_join(named, verifications, ["verification_id"], ["job_id"])
 
 
 def job_list(jobs: DataFrame, recipients: DataFrame, verifications: DataFrame, actor_id, organization_id: str, role: str,

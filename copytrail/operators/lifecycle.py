@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
-from copytrail.skew import lookup_join, previous_in_key
+from copytrail.skew import lookup_join, previous_in_key, slice_hot
 
 
 def _allowed(edges: dict[str, tuple[str, ...]], source: Column, target: Column) -> Column:
@@ -37,9 +37,10 @@ def apply_transitions(requests: DataFrame) -> DataFrame:
 
 
 def transition_audit(history: DataFrame) -> DataFrame:
-    """Status changes that no declared edge allows. Days are the slices that keep a busy job parallel."""
+    """Status changes that no declared edge allows. A busy job is followed slice by slice."""
     order = ["changed_at", "change_id", "status", "attempt"]
-    stepped = previous_in_key(history, ["job_id"], order, ["status", "attempt"], F.to_date("changed_at"))
+    sliced = slice_hot(history.withColumn("_at", F.unix_micros(F.col("changed_at").cast("timestamp"))), ["job_id"], "_at")
+    stepped = previous_in_key(sliced, ["job_id"], order, ["status", "attempt"], F.col("_slice")).drop("_at", "_slice")
     moved = stepped.filter(F.col("previous_status").isNotNull())
     code = transition_code(F.col("previous_status"), F.col("status"), F.col("previous_attempt"))
     return moved.withColumn("error_code", code).filter(F.col("error_code").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
-from copytrail.skew import lookup_join, running_max, running_sum
+from copytrail.skew import lookup_join, running_max, running_sum, slice_hot, sparse_join
 
 CONCLUSIVE = ("decoded", "partial_payload_evidence")
 
@@ -62,15 +62,16 @@ def active_signing_key(requests: DataFrame, keys: DataFrame, at: str = "at") ->
         F.struct(F.col("_from").alias("t"), F.lit(1).alias("d")), F.struct(F.col("_until").alias("t"), F.lit(-1).alias("d")))).alias("e"))
     steps = edges.filter(F.col("e.t").isNotNull()).groupBy("organization_id", F.col("e.t").alias("_t")).agg(
         F.sum("e.d").alias("_d"), F.sum(F.col("_number") * F.col("e.d")).alias("_dn"))
-    day = F.to_date("_t")
-    segments = running_sum(running_sum(steps, ["organization_id"], [F.col("_t")], "_d", day, "_open"),
-                           ["organization_id"], [F.col("_t")], "_dn", day, "_sum")
+    tenant, part = ["organization_id"], F.col("_slice")
+    sliced = slice_hot(steps.withColumn("_us", F.unix_micros("_t")), tenant, "_us")
+    segments = running_sum(running_sum(sliced, tenant, [F.col("_t")], "_d", part, "_open"), tenant, [F.col("_t")], "_dn", part, "_sum")
     single = segments.filter(F.col("_open") == 1).select("organization_id", "_t", F.col("_sum").cast("decimal(38,0)").alias("_number")).join(
         usable.select("organization_id", "_number", "_key"), ["organization_id", "_number"]).select(
         "organization_id", F.col("_t").alias("_since"), F.col("_key").alias("signing_key_id"))
     moments = requests.select("organization_id", F.col(at).cast("timestamp").alias("_t"), F.lit(None).cast("timestamp").alias("_edge")).distinct()
     marks = steps.select("organization_id", "_t", F.col("_t").alias("_edge")).unionByName(moments)
-    placed = running_max(marks, ["organization_id"], [F.col("_t"), F.col("_edge").asc_nulls_last()], "_edge", day, "_since").filter(
+    cut = slice_hot(marks.withColumn("_us", F.unix_micros("_t")), tenant, "_us")
+    placed = running_max(cut, tenant, [F.col("_t"), F.col("_edge").asc_nulls_last()], "_edge", part, "_since").filter(
         F.col("_edge").isNull()).select("organization_id", F.col("_t"), "_since")
     found = placed.join(single, ["organization_id", "_since"]).select("organization_id", F.col("_t").alias("_at"), "signing_key_id")
     joined = lookup_join(requests.withColumn("_at", F.col(at).cast("timestamp")), found, ["organization_id", "_at"])
@@ -99,9 +100,10 @@ def retained_evidence(issuances: DataFrame, results: DataFrame, jobs: DataFrame,
         & F.get_json_object("public_payload", "$.output_sha256").eqNullSafe(F.col("output_sha256"))
     )
     joined = (
-        lookup_join(issuances, doc, ["document_id"], spread=["issuance_id"]).join(res, ["issuance_id", "organization_id"], "left").join(job, "_job", "left")
-        .join(rec, ["_job", "organization_id"], "left").join(man, ["issuance_id", "organization_id"], "left")
+        lookup_join(issuances, doc, ["document_id"], spread=["issuance_id"]).join(res, ["issuance_id", "organization_id"], "left")
+        .join(man, ["issuance_id", "organization_id"], "left")
     )
+    joined = sparse_join(sparse_join(joined, job, ["_job"], ["issuance_id"]), rec, ["_job", "organization_id"], ["issuance_id"])
     valid = joined.withColumn("evidence_valid", F.coalesce(agreed, F.lit(False)))
     manifest = (
         F.when(~F.col("evidence_valid") | F.col("trusted").isNull(), F.lit(None).cast("boolean"))
@@ -119,7 +121,7 @@ def resolve_verdict(suspects: DataFrame, registry: DataFrame, retained: DataFram
     """
     known = retained.select(F.col("issuance_id").alias("_id"), F.col("organization_id").alias("_org"),
                             F.col("evidence_valid").alias("_e"), F.col("manifest_valid").alias("_m"))
-    exact = _keyed(registry).join(known, "_id", "left").select(
+    exact = sparse_join(_keyed(registry), known, ["_id"], ["input_sha256"]).select(
         "organization_id", "input_sha256", "_n", F.col("_id").alias("exact_issuance_id"),
         F.when(F.col("_org") == F.col("organization_id"), F.struct("_e", "_m")).alias("_x"))
     seen = lookup_join(decodes.select("suspect_id", F.col("status").alias("_dstatus"), F.col("issuance_id").alias("_id")),

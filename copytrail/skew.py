@@ -36,19 +36,49 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
     Rows of a hot key get a salt from the hash of ``spread`` (by default the whole row; naming an id lets the
     scan skip columns nobody else asks for). The matching right rows are repeated once per salt, and only for
-    those keys. The result is the plain join's. ``counted`` names a cheaper frame with the same key
+    those keys. Rows without a key match nothing and are spread as well. The result is the plain join's.
+    ``counted`` names a cheaper frame with the same key
     frequencies, for a ``left`` that is costly to compute twice.
     """
     salts = _setting(left, "salts", SALTS)
     hot = F.broadcast(hot_keys(left if counted is None else counted, keys))
     salt = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
+    loose = F.coalesce("_hot", F.lit(False)) | _any_null(keys)
     salted = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+        "_salt", F.when(loose, salt).otherwise(F.lit(0))).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def _any_null(keys: Sequence[str]) -> Column:
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    return missing
+
+
+def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str]) -> DataFrame:
+    """Left join on keys that many left rows lack; those rows match nothing and are not sent to one task."""
+    salts = _setting(left, "salts", SALTS)
+    salt = F.when(_any_null(keys), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").drop("_salt")
+
+
+def slice_hot(df: DataFrame, keys: Sequence[str], order: str, slices: int = 128, name: str = "_slice") -> DataFrame:
+    """Number the slices of each hot key along ``order`` so that they hold about equally many rows; other keys get slice 0.
+
+    The cuts are approximate quantiles of a bounded sketch, at most ``HOT_KEYS`` x ``slices`` numbers, whatever the
+    distribution in time: one crowded day is cut as finely as the rest. Only rows of equal order stay together.
+    """
+    hot = F.broadcast(hot_keys(df, keys))
+    grid = [n / slices for n in range(1, slices)]
+    cuts = df.select(*keys, order).join(hot, list(keys)).groupBy(*keys).agg(F.percentile_approx(order, grid, 10000).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return df.join(F.broadcast(cuts), list(keys), "left").withColumn(
+        name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_cuts")
+
+
 def rank_in_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "rank") -> DataFrame:
     """Zero-based position of each row within its key.
 

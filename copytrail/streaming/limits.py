@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copytrail.skew import previous_in_key, running_max
+from copytrail.skew import previous_in_key, running_max, slice_hot
 
 
 def admit(times: Iterable[int], past: Iterable[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
@@ -33,11 +33,11 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """
     window = seconds * 1_000_000
     rows = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    slot = F.floor(F.col("micros") / F.lit(86_400_000_000))
-    stepped = previous_in_key(rows, ["key"], ["micros", "event_id"], ["micros"], slot)
+    slot = F.col("_slice")
+    stepped = previous_in_key(slice_hot(rows, ["key"], "micros"), ["key"], ["micros", "event_id"], ["micros"], slot)
     opens = F.col("previous_micros").isNull() | (F.col("micros") - F.col("previous_micros") >= window)
     marked = stepped.withColumn("_open", F.when(opens, F.col("micros"))).drop("previous_micros")
-    bursts = running_max(marked, ["key"], [F.col("micros"), F.col("event_id")], "_open", slot, "burst").drop("_open")
+    bursts = running_max(marked, ["key"], [F.col("micros"), F.col("event_id")], "_open", slot, "burst").drop("_open", "_slice")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, []

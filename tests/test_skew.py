@@ -109,3 +109,31 @@ def test_rate_limit_against_brute_force(spark):
             event += 1
     hits = spark.createDataFrame(data, "key string, s bigint, event_id bigint").select("key", F.timestamp_seconds("s").alias("ts"), "event_id")
     assert {r.event_id: r.allowed for r in rate_limit(hits, 5, 60).collect()} == truth
+
+
+def test_sparse_join_is_the_plain_left_join(spark, skewed):
+    left = skewed.withColumn("k", F.when(F.col("id") % 2 == 0, F.col("k")))
+    right = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, w bigint")
+    assert rows_of(skew.sparse_join(left, right, ["k"], ["id"]).select("id", "k", "w")) == rows_of(left.join(right, "k", "left").select("id", "k", "w"))
+
+
+def test_hot_slices_follow_the_order(spark, skewed, tiny_hot_keys):
+    sliced = skew.slice_hot(skewed, ["k"], "v", slices=16).filter("k = 'hot'").toPandas().sort_values("v")
+    assert sliced["_slice"].is_monotonic_increasing and sliced["_slice"].nunique() > 8
+    assert sliced.groupby("_slice").size().max() < len(sliced) / 4
+
+
+def test_sliced_operators_give_the_same_rows(spark, tiny_hot_keys):
+    """With every key hot, the request limit and the transition audit still match their plain definitions."""
+    from copytrail.operators.lifecycle import transition_audit
+
+    random.seed(5)
+    states = ["created", "queued", "processing", "retryable_failed", "succeeded"]
+    rows = [(n % 4, 1000 + n // 3, n, random.choice(states), random.randrange(3)) for n in range(400)]
+    history = spark.createDataFrame(rows, "job_id bigint, s bigint, change_id bigint, status string, attempt int").select(
+        "job_id", F.timestamp_seconds("s").alias("changed_at"), "change_id", "status", "attempt")
+    found = {r.change_id: r.previous_status for r in transition_audit(history).collect()}
+    w = Window.partitionBy("job_id").orderBy("changed_at", "change_id")
+    plain = {r.change_id: r.p for r in history.withColumn("p", F.lag("status").over(w)).collect()}
+    assert found and all(plain[change] == previous for change, previous in found.items())
+    test_rate_limit_against_brute_force(spark)
