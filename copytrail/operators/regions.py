@@ -34,7 +34,9 @@ def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
         "*", F.explode(span(F.col("y0"), F.col("y1"))).alias("j")).select(
         "case_id", "side", "i", "j", F.greatest("x0", F.col("i") * step).alias("x0"), F.least("x1", (F.col("i") + 1) * step).alias("x1"),
         F.greatest("y0", F.col("j") * step).alias("y0"), F.least("y1", (F.col("j") + 1) * step).alias("y1")).distinct()
+    # Distributed by tile once: the cuts, the slabs, their join and the interval merge below all keep that layout.
     tile = ["case_id", "i", "j"]
+    boxes = boxes.repartition(*tile)
     cuts = boxes.select(*tile, F.explode(F.array("x0", "x1")).alias("s0")).distinct()
     slabs = cuts.withColumn("s1", F.lead("s0").over(Window.partitionBy(*tile).orderBy("s0"))).filter(F.col("s1").isNotNull())
     inside = slabs.join(boxes, tile).filter((F.col("x0") <= F.col("s0")) & (F.col("x1") >= F.col("s1")))
