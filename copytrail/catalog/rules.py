@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from copytrail.catalog import query
-from copytrail.catalog.lifecycle import NOW_SQL
 from copytrail.functions import evidence as E
 from copytrail.functions import ids as I
 from copytrail.functions import text as X

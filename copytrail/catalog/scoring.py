@@ -112,14 +112,10 @@ def _(i):
     return r6(S.eligible_profiles(_run_scores(i, S.PROFILE_V1), ["run_id"]), "worst_rate").select("run_id", "profile_id", "rank", "worst_rate")
 
 
-def _planned(i):
+def _planned(i, short=0):
+    """Planned rows per run; ``short`` makes one run lack that many."""
     return i.run_rows.groupBy("run_id").agg(
-        (F.count("*") + F.when(F.col("run_id") == "run0", 0).otherwise(0)).alias("planned_rows"))
-
-
-def _planned_short(i):
-    return i.run_rows.groupBy("run_id").agg(
-        (F.count("*") + F.when(F.col("run_id") == "run1", 1).otherwise(0)).alias("planned_rows"))
+        (F.count("*") + F.when(F.col("run_id") == "run1", short).otherwise(0)).alias("planned_rows"))
 
 
 STATUS = """
@@ -131,7 +127,7 @@ STATUS = """
 
 @query("run_status", "WITH" + STATUS.replace("{x}", "1") + "SELECT * FROM status")
 def _(i):
-    return S.run_status(i.run_rows, _planned_short(i), ["run_id"])
+    return S.run_status(i.run_rows, _planned(i, 1), ["run_id"])
 
 
 @query("qualified_selection_v2", score_sql("run_rows", ["run_id", "profile_id"], S.PREGATE_V2, "mean", S.PREGATE_V2.quality_gates[:3], 35)

@@ -20,8 +20,8 @@ def scope_rows(rows: DataFrame, kind: str, actor_id, organization_id: str, role:
     own = scoped.filter(F.col("owner_id") == actor_id)
     if kind == "jobs":
         wanted = {"issuer": "issuance", "verifier": "verification"}.get(role)
-        return own.filter(F.col("kind") == wanted) if wanted else own.limit(0)
-    return own if role == OWN_ROLE[kind] else own.limit(0)
+        return own.filter(F.col("kind") == wanted) if wanted else own.filter(F.lit(False))
+    return own if role == OWN_ROLE[kind] else own.filter(F.lit(False))
 
 
 def scope_uploads(rows: DataFrame, actor_id, organization_id: str, role: str) -> DataFrame:
