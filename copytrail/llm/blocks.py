@@ -16,7 +16,7 @@ SMALL = 24
 
 
 def pair_blocks(keyed: DataFrame, row_id: str, chunk: int = CHUNK) -> DataFrame:
-    """Rows of keys that hold more than one row, with ``_lo`` and ``_hi``.
+    """Rows of keys that hold more than one row, with ``_part``, ``_lo`` and ``_hi``.
 
     A key of n rows is cut by a hash of the row id into ceil(n / chunk) parts, and each pair of parts is one block, so
     no task gets more than about two parts of it at a time and no pair of rows is missed. Rows alone in their key leave.
@@ -26,7 +26,7 @@ def pair_blocks(keyed: DataFrame, row_id: str, chunk: int = CHUNK) -> DataFrame:
     cut = keyed.join(counts, "key").withColumn("_parts", parts).withColumn("_part", F.expr(f"int(pmod(xxhash64({row_id}), _parts))"))
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")
     spread = cut.select("*", other)
-    return spread.select(*keyed.columns, F.least("_part", "_other").alias("_lo"), F.greatest("_part", "_other").alias("_hi"))
+    return spread.select(*keyed.columns, "_part", F.least("_part", "_other").alias("_lo"), F.greatest("_part", "_other").alias("_hi"))
 
 
 def in_blocks(blocks: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:

@@ -2,17 +2,69 @@
 
 from __future__ import annotations
 
+import numpy as np
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copytrail.llm import simhash
+from copytrail.llm import bytebpe, embeddings, lengths, pieces, rans, simhash, urlfilter
 from copytrail.llm.common import table
 
+#: (host, path, verdict) of the registered URL query.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def byte_bpe(texts: list[str | None]) -> list[np.ndarray]:
+    """Ids of the byte-level vocabulary, as the tokenizers library gives them."""
+    path = public_tokenizers.path
+    return bytebpe.tokenizer(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode(texts)
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, 64 bits, at most four bits apart: six blocks of which two agree miss no pair."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, blocks=6, agree=2, distance=4)
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page url by the four rules."""
+    rules = spark.createDataFrame([(host + path, len(path), verdict) for host, path, verdict in URL_RULES], "key string, path_length int, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 and more over all vectors."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every context limit needs, over the whole texts of all documents."""
+    return lengths.limits(lengths.histogram(lengths.counted(table(spark, sf_dir, "documents"), byte_bpe)))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to files and read back; id 0 ends a document."""
+    found = rans.digests(table(spark, sf_dir, "documents"), rans.new_folder(spark), byte_bpe, end_id=0)
+    return found.select("doc_id", F.col("start").cast("long"), "n_tokens", F.col("ids_crc32").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_url_filter, op5_embedding_dedup, op7_token_counts, op9_sentencepiece, op10_token_files)}
+
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+ORACLES = {"op4_url_filter": f"""
+WITH rules(h, p, v) AS (VALUES {_RULES}),
+split AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+named AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+fits AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT named.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM named LEFT JOIN fits USING (page_id)
+"""}
