@@ -34,5 +34,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _round(stars: DataFrame) -> tuple[DataFrame, tuple]:
-    stars = written(stars, "stars")
+    # Rounds are many and their rows few beside the corpus: an eighth of the shuffle's partitions is written.
+    parts = max(4, int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    stars = written(stars.coalesce(parts), "stars")
     return stars, tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copytrail.llm import bytebpe, embeddings, lengths, pieces, rans, simhash, urlfilter
+from copytrail.llm import bytebpe, decontaminate, embeddings, lengths, lines, pieces, quality, rans, simhash, urlfilter
 from copytrail.llm.common import table
 
 #: (host, path, verdict) of the registered URL query.
@@ -25,6 +25,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, blocks=6, agree=2, distance=4)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score; one fifth of the ids is held out of training."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page url by the four rules."""
     rules = spark.createDataFrame([(host + path, len(path), verdict) for host, path, verdict in URL_RULES], "key string, path_length int, verdict string")
@@ -36,6 +46,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that recur across documents."""
+    return lines.drop_recurring(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every context limit needs, over the whole texts of all documents."""
     return lengths.limits(lengths.histogram(lengths.counted(table(spark, sf_dir, "documents"), byte_bpe)))
@@ -52,7 +67,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("start").cast("long"), "n_tokens", F.col("ids_crc32").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_url_filter, op5_embedding_dedup, op7_token_counts, op9_sentencepiece, op10_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_decontamination, op3_quality, op4_url_filter, op5_embedding_dedup, op6_line_dedup, op7_token_counts, op9_sentencepiece,
+    op10_token_files)}
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 ORACLES = {"op4_url_filter": f"""
