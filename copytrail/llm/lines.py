@@ -17,7 +17,7 @@ SLOTS = 64
 ALIKE = 0.7
 MIN_DOCUMENTS = 10
 #: A document with more than this share of its words in lines that many documents hold is a copy, not a carrier.
-COPY_SHARE = 0.5
+COPY_SHARE = 0.25
 WILD = "<*>"
 
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from copytrail.llm import bytebpe, decontaminate, embeddings, lengths, lines, pieces, quality, rans, simhash, urlfilter
+from copytrail.llm import bytebpe, decontaminate, embeddings, html, lengths, lines, pieces, quality, rans, simhash, urlfilter
 from copytrail.llm.common import table
 
 #: (host, path, verdict) of the registered URL query.
@@ -56,6 +56,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.histogram(lengths.counted(table(spark, sf_dir, "documents"), byte_bpe)))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,7 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_decontamination, op3_quality, op4_url_filter, op5_embedding_dedup, op6_line_dedup, op7_token_counts, op9_sentencepiece,
+    op1_simhash, op2_decontamination, op3_quality, op4_url_filter, op5_embedding_dedup, op6_line_dedup, op7_token_counts, op8_html, op9_sentencepiece,
     op10_token_files)}
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
