@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,3 +56,28 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
             yield now.slice(0, starts[-1]), starts[:-1]
     if rest is not None:
         yield rest, np.zeros(1, dtype=np.int64)
+
+
+class WordMemory:
+    """Values of words, learned many at a time when first met. ``learn`` gives, for a list of words, one or more lists of values.
+
+    When it is full, what was learned first stays: common words are met early. What is remembered never changes a result.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[list, ...]], most: int):
+        self.known: list[dict] = [{}]
+        self.learn, self.most = learn, most
+
+    def prepare(self, texts: list[list[str]]) -> list[dict]:
+        """One look-up for each list of values, at least of all words of the given texts."""
+        met = set().union(*texts)
+        fresh = list(met.difference(self.known[0]))
+        if len(self.known[0]) + len(fresh) > self.most:
+            self.known = [dict(islice(k.items(), self.most // 3)) for k in self.known]
+            fresh = list(met.difference(self.known[0]))
+        if fresh:
+            values = self.learn(fresh)
+            self.known += [{} for _ in values[len(self.known):]]
+            for known, column in zip(self.known, values, strict=True):
+                known.update(zip(fresh, column, strict=True))
+        return self.known
