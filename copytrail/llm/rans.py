@@ -114,6 +114,15 @@ class Coder:
         return out.reshape(-1)[:max(0, min(n, last * SECTION) - first * SECTION)]
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Plain ids in two bytes each where they fit, else in four."""
+    return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if len(data) == 2 * n else "<u4")
+
+
 def write(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[np.ndarray]], end_id: int, block: int = BLOCK) -> None:
     """Writes the ids of every document, in ascending doc_id order and with ``end_id`` after each, below ``path``.
 
@@ -131,7 +140,7 @@ def write(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[
         def one() -> pa.RecordBatch:
             ends = np.cumsum([len(i) for i in ids])
             columns = [pa.array([v], t) for v, t in ((part, pa.int32()), (number, pa.int32()), (within, pa.int64()), (n, pa.int64()),
-                       (np.concatenate(ids).astype("<u4").tobytes(), pa.binary()), (ends.tolist(), pa.list_(pa.int64())), (held, pa.list_(pa.int64())))]
+                       (_narrow(np.concatenate(ids)), pa.binary()), (ends.tolist(), pa.list_(pa.int64())), (held, pa.list_(pa.int64())))]
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "within", "n_block", "ids", "ends", "docs"])
 
         part = TaskContext.get().partitionId()
@@ -150,7 +159,7 @@ def write(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged.mapInArrow(cut, RAW).write.parquet(f"{path}/raw")
+    ranged.mapInArrow(cut, RAW).write.option("compression", "zstd").parquet(f"{path}/raw")
     raw = spark.read.schema(RAW).parquet(f"{path}/raw")
     _count(raw).write.parquet(f"{path}/table")
     table = read_table(spark, path)
@@ -160,7 +169,7 @@ def write(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                data = coder.encode(np.frombuffer(row.column(4)[0].as_py(), dtype="<u4"))
+                data = coder.encode(_wide(row.column(4)[0].as_buffer(), row.column(3)[0].as_py()))
                 yield pa.RecordBatch.from_arrays([*(row.column(i) for i in range(4)), pa.array([data], pa.binary()), row.column(5), row.column(6)],
                                                  names=["part", "block", "within", "n_block", "data", "ends", "docs"])
 
@@ -175,14 +184,14 @@ def _count(raw: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                now = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+            for ids, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                now = np.bincount(_wide(ids.as_buffer(), n))
                 total, now = (total, now) if len(total) >= len(now) else (now, total)
                 total[:len(now)] += now
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
-    return raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return raw.select("ids", "n_block").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def read_table(spark: SparkSession, path: str) -> Frequencies:
@@ -194,7 +203,8 @@ def read_table(spark: SparkSession, path: str) -> Frequencies:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document of the files; start counts the ids before it.
 
-    Blocks are decoded independently; only one row for each sorted partition (its number of ids) is added up beforehand.
+    Blocks are decoded independently. Only the sorted partitions' sizes are added up beforehand and sent to all tasks: one
+    row each, and their number is a setting (spark.sql.shuffle.partitions).
     """
     table = read_table(spark, path)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
@@ -212,7 +222,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(docs, pa.int64()), pa.array([begin + s for s in starts], pa.int64()), pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int64()),
                      pa.array([ids[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    placed = blocks.join(begins, "part").select((F.col("before") + F.col("within")).alias("begin"), "data", "ends", "docs")
+    placed = blocks.join(F.broadcast(begins), "part").select((F.col("before") + F.col("within")).alias("begin"), "data", "ends", "docs")
     return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
