@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from copytrail.llm.common import WordMemory
+
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 #: Distinct words remembered by one Python worker; older ones go when it is full, which changes no result.
@@ -39,6 +41,7 @@ class PieceModel:
         self.raw = [b"" if special[i] else self.pieces[i].replace(SPACE, " ").encode() for i in ids]
         for b, i in enumerate(self.byte_id):
             self.raw[i] = bytes([b])
+        self.decimal = [str(i).encode() for i in ids]
         # Characters that only occur inside longer pieces take part in merges, too: they get ids after the vocabulary.
         inner = sorted({c for p in self.id_of for c in p if c not in self.id_of})
         self.symbols = self.id_of | {c: len(self.pieces) + k for k, c in enumerate(inner)}
@@ -59,8 +62,8 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.ranks[at], NONE), at
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each word, as merging its best-ranked leftmost pair again and again gives them.
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and how many each word has, as merging its best-ranked leftmost pair again and again gives them.
 
         One round finds every word's lowest pair rank and merges that pair in all words at once: at every place where it
         does not overlap itself, from the left, unless a pair that such a merge makes ranks lower still; then only at the
@@ -75,12 +78,9 @@ class PieceModel:
         symbol = np.where(symbol < 0, -1 - points, symbol)
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word = [], []
+        rank, row = self._ranks(symbol, word, np.arange(len(symbol)))
         while len(symbol):
-            joined = word[:-1] == word[1:]
-            rank, row = self.rank(symbol[:-1], symbol[1:])
-            rank = np.append(np.where(joined, rank, NONE), NONE)
-            row = np.append(row, 0)
-            starts = np.flatnonzero(np.append(True, ~joined))
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(starts, len(symbol)))
             least = np.minimum.reduceat(rank, starts)
             busy = np.repeat(least < NONE, sizes)
@@ -91,13 +91,12 @@ class PieceModel:
                 sizes, least = sizes[least < NONE], least[least < NONE]
                 if not len(symbol):
                     break
-            symbol, word = self._merged(symbol, word, rank, row, np.repeat(least, sizes))
+            symbol, word, rank, row = self._merged(symbol, word, rank, row, np.repeat(least, sizes))
         symbol, word = np.concatenate(done_symbol or [symbol]), np.concatenate(done_word or [word])
         order = np.argsort(word, kind="stable")
-        flat, counts = self._with_bytes(symbol[order], word[order], len(words))
-        return np.split(flat, np.cumsum(counts)[:-1]) if len(words) else []
+        return self._with_bytes(symbol[order], word[order], len(words))
 
-    def _merged(self, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, row: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merged(self, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray, row: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(symbol)
         at = np.flatnonzero(rank == least)
         new_run = np.append(True, (np.diff(at) > 1) | (word[at[1:]] != word[at[:-1]]))
@@ -116,11 +115,21 @@ class PieceModel:
         early = np.minimum.reduceat(best, np.flatnonzero(first)) < least[at[first]]
         keep = first | ~early[group]
         at, made = at[keep], made[keep]
-        symbol = symbol.copy()
         symbol[at] = made
         stay = np.ones(n, dtype=bool)
         stay[at + 1] = False
-        return symbol[stay], word[stay]
+        symbol, word, rank, row = symbol[stay], word[stay], rank[stay], row[stay]
+        # Only the pairs on either side of a merged one are new.
+        at = at - np.arange(len(at))
+        new = np.concatenate([at, at[at > 0] - 1])
+        rank[new], row[new] = self._ranks(symbol, word, new)
+        return symbol, word, rank, row
+
+    def _ranks(self, symbol: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of the pair that begins at each place, NONE at a word's end; and its row."""
+        after = np.minimum(at + 1, len(symbol) - 1)
+        rank, row = self.rank(symbol[at], symbol[after])
+        return np.where((at + 1 < len(symbol)) & (word[at] == word[after]), rank, NONE), row
 
     def _with_bytes(self, symbol: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Symbols without a piece become the ids of their UTF-8 bytes."""
@@ -135,9 +144,9 @@ class PieceModel:
         flat[np.repeat(np.isin(np.arange(len(symbol)), lost), sizes)] = np.concatenate(spelled)
         return flat, np.bincount(np.repeat(word, sizes), minlength=n)
 
-    def decode_words(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each word's ids; a marked space is a space."""
-        return [b"".join(map(self.raw.__getitem__, one.tolist())) for one in ids]
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes that ids stand for; a marked space is a space."""
+        return b"".join(map(self.raw.__getitem__, ids))
 
 
 @cache
@@ -145,29 +154,40 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-@cache
-def _memory(path: str) -> dict[str, tuple[int, bytes, bytes]]:
-    return {}
+class Memory:
+    """What encoding and decoding a text needs of each of its words: the ids in decimal, joined by commas, and the bytes
+    that these ids decode to."""
+
+    def __init__(self, path: str):
+        self.pieces = model(path)
+        self.memory = WordMemory(self._learn, REMEMBERED)
 
+    def prepare(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """For each text its ids in decimal, joined by commas, and the bytes they decode to; a null or empty text has none.
 
-def _words(text: str | None) -> list[str]:
-    return WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        Words end at a space between other characters. Texts with other spacing, or with marked spaces, are cut where a
+        marked space follows another character.
+        """
+        parts = [t.split(" ") if t else [] for t in texts]
+        parts = [ps if "" not in ps and SPACE not in t else [w[1:] for w in WORDS.findall(SPACE + t.replace(" ", SPACE))] if t else []
+                 for t, ps in zip(texts, parts, strict=True)]
+        ids, raw = known if len(known := self.memory.prepare(parts)) == 2 else ({}, {})
+        return [(b",".join(map(ids.__getitem__, ps)), b"".join(map(raw.__getitem__, ps))) for ps in parts]
+
+    def _learn(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
+        spelled, raw = [], []
+        for begin in range(0, len(words), 50_000):
+            ids, counts = self.pieces.encode_words([SPACE + w for w in words[begin:begin + 50_000]])
+            ids, ends = ids.tolist(), np.cumsum(counts).tolist()
+            each = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            spelled += [b",".join(map(self.pieces.decimal.__getitem__, one)) for one in each]
+            raw += map(self.pieces.decode, each)
+        return spelled, raw
 
 
-def _learned(path: str, texts: list[list[str]]) -> dict[str, tuple[int, bytes, bytes]]:
-    """word -> (number of ids, ids in decimal joined by commas, decoded bytes), at least for the words given."""
-    memory = _memory(path)
-    fresh = list({w for words in texts for w in words if w not in memory})
-    if not fresh:
-        return memory
-    if len(memory) + len(fresh) > REMEMBERED:
-        memory.clear()
-        fresh = list({w for words in texts for w in words})
-    pieces = model(path)
-    ids = pieces.encode_words(fresh)
-    for w, one, raw in zip(fresh, ids, pieces.decode_words(ids), strict=True):
-        memory[w] = (len(one), ",".join(map(str, one.tolist())).encode(), raw)
-    return memory
+@cache
+def memory(path: str) -> Memory:
+    return Memory(path)
 
 
 def _in_steps(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -186,14 +206,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _in_steps(batches):
-            texts = [_words(t) for t in batch.column(1).to_pylist()]
-            known = _learned(path, texts)
             out = []
-            for words in texts:
-                found = [known[w] for w in words]
-                raw = b"".join([f[2] for f in found])
-                out.append((sum([f[0] for f in found]), hashlib.sha256(b",".join([f[1] for f in found])).hexdigest(),
-                            hashlib.sha256(raw[1:]).hexdigest()))  # the space put in front of the text goes
+            for ids, raw in memory(path).prepare(batch.column(1).to_pylist()):
+                decoded = raw[1:]  # the space put in front of the text goes
+                out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, ids, decoded = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -207,9 +223,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            texts = [_words(t) for t in column.to_pylist()]
-            known = _learned(path, texts)
-            ids = [[int(x) for w in words for x in known[w][1].split(b",")] for words in texts]
+            ids = [list(map(int, found.split(b","))) if found else [] for found, _ in memory(path).prepare(column.to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     return docs.mapInArrow(run, docs.schema.simpleString()[len("struct<"):-1] + ",ids:array<int>")
@@ -220,8 +234,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            raw = pieces.decode_words([np.array(x or [], dtype=np.int64) for x in batch.column(1).to_pylist()])
-            texts = [r.removeprefix(b" ").decode("utf-8", "replace") for r in raw]
+            texts = [pieces.decode(x or []).removeprefix(b" ").decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
