@@ -37,6 +37,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole runs of equal keys, with the runs' first rows; the input is sorted by the keys (no nulls)."""
     rest: pa.Table | None = None

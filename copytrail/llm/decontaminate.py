@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copytrail.llm.common import free_name
+
 #: A 1 compares the token at that place, a 0 ignores it, so a hit survives substitutions at the ignored places.
 MASKS = ("1101101", "1011011")
 #: Overlaps are judged over this many tokens, or the whole item if it is shorter.
@@ -50,6 +52,19 @@ def overlap(tokens: Column, item: Column, shift: Column, window: int) -> Column:
     return F.struct(best["matched"].alias("matched"), (shift - best["at"]).alias("start"), width.alias("length"))
 
 
+def overlaps(keyed: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, similarity: float, min_tokens: int, names: list[str]) -> DataFrame:
+    """``names`` of the rows of ``keyed`` (text, key) with item_id and ``o``, for every sufficient overlap of a hit."""
+    items = benchmark_tokens(benchmark, min_tokens)
+    wanted = items.select("item_id", F.explode(seeds(F.col("item_tokens"), masks)).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place"))
+    tokens = keyed.select("key", F.explode(F.array(token_hashes(F.col("text")))).alias("tokens"))
+    met = tokens.select("key", F.explode(seeds(F.col("tokens"), masks)).alias("s")).select("key", "s.seed", F.col("s.place").alias("place"))
+    hits = met.join(wanted, "seed").select("key", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    placed = hits.join(items, "item_id")
+    both = keyed.join(placed, "key").select(*names, "item_id", "shift", "item_tokens", F.explode(F.array(token_hashes(F.col("text")))).alias("tokens"))
+    judged = both.select(*names, "item_id", F.explode(F.array(overlap(F.col("tokens"), F.col("item_tokens"), F.col("shift"), window))).alias("o"))
+    return judged.filter(F.col("o.matched") >= F.lit(similarity) * F.col("o.length"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW,
                  similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc_id, item_id, start, length, matched, similarity): the best overlap of each document with each item it holds.
@@ -61,16 +76,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     repeated rows of a document are reported once. A null doc_id is reported like any other value.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key")).filter("text is not null")
-    items = benchmark_tokens(benchmark, min_tokens)
-    wanted = items.select("item_id", F.explode(seeds(F.col("item_tokens"), masks)).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place"))
-    tokens = keyed.select("key", F.explode(F.array(token_hashes(F.col("text")))).alias("tokens"))
-    met = tokens.select("key", F.explode(seeds(F.col("tokens"), masks)).alias("s")).select("key", "s.seed", F.col("s.place").alias("place"))
-    hits = met.join(wanted, "seed").select("key", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    placed = hits.join(items, "item_id")
-    tokens = F.explode(F.array(token_hashes(F.col("text")))).alias("tokens")
-    both = keyed.join(placed, "key").select("doc_id", "item_id", "shift", "item_tokens", tokens)
-    judged = both.select("doc_id", "item_id", F.explode(F.array(overlap(F.col("tokens"), F.col("item_tokens"), F.col("shift"), window))).alias("o"))
-    good = judged.filter(F.col("o.matched") >= F.lit(similarity) * F.col("o.length"))
+    good = overlaps(keyed, benchmark, masks, window, similarity, min_tokens, ["doc_id"])
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("o.matched", (-F.col("o.start")).alias("early"), "o.length")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.early")).alias("start"), F.col("b.length").alias("length"), F.col("b.matched").alias("matched"),
                        (F.col("b.matched") / F.col("b.length")).alias("similarity"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, as ``contaminated`` judges it; null texts stay."""
+    own = free_name(docs, "_key")
+    keyed = docs.withColumn(own, F.xxhash64("text"))
+    found = overlaps(keyed.filter("text is not null").select(F.col(own).alias("key"), "text"), benchmark, masks, window, similarity, min_tokens, ["key"])
+    return keyed.join(found.select(F.col("key").alias(own)).distinct(), own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copytrail.llm.common import written
+from copytrail.llm.common import free_name, written
 
 DEPTH = 3
 SLOTS = 64
@@ -29,7 +29,7 @@ def masked(line: Column) -> Column:
 
 def lines_of(keyed: DataFrame) -> DataFrame:
     """(text_key, line, leaf, line_key, n_words): the lines of each text, masked; blank lines are none."""
-    raw = keyed.select(F.col("_text_key").alias("text_key"), F.explode(F.split("text", "\n", -1)).alias("raw"))
+    raw = keyed.select("text_key", F.explode(F.split("text", "\n", -1)).alias("raw"))
     rows = raw.select("text_key", F.explode(F.array(masked(F.col("raw")))).alias("line")).filter("line <> ''")
     n_words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
     return rows.select("text_key", "line", F.xxhash64(n_words, F.substring_index("line", " ", DEPTH)).alias("leaf"),
@@ -81,15 +81,14 @@ def templates(lines: DataFrame) -> DataFrame:
     return dealt.mapInArrow(parse, "line_key long, first long, leaf long").select("line_key", F.xxhash64("leaf", "first").alias("template"))
 
 
-def recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """(text_key, drop): for each different text the keys of its lines whose template recurs; and the keyed documents.
+def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """(text_key, drop): for each different text of (text_key, text) with recurring lines the keys of these.
 
     A template recurs when at least ``min_documents`` different texts hold it that are not copies. Only leaves with so many
-    texts are parsed, so nearly all prose leaves the work after one count. In a copy, most words stand in lines whose
-    templates many texts hold, whatever the template; its lines say nothing about recurrence, and whole-document
-    deduplication deals with it. Equal texts count once.
+    texts are parsed, so nearly all prose leaves the work after one count. In a copy, most lines have templates that many
+    texts hold, whatever the template; its lines say nothing about recurrence, and whole-document deduplication deals with
+    it. Equal texts count once.
     """
-    keyed = docs.withColumn("_text_key", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     every = lines_of(keyed)
     lines = written(every.groupBy("text_key", "line_key").agg(F.first("leaf").alias("leaf"), F.first("n_words").alias("n_words")), "lines")
     busy = lines.groupBy("leaf").agg(F.count("*").alias("_texts")).filter(F.col("_texts") >= min_documents).select("leaf")
@@ -107,22 +106,24 @@ def recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> tuple[Data
     copies = shared.join(words, "text_key").filter((F.col("shared") > COPY_SHARE * F.col("words")) & (F.col("lines") > 1)).select("text_key")
     carriers = common.join(copies, "text_key", "left_anti").groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     drops = common.join(carriers.select("template"), "template").groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
-    return drops, keyed
+    return drops
 
 
-def drop_recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The rows of ``docs`` with text without its recurring lines, n_chars of what is left and n_dropped lines.
+def drop_recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, count: str | None = "n_dropped") -> DataFrame:
+    """The rows of ``docs`` with text without its recurring lines, n_chars (if there) of what is left, and as ``count`` the
+    number of dropped lines (None: no such column; one of that name in ``docs`` is replaced).
 
-    Null texts stay null and empty ones empty; nothing is dropped from a text whose lines do not recur. Repeated rows
-    stay. The order of the lines that stay is kept. Columns other than text and n_chars pass through; names that begin
-    with an underscore are this operator's own.
+    Null texts stay null and empty ones empty; nothing is dropped from a text whose lines do not recur, and a text of
+    nothing else becomes empty. Repeated rows stay. The lines that stay keep their order. Other columns pass through.
     """
-    drops, keyed = recurring(docs, min_documents)
-    joined = keyed.join(drops.withColumnRenamed("text_key", "_text_key").withColumnRenamed("drop", "_drop"), "_text_key", "left")
+    key, drop = free_name(docs, "_text_key"), free_name(docs, "_drop")
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    drops = recurring(keyed.select(F.col(key).alias("text_key"), "text"), min_documents).select(F.col("text_key").alias(key), F.col("drop").alias(drop))
+    joined = keyed.join(drops, key, "left")
     parts = F.split("text", "\n", -1)
-    stays = F.filter(parts, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(masked(x))))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    dropped = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stays))
-    out = joined.withColumn("_new", text).withColumn("_n", dropped)
-    columns = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.col("_n").cast("long").alias("n_dropped"))
+    stays = F.filter(parts, lambda x: ~F.array_contains(F.col(drop), F.xxhash64(masked(x))))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    dropped = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stays)).cast("long")
+    new = {"text": text, "n_chars": F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long") if "n_chars" in docs.columns else None}
+    columns = [new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns if c != count]
+    return joined.select(*columns, *([dropped.alias(count)] if count else []))

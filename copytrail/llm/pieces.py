@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from copytrail.llm.common import WordMemory
 
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [list(map(int, found.split(b","))) if found else [] for found, _ in memory(path).prepare(column.to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.simpleString()[len("struct<"):-1] + ",ids:array<int>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -11,6 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from copytrail.llm.common import free_name
 
 #: Word features are hashed to this many places; statistics follow behind them.
 WORDS = 1 << 15
@@ -165,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
     return fit(each, y, np.ones(len(y)))
 
 
-def scored(docs: DataFrame, model: Machine | None) -> DataFrame:
-    """The rows of ``docs`` with ``_score`` after them; without a machine every score is 1, so nothing is rejected."""
+def scored(docs: DataFrame, model: Machine | None, score: str) -> DataFrame:
+    """The rows of ``docs`` with a new column ``score``; without a machine every score is 1, so nothing is rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -176,10 +179,9 @@ def scored(docs: DataFrame, model: Machine | None) -> DataFrame:
                 some = batch.slice(begin, 128)
                 rows = [features(t) for t in some.column(at).to_pylist()]
                 scores = sent.value.scores(rows) if sent.value else np.ones(len(rows))
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores)], names=[*some.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(scores)], names=[*some.schema.names, score])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, _score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -187,11 +189,12 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     Scores use the text alone, never labels, language, source or id. Null and empty texts are scored like any other.
     """
-    found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), train(docs, labels, sample))
+    found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), train(docs, labels, sample), "_score")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
                         (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with their own columns only."""
-    return scored(docs, train(docs, labels, sample)).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    score = free_name(docs, "_score")
+    return scored(docs, train(docs, labels, sample), score).filter(F.col(score) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
