@@ -21,7 +21,7 @@ BINS = 16
 FACTORS = 8
 #: The model is fitted on at most so many labelled rows of each class, those with the smallest hashes of their ids.
 SAMPLE = 3000
-EPOCHS = 8
+STEPS = 800
 RATE = 0.05
 DECAY = 1e-5
 BATCH = 64
@@ -110,31 +110,32 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> Machine:
-    """Logistic loss by adaptive gradient steps on small batches, in a fixed random order."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
+    """Logistic loss by a fixed number of adaptive gradient steps on small batches, in a fixed random order."""
     rng = np.random.default_rng(SEED)
     model = Machine(0.0, np.zeros(DIMENSIONS), rng.normal(0, 0.05, (DIMENSIONS, FACTORS)))
     bias, seen_bias = 0.0, 1.0
     seen_w, seen_v = np.full(DIMENSIONS, 1e-2), np.full((DIMENSIONS, FACTORS), 1e-2)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for begin in range(0, len(order), BATCH):
-            some = order[begin:begin + BATCH]
-            at, x, row = _flat([rows[i] for i in some])
-            z, vx, total = model._raw(at, x, row, len(some))
-            error = (_logistic(z) - labels[some]) * weights[some]
-            step = error[row] * x
-            grad_v = step[:, None] * (total[row] - vx)
-            touched, place = np.unique(at, return_inverse=True)
-            gw = np.bincount(place, step, len(touched)) + DECAY * model.linear[touched]
-            gv = np.stack([np.bincount(place, grad_v[:, f], len(touched)) for f in range(FACTORS)], axis=1) + DECAY * model.factors[touched]
-            seen_w[touched] += gw ** 2
-            seen_v[touched] += gv ** 2
-            model.linear[touched] -= RATE * gw / np.sqrt(seen_w[touched])
-            model.factors[touched] -= RATE * gv / np.sqrt(seen_v[touched])
-            seen_bias += error.sum() ** 2
-            bias -= RATE * error.sum() / np.sqrt(seen_bias)
-            model = Machine(bias, model.linear, model.factors)
+    order = np.zeros(0, dtype=np.int64)
+    for _ in range(STEPS):
+        while len(order) < BATCH:
+            order = np.append(order, rng.permutation(len(rows)))
+        some, order = order[:BATCH], order[BATCH:]
+        at, x, row = _flat([rows[i] for i in some])
+        z, vx, total = model._raw(at, x, row, len(some))
+        error = _logistic(z) - labels[some]
+        step = error[row] * x
+        grad_v = step[:, None] * (total[row] - vx)
+        touched, place = np.unique(at, return_inverse=True)
+        gw = np.bincount(place, step, len(touched)) + DECAY * model.linear[touched]
+        gv = np.stack([np.bincount(place, grad_v[:, f], len(touched)) for f in range(FACTORS)], axis=1) + DECAY * model.factors[touched]
+        seen_w[touched] += gw ** 2
+        seen_v[touched] += gv ** 2
+        model.linear[touched] -= RATE * gw / np.sqrt(seen_w[touched])
+        model.factors[touched] -= RATE * gv / np.sqrt(seen_v[touched])
+        seen_bias += error.sum() ** 2
+        bias -= RATE * error.sum() / np.sqrt(seen_bias)
+        model = Machine(bias, model.linear, model.factors)
     return model
 
 
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine |
         return None
     y = np.array([r.quality for r in got], dtype=np.float64)
     each = [(np.frombuffer(r.places, "<i4").astype(np.int64), np.frombuffer(r.weights, "<f4").astype(np.float64)) for r in got]
-    return fit(each, y, np.ones(len(y)))
+    return fit(each, y)
 
 
 def scored(docs: DataFrame, model: Machine | None, score: str) -> DataFrame:
