@@ -10,7 +10,7 @@ import numpy as np
 
 from copytrail.llm.common import WordMemory
 
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 class ByteBpe:

@@ -20,7 +20,7 @@ LANES = 32
 #: Ids between two checkpoints; coding can start at each of them, and so can a decoder.
 SECTION = 8192
 #: A block ends after the document that fills it.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 MASK = np.uint64(0xFFFFFFFF)
@@ -83,7 +83,8 @@ class Coder:
             over = state >= self.limit * f
             words[:, k], full[:, k] = state & MASK, over
             state = np.where(over, state >> WORD, state)
-            state = ((state // f) << self.bits) + state % f + s
+            whole = state // f
+            state = (whole << self.bits) + (state - whole * f) + s
         lengths = full.sum(axis=(1, 2)).astype("<u4")
         body = lengths.tobytes() + state.astype("<u8").tobytes() + words[full].astype("<u4").tobytes()
         return HEAD.pack(MAGIC, sections, n, zlib.crc32(body)) + body
@@ -158,7 +159,7 @@ def write(docs: DataFrame, path: str, encode: Callable[[list[str | None]], list[
             yield one()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)  # only ids are sampled for the ranges
     ranged.mapInArrow(cut, RAW).write.option("compression", "zstd").parquet(f"{path}/raw")
     raw = spark.read.schema(RAW).parquet(f"{path}/raw")
     _count(raw).write.parquet(f"{path}/table")
