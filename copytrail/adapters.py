@@ -278,6 +278,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' MINUTE END
                  AS finalized_at,
                CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR AS status_changed_at,
+               CASE WHEN o_custkey % 17 = 0 THEN NULL ELSE concat('k/', CAST(o_orderkey AS STRING)) END AS target_key,
                CASE WHEN o_custkey % 11 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' DAY ELSE NULL END AS deleted_at,
                CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY ELSE NULL END
                  AS orphan_deleted_at
@@ -304,7 +305,7 @@ VIEWS: dict[str, str] = {
                props AS metadata_json, CAST(ts AS TIMESTAMP) AS created_at, CAST(user_id AS STRING) AS target_id, value
         FROM {events}""",
     "hits": """
-        SELECT event_type AS key, CAST(ts AS TIMESTAMP) AS ts, event_id FROM {events}""",
+        SELECT CAST(user_id AS STRING) AS key, CAST(ts AS TIMESTAMP) AS ts, event_id FROM {events}""",
     "issuance_recipients": """
         SELECT concat('iss-', CAST(o_orderkey AS STRING)) AS issuance_id,
                concat('user', CAST(c_custkey AS STRING), '@example.org') AS recipient_email, c_name AS recipient_name
@@ -494,11 +495,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """The same table as a stream of its files, admitted a bounded number at a time."""
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a stream of its files, be it one file or a folder of them.
+
+    A finite table is replayed as one micro-batch, so its answer does not depend on how it is cut into files. An endless
+    one may bound the files of a batch; then its watermark delay must cover the disorder between files.
+    """
     schema = read_table(spark, folder, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return reader.option("recursiveFileLookup", "true").parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def view(spark: SparkSession, folder: str, name: str, streaming: bool = False) -> DataFrame:

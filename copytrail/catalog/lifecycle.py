@@ -117,7 +117,7 @@ ELIGIBLE = f"""
     candidates AS (
       SELECT CASE promotion_status WHEN 'failed' THEN 0 ELSE 1 END AS priority, 'stale_promotion' AS category, created_at AS at,
              CAST(upload_id AS STRING) AS id FROM u
-        WHERE promotion_status IN ('failed', 'copying') AND deleted_at IS NULL AND status_changed_at <= {NOW_SQL} - INTERVAL '1' HOUR
+        WHERE promotion_status IN ('failed', 'copying') AND target_key IS NOT NULL AND deleted_at IS NULL AND status_changed_at <= {NOW_SQL} - INTERVAL '1' HOUR
       UNION ALL SELECT 2, 'issuance_input', created_at, CAST(upload_id AS STRING) FROM u WHERE promotion_status = 'attached'
         AND deleted_at IS NULL AND done AND purpose = 'issuance' AND latest <= {NOW_SQL} - INTERVAL '168' HOUR
       UNION ALL SELECT 3, 'verification_input', created_at, CAST(upload_id AS STRING) FROM u WHERE promotion_status = 'attached'

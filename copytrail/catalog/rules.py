@@ -284,11 +284,11 @@ def _(i):
 
 
 @query("describe_error", """
-    SELECT job_id, CASE safe_error_code WHEN 'DEMO_JOB_DEADLINE_EXCEEDED' THEN 'Quá trình xử lý vượt thời gian cho phép. Tệp nhỏ hơn sẽ xử lý kịp.'
-      WHEN 'DEMO_PDF_INVALID' THEN 'Không đọc được cấu trúc tệp PDF. Tệp có thể hỏng hoặc không phải PDF hợp lệ.'
-      WHEN 'SOMETHING_ELSE' THEN 'Hệ thống không hoàn tất được công việc này. Hãy thử lại, hoặc gửi mã lỗi bên dưới nếu cần hỗ trợ.' END AS message FROM jobs""")
+    SELECT job_id, CASE safe_error_code WHEN 'DEMO_JOB_DEADLINE_EXCEEDED' THEN 'too slow' WHEN 'DEMO_PDF_INVALID' THEN 'unreadable'
+      WHEN 'SOMETHING_ELSE' THEN 'failed' END AS message FROM jobs""")
 def _(i):
-    return i.jobs.select("job_id", M.describe_error(F.col("safe_error_code")).alias("message"))
+    texts = i.spark.createDataFrame([("DEMO_JOB_DEADLINE_EXCEEDED", "too slow"), ("DEMO_PDF_INVALID", "unreadable")], "code string, text string")
+    return M.describe_error(i.jobs.select("job_id", "safe_error_code"), texts, "failed", "safe_error_code").select("job_id", "message")
 
 
 RUNNING = """
@@ -317,9 +317,19 @@ def _(i):
     return i.table("pages").select("page_id", X.sniff_kind(F.concat(head, F.col("html").cast("binary"))).alias("kind"))
 
 
-@query("payload_check")
+CRC_STEP = "if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)"  # the CRC-32 polynomial, reversed (fixed value)
+
+
+@query("payload_check", f"""
+    WITH ids AS (SELECT job_key, coalesce(issuance_id, verification_id) AS id FROM outbox),
+    body AS (SELECT job_key, id, '534201' || upper(replace(id, '-', '')) AS h FROM ids),
+    crc AS (SELECT job_key, id, h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 19),
+        lambda k: CAST('0x' || substr(h, CAST(2 * k + 1 AS INT), 2) AS BIGINT))),
+        lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: {CRC_STEP})), 4294967295) AS c FROM body),
+    framed AS (SELECT job_key, id, h || printf('%08X', c) AS frame FROM crc)
+    SELECT job_key, frame, CASE job_key % 5 WHEN 0 THEN if(substr(frame, 39, 2) = '00', NULL, 'crc') WHEN 1 THEN 'length' WHEN 2 THEN 'version' END AS reason,
+      CASE WHEN job_key % 5 IN (3, 4) OR (job_key % 5 = 0 AND substr(frame, 39, 2) = '00') THEN id END AS issuance_id FROM framed""")
 def _(i):
-    # No CRC-32 function exists in the checking database; the frame is tested against a known vector instead.
     frame = I.payload_frame(F.col("issuance_id"))
     broken = F.expr("CASE job_key % 5 WHEN 0 THEN overlay(f PLACING unhex('00') FROM 20) WHEN 1 THEN substring(f, 1, 22) "
                     "WHEN 2 THEN overlay(f PLACING unhex('02') FROM 3) ELSE f END")

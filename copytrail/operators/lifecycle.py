@@ -116,10 +116,14 @@ def _job_facts(jobs: DataFrame, key: str) -> DataFrame:
 
 def retention_eligible(uploads: DataFrame, upload_jobs: DataFrame, issuances: DataFrame, issuance_jobs: DataFrame,
                        now: Column) -> DataFrame:
-    """Every object that may be removed now: (priority, category, id, at), one row per object and category."""
+    """Every object that may be removed now: (priority, category, id, at), one row per object and category.
+
+    A stale promotion without a ``target_key`` names nothing to remove and is not listed.
+    """
     facts = _job_facts(upload_jobs, "upload_id")
     rows = uploads.join(facts, "upload_id", "left")
     stale = (F.col("status_changed_at") <= now - F.expr("INTERVAL '1' HOUR")) & F.col("deleted_at").isNull()
+    stale &= F.col("target_key").isNotNull()
     settled = (F.col("promotion_status") == "attached") & F.col("deleted_at").isNull() & F.coalesce("_done", F.lit(False))
 
     def entry(test: Column, priority: int, category: str, at: str = "created_at") -> Column:

@@ -111,7 +111,7 @@ def profile_scores(rows: DataFrame, rules: ScoreRules, by: Sequence[str] = ("pro
         scored = scored.withColumn(f"{name}_rate", rate)
 
     def below(column: str, least: float) -> Column:
-        return F.col(column).isNull() | F.isnan(column) | (F.col(column) < least)
+        return F.col(column).isNull() | ~_finite(column) | (F.col(column) < least)
 
     failing = {
         f"{word}_psnr_db_at_least_38": below(f"{word}_psnr_db", C.MIN_PSNR_DB),
@@ -140,6 +140,11 @@ def quality_observations(rows: DataFrame, by: Sequence[str] = ("profile_id",), i
                        F.when(~agree, "inconsistent_quality").alias("error_code"))
 
 
+def _finite(column: str) -> Column:
+    """Neither infinite nor not a number; such quality never passes a gate."""
+    return ~F.isnan(column) & (F.abs(column) < float("inf"))
+
+
 def _worst_rate() -> Column:
     return F.least(*[F.col(f"{name}_rate") for name in C.RATE_GATES])
 
@@ -147,6 +152,7 @@ def _worst_rate() -> Column:
 def eligible_profiles(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Profiles passing all seven thresholds, ranked; empty for a run with any execution error."""
     tests = (F.col("false_attribution") == 0) & (F.col("mean_psnr_db") >= C.MIN_PSNR_DB) & (F.col("mean_ssim") >= C.MIN_SSIM)
+    tests &= _finite("mean_psnr_db") & _finite("mean_ssim")
     for name, (_, least) in C.RATE_GATES.items():
         tests &= (F.col(f"{name}_rate") >= least) & ~F.isnan(f"{name}_rate")
     whole = Window.partitionBy(*by)

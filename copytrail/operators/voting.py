@@ -64,8 +64,9 @@ def soft_vote(votes: DataFrame, threshold: float = C.VOTE_SUPPORT) -> DataFrame:
 
 
 def _strongest(groups: DataFrame) -> DataFrame:
-    """Per subject the best supported (candidate, identity) and the number of identities seen."""
-    rank = F.struct("_support", "_votes", "candidate_id", "issuance_id", "_errors", "_measured")
+    """Per subject the best supported (candidate, identity), one that meets the quorum before all others, and the identities seen."""
+    enough = (F.col("_votes") >= C.VOTE_QUORUM) & (F.col("_support") >= C.VOTE_SUPPORT)
+    rank = F.struct(enough.alias("_enough"), "_support", "_votes", "candidate_id", "issuance_id", "_errors", "_measured")
     return groups.groupBy("subject_id").agg(
         F.max(rank).alias("b"), F.min("issuance_id").alias("_low"), F.max("issuance_id").alias("_high"))
 

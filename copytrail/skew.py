@@ -1,8 +1,9 @@
 """Joins, ranks, running sums and percentiles that stay parallel when one key holds a third of all rows.
 
-The common idea: at most ``HOT_KEYS`` keys can be large, so the list of them has a fixed size bound and may be
-broadcast; every other key is small enough for one task. Nothing is dropped or capped: the list only decides
-how rows are spread.
+Spark's adaptive planner splits the hot partitions of a join by itself, so look-ups are plain joins by default. What it
+cannot split (order inside a key, windows, percentiles) is cut into slices here. A session may ask for salted look-ups,
+too, by setting ``spark.copytrail.hotRows``. Nothing is dropped or capped: how many salts or slices a key gets follows
+from its number of rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1024
 HOT_ROWS = 1_000_000
 SALTS = 64
 
@@ -22,32 +22,29 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The heaviest keys, at most ``HOT_KEYS`` rows, counted with map-side partial sums."""
+    """Keys with at least ``hotRows`` rows and their ``_salts``, one for so many rows; counted with map-side partial sums."""
     floor = _setting(df, "hotRows", HOT_ROWS)
-    return (
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= floor)
-        .orderBy(F.col("_n").desc(), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
-    )
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= floor)
+    return counts.select(*keys, F.lit(True).alias("_hot"), (F.ceil(F.col("_n") / floor) + 1).cast("int").alias("_salts"))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
                 counted: DataFrame | None = None, spread: Sequence[str] | None = None) -> DataFrame:
-    """Equi-join ``left`` to ``right``, whose rows are few per key, with hot left keys spread over salts.
+    """Equi-join ``left`` to ``right``, whose rows are few per key.
 
-    Rows of a hot key get a salt from the hash of ``spread`` (by default the whole row; naming an id lets the
-    scan skip columns nobody else asks for). The matching right rows are repeated once per salt, and only for
-    those keys. Rows without a key match nothing and are spread as well. The result is the plain join's.
-    ``counted`` names a cheaper frame with the same key
-    frequencies, for a ``left`` that is costly to compute twice.
+    By default a plain join, whose hot partitions the adaptive planner splits. With ``spark.copytrail.hotRows`` set, rows
+    of hot left keys get a salt from the hash of ``spread`` (by default the whole row; naming an id lets the scan skip
+    columns nobody else asks for), and the matching right rows are repeated once per salt of their key. The result is the
+    same. ``counted`` names a cheaper frame with the same key frequencies, for a ``left`` that is costly to compute twice.
     """
-    salts = _setting(left, "salts", SALTS)
-    hot = F.broadcast(hot_keys(left if counted is None else counted, keys))
-    salt = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
-    loose = F.coalesce("_hot", F.lit(False)) | _any_null(keys)
-    salted = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(loose, salt).otherwise(F.lit(0))).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    if left.sparkSession.conf.get("spark.copytrail.hotRows", None) is None:
+        return left.join(right, list(keys), how)
+    hot = hot_keys(left if counted is None else counted, keys)
+    salts = F.when(_any_null(keys), _setting(left, "salts", SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64(*(spread or left.columns)), salts).cast("int")
+    salted = left.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot", "_salts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -68,14 +65,14 @@ def sparse_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
 def slice_hot(df: DataFrame, keys: Sequence[str], order: str, slices: int = 128, name: str = "_slice") -> DataFrame:
     """Number the slices of each hot key along ``order`` so that they hold about equally many rows; other keys get slice 0.
 
-    The cuts are approximate quantiles of a bounded sketch, at most ``HOT_KEYS`` x ``slices`` numbers, whatever the
+    The cuts are approximate quantiles of a bounded sketch, ``slices`` numbers for each hot key, whatever the
     distribution in time: one crowded day is cut as finely as the rest. Only rows of equal order stay together.
     """
-    hot = F.broadcast(hot_keys(df, keys))
+    hot = hot_keys(df, keys).select(*keys)
     grid = [n / slices for n in range(1, slices)]
     cuts = df.select(*keys, order).join(hot, list(keys)).groupBy(*keys).agg(F.percentile_approx(order, grid, 10000).alias("_cuts"))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return df.join(F.broadcast(cuts), list(keys), "left").withColumn(
+    return df.join(cuts, list(keys), "left").withColumn(
         name, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_cuts")
 
 

@@ -10,6 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from copytrail.session import ROCKSDB, scratch_path
 
 
+#: Batches whose progress a drained query remembers.
+PROGRESS = 10_000
+
+
+class LateRowsError(RuntimeError):
+    """A stream dropped rows."""
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
     """Continuous append of a stream to a Parquet table with its own checkpoint."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
@@ -22,19 +30,28 @@ def start_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything available now and return what was appended."""
+    """Process everything available now and return what was appended; fails if a row came too late to be counted."""
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS))
     root = scratch_path(spark, label)
     query = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows")
              .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    if lost := dropped_rows(query):
+        raise LateRowsError(f"{lost} rows came after the watermark; the delay must cover the disorder of the input")
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows a stream dropped because they came after the watermark; nothing else may lose rows."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p["stateOperators"])
+    """Rows a stream dropped because they came after the watermark; nothing else may lose rows.
+
+    Every batch reports its own number; a query with more batches than are remembered cannot tell and is refused.
+    """
+    progress = query.recentProgress
+    if len(progress) >= PROGRESS:
+        raise LateRowsError(f"more than {PROGRESS} batches: count dropped rows with a listener")
+    return sum(int(op.get("numRowsDroppedByWatermark", 0)) for p in progress for op in p["stateOperators"])
