@@ -77,7 +77,7 @@ def templates(lines: DataFrame) -> DataFrame:
                 found.append(key)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.int64()), batch.column(0)], names=["line_key", "first", "leaf"])
 
-    dealt = lines.select("leaf", "line_key", "slots", "n").repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line_key")
+    dealt = lines.select(F.col("leaf").cast("long"), "line_key", "slots", "n").repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "line_key")
     return dealt.mapInArrow(parse, "line_key long, first long, leaf long").select("line_key", F.xxhash64("leaf", "first").alias("template"))
 
 

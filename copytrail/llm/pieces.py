@@ -169,12 +169,17 @@ class Memory:
         Words end at a space between other characters. Texts with other spacing, or with marked spaces, are cut where a
         marked space follows another character.
         """
-        parts = [t.split(" ") if t else [] for t in texts]
-        parts = [ps if "" not in ps and SPACE not in t else [w[1:] for w in WORDS.findall(SPACE + t.replace(" ", SPACE))] if t else []
-                 for t, ps in zip(texts, parts, strict=True)]
+        parts = [self._words(t) if t else [] for t in texts]
         ids, raw = known if len(known := self.memory.prepare(parts)) == 2 else ({}, {})
         return [(b",".join(map(ids.__getitem__, ps)), b"".join(map(raw.__getitem__, ps))) for ps in parts]
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        words = text.split(" ")
+        if "" in words or SPACE in text:
+            return [w[1:] for w in WORDS.findall(SPACE + text.replace(" ", SPACE))]
+        return words
+
     def _learn(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
         spelled, raw = [], []
         for begin in range(0, len(words), 50_000):
