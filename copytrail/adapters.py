@@ -77,7 +77,8 @@ VIEWS: dict[str, str] = {
                CAST(CASE WHEN doc_id % 29 = 0 THEN 9 ELSE 1 + doc_id % 5 END AS INT) AS page_count
         FROM {documents}""",
     "receipts": """
-        SELECT concat('job-', CAST(doc_id AS STRING)) AS job_id, lang AS organization_id
+        SELECT concat('job-', CAST(doc_id AS STRING)) AS job_id, lang AS organization_id,
+               CAST(CASE WHEN doc_id % 37 = 0 THEN 5 WHEN doc_id % 47 = 0 THEN 0 ELSE doc_id % 3 END AS INT) AS attempt
         FROM {documents} WHERE n_chars > 40""",
     "manifests": """
         SELECT concat('iss-', CAST(doc_id AS STRING)) AS issuance_id, lang AS organization_id,
@@ -306,6 +307,11 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     "hits": """
         SELECT CAST(user_id AS STRING) AS key, CAST(ts AS TIMESTAMP) AS ts, event_id FROM {events}""",
+    "api_requests": """
+        SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS account_id,
+               concat('10.0.0.', CAST(user_id % 40 AS STRING)) AS source_ip,
+               CASE event_type WHEN 'purchase' THEN 'issuance_job' WHEN 'click' THEN 'verification_job' END AS job_kind
+        FROM {events}""",
     "issuance_recipients": """
         SELECT concat('iss-', CAST(o_orderkey AS STRING)) AS issuance_id,
                concat('user', CAST(c_custkey AS STRING), '@example.org') AS recipient_email, c_name AS recipient_name

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from copytrail.catalog import query
+from copytrail.functions.ids import receipt_id
 from copytrail.operators import tracing as T
 
 
@@ -41,7 +42,7 @@ agreed AS (SELECT i.issuance_id, i.organization_id, i.output_sha256,
            LEFT JOIN issuance_results r ON r.issuance_id = i.issuance_id AND r.organization_id = i.organization_id
            LEFT JOIN issuance_jobs j ON j.job_id = r.job_id
            LEFT JOIN source_documents d ON d.document_id = i.document_id
-           LEFT JOIN receipts c ON c.job_id = r.job_id AND c.organization_id = i.organization_id),
+           LEFT JOIN receipts c ON c.job_id = r.job_id AND c.organization_id = i.organization_id AND c.attempt = j.attempt),
 retained AS (SELECT a.issuance_id, a.organization_id, a.evidence_valid,
                     CASE WHEN NOT a.evidence_valid OR t.trust_code IS NULL THEN NULL
                          WHEN NOT t.key_known OR t.trust_code <> 'VALID_TRUSTED' THEN false
@@ -105,7 +106,9 @@ def _(i):
 
 
 def _retained(i):
-    return T.retained_evidence(i.issuances, i.issuance_results, i.issuance_jobs, i.source_documents, i.receipts,
+    # The statement compares attempts: a receipt's id is a function of job and attempt.
+    receipts = i.receipts.withColumn("message_id", receipt_id(F.col("job_id"), F.col("attempt")))
+    return T.retained_evidence(i.issuances, i.issuance_results, i.issuance_jobs, i.source_documents, receipts,
                                T.manifest_trust(i.manifests, i.signing_keys))
 
 

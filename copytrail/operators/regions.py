@@ -15,8 +15,8 @@ def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
     """Intersection over union of two rectangle unions per case; both empty is 1, one empty is 0.
 
     The unit square of a case is cut into tiles, the more the more rectangles it has. Rectangles are clipped
-    to tiles and deduplicated, so a huge case is spread over thousands of tiles and a tile that many
-    rectangles cover fully keeps one row. Inside a tile, vertical slabs between neighbouring edges are
+    to tiles and deduplicated, so a huge case is spread over thousands of tiles. Where one rectangle covers a tile
+    wholly, the others of its side add nothing there and leave before anything is paired. Inside a tile, vertical slabs between neighbouring edges are
     measured by merging their intervals in order.
     """
     right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
@@ -32,11 +32,14 @@ def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
     boxes = sized.select("case_id", "side", "_t", F.col("x").alias("x0"), right.alias("x1"), F.col("y").alias("y0"), bottom.alias("y1"),
                          F.explode(span(F.col("x"), right)).alias("i")).select(
         "*", F.explode(span(F.col("y0"), F.col("y1"))).alias("j")).select(
-        "case_id", "side", "i", "j", F.greatest("x0", F.col("i") * step).alias("x0"), F.least("x1", (F.col("i") + 1) * step).alias("x1"),
+        "case_id", "side", "_t", "i", "j", F.greatest("x0", F.col("i") * step).alias("x0"), F.least("x1", (F.col("i") + 1) * step).alias("x1"),
         F.greatest("y0", F.col("j") * step).alias("y0"), F.least("y1", (F.col("j") + 1) * step).alias("y1")).distinct()
     # Distributed by tile once: the cuts, the slabs, their join and the interval merge below all keep that layout.
     tile = ["case_id", "i", "j"]
-    boxes = boxes.repartition(*tile)
+    whole = (F.col("x0") == F.col("i") * step) & (F.col("x1") == (F.col("i") + 1) * step) & (F.col("y0") == F.col("j") * step) & (F.col("y1") == (F.col("j") + 1) * step)
+    covered = F.max(F.col("_whole")).over(Window.partitionBy(*tile, "side"))
+    boxes = boxes.withColumn("_whole", whole).repartition(*tile).withColumn("_covered", covered).filter("_whole OR NOT _covered")
+    boxes = boxes.drop("_whole", "_covered", "_t")
     cuts = boxes.select(*tile, F.explode(F.array("x0", "x1")).alias("s0")).distinct()
     slabs = cuts.withColumn("s1", F.lead("s0").over(Window.partitionBy(*tile).orderBy("s0"))).filter(F.col("s1").isNotNull())
     inside = slabs.join(boxes, tile).filter((F.col("x0") <= F.col("s0")) & (F.col("x1") >= F.col("s1")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
+from copytrail.functions.ids import receipt_id
 from copytrail.skew import lookup_join, running_max, running_sum, slice_hot, sparse_join
 
 CONCLUSIVE = ("decoded", "partial_payload_evidence")
@@ -81,14 +82,17 @@ def active_signing_key(requests: DataFrame, keys: DataFrame, at: str = "at") ->
 
 def retained_evidence(issuances: DataFrame, results: DataFrame, jobs: DataFrame, documents: DataFrame,
                       receipts: DataFrame, trusted_manifests: DataFrame) -> DataFrame:
-    """Whether an issuance's stored evidence still agrees, and what its manifest says (null = not checked)."""
+    """Whether an issuance's stored evidence still agrees, and what its manifest says (null = not checked).
+
+    A receipt counts only under the id that belongs to the job's present attempt.
+    """
     res = results.select("issuance_id", "organization_id", F.col("job_id").alias("_job"),
                          F.col("output_state").alias("_state"), F.col("attempt").alias("_attempt"),
                          F.col("output_object_key").alias("_key"), F.col("output_sha256").alias("_sha"),
                          F.col("page_count").alias("_pages"))
     job = jobs.select(F.col("job_id").alias("_job"), F.col("status").alias("_jstatus"), F.col("attempt").alias("_jattempt"))
     doc = documents.select("document_id", F.col("page_count").alias("_dpages"))
-    rec = receipts.select(F.col("job_id").alias("_job"), "organization_id").distinct().withColumn("_receipt", F.lit(True))
+    rec = receipts.select(F.col("job_id").alias("_job"), "organization_id", F.col("message_id").alias("_message")).distinct().withColumn("_receipt", F.lit(True))
     man = trusted_manifests.select("issuance_id", "organization_id", "trusted", "key_known", "public_payload")
     agreed = (
         (F.col("_jstatus") == "succeeded") & (F.col("_state") == "committed") & (F.col("_attempt") == F.col("_jattempt"))
@@ -103,7 +107,8 @@ def retained_evidence(issuances: DataFrame, results: DataFrame, jobs: DataFrame,
         lookup_join(issuances, doc, ["document_id"], spread=["issuance_id"]).join(res, ["issuance_id", "organization_id"], "left")
         .join(man, ["issuance_id", "organization_id"], "left")
     )
-    joined = sparse_join(sparse_join(joined, job, ["_job"], ["issuance_id"]), rec, ["_job", "organization_id"], ["issuance_id"])
+    placed = sparse_join(joined, job, ["_job"], ["issuance_id"]).withColumn("_message", receipt_id(F.col("_job"), F.col("_jattempt")))
+    joined = sparse_join(placed, rec, ["_job", "organization_id", "_message"], ["issuance_id"])
     valid = joined.withColumn("evidence_valid", F.coalesce(agreed, F.lit(False)))
     manifest = (
         F.when(~F.col("evidence_valid") | F.col("trusted").isNull(), F.lit(None).cast("boolean"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from copytrail import constants as C
 from copytrail.skew import previous_in_key, running_max, slice_hot
 
 
@@ -53,3 +55,29 @@ def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
 
     ordered = bursts.repartition("key", "burst").sortWithinPartitions("key", "burst", "micros", "event_id")
     return ordered.mapInPandas(decide, "key string, event_id bigint, allowed boolean")
+
+
+def scoped_requests(requests: DataFrame) -> DataFrame:
+    """(scope, key, ts, event_id): what each request of (event_id, ts, account_id, source_ip, job_kind) counts against.
+
+    Its account, unless it is anonymous; its address; and, for a known account, the job kind it starts. Keys are digests,
+    so neither accounts nor addresses are stored.
+    """
+    account = F.sha2(F.col("account_id"), 256)
+    known = F.col("account_id").isNotNull()
+
+    def entry(scope: str, key: Column, applies: Column) -> Column:
+        return F.when(applies, F.struct(F.lit(scope).alias("scope"), key.alias("key")))
+
+    scopes = F.array(
+        entry("account", account, known), entry("source_ip", F.sha2(F.coalesce("source_ip", F.lit("None")), 256), F.lit(True)),
+        *[entry(kind, F.concat(account, F.lit(f":{kind}")), known & (F.col("job_kind") == kind)) for kind in ("issuance_job", "verification_job")])
+    return requests.select("event_id", "ts", F.explode(F.filter(scopes, lambda s: s.isNotNull())).alias("s")).select("s.scope", "s.key", "ts", "event_id")
+
+
+def scoped_limits(requests: DataFrame, rates: dict[str, tuple[int, int]] = C.RATES) -> DataFrame:
+    """(scope, key, event_id, allowed): every scope of every request by the scope's own rate (requests, seconds)."""
+    rows = scoped_requests(requests)
+    parts = [rate_limit(rows.filter(F.col("scope") == scope), limit, seconds).select(F.lit(scope).alias("scope"), "key", "event_id", "allowed")
+             for scope, (limit, seconds) in rates.items()]
+    return reduce(DataFrame.unionByName, parts)
