@@ -51,6 +51,7 @@ def audit_event_errors(actor_id: Column, actor_org: Column, target_org: Column,
         ("correlation_invalid", ~matches(bare, "^[0-9a-fA-F]{32}$")))
 
 
+# Decode statuses and algorithm labels (fixed values).
 DECODE_STATUSES = ("decoded", "partial_payload_evidence", "payload_not_detected", "insufficient_sync_evidence",
                    "geometry_rejected", "execution_error", "cancelled")
 ALGORITHM_LABELS = ("experimental_unreleased_fingerprint_v2", "integrity_release_v1")
@@ -103,6 +104,7 @@ def _project(e: Column, integrity_mode: bool, fingerprint_enabled: bool) -> Colu
         regions.alias("suspicious_regions"), limits.alias("limitations"))
 
 
+# Names of the metrics that may be shown (fixed values).
 METRIC_KEYS = ("processing_ms", "pages_processed", "peak_rss_bytes", "temp_peak_bytes", "cleanup_failures")
 
 
@@ -113,6 +115,7 @@ def project_metrics(metrics_json: Column) -> Column:
         F.create_map(*[x for k in METRIC_KEYS for x in (F.lit(k), p[k])]), lambda k, v: v >= 0))
 
 
+# Fields of a manifest (fixed values).
 PUBLIC_FIELDS = ("schema_version", "issuance_id", "issued_at", "output_sha256", "fingerprint_algorithm", "integrity_algorithm",
                  "signing_key_id")
 INTERNAL_FIELDS = PUBLIC_FIELDS + ("document_id", "recipient_id", "source_sha256", "retention_policy_id")
@@ -211,6 +214,7 @@ def metric_reason(status: Column) -> Column:
             .when(status.isin(*blank), "not_detected"))
 
 
+# Reasons of a crop eligibility (fixed values).
 ELIGIBILITY_REASONS = ("eligible", "at_least_two_complete_embedded_tiles_remain", "fewer_than_two_complete_embedded_tiles_remain")
 
 

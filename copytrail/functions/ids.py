@@ -65,12 +65,12 @@ def receipt_id(job_id: Column, attempt: Column, prefix: str = "copytrail-result"
 
 
 # Frame layout: magic, version byte, 16 id bytes, CRC-32, all big-endian (fixed values).
-MAGIC_HEX = "5342"
+MAGIC = b"SB"
 VERSION = 1
 
 
 def payload_frame(issuance_id: Column) -> Column:
-    body = F.unhex(F.concat(F.lit(MAGIC_HEX), F.lit(f"{VERSION:02x}"), F.replace(issuance_id, F.lit("-"), F.lit(""))))
+    body = F.unhex(F.concat(F.lit(MAGIC.hex()), F.lit(f"{VERSION:02x}"), F.replace(issuance_id, F.lit("-"), F.lit(""))))
     return F.concat(body, _be(F.crc32(body), 4))
 
 
@@ -78,7 +78,7 @@ def payload_check(frame: Column) -> Column:
     """(reason, issuance id) of a frame; the first failing check is the reason, null reason means valid."""
     reason = (
         F.when(frame.isNull() | (F.length(frame) != 23), "length")
-        .when(F.hex(F.substring(frame, 1, 2)) != MAGIC_HEX, "magic")
+        .when(F.hex(F.substring(frame, 1, 2)) != MAGIC.hex().upper(), "magic")
         .when(F.hex(F.substring(frame, 3, 1)) != f"{VERSION:02X}", "version")
         .when(F.lpad(F.hex(F.crc32(F.substring(frame, 1, 19))), 8, "0") != F.hex(F.substring(frame, 20, 4)), "crc")
     )

@@ -122,7 +122,7 @@ def _candidate_id(version: int, text: Column) -> Column:
         return F.lit(None).cast("string")
     doubles = F.create_map(*[F.lit(x) for v in K.SWEEPS[1]["qim_delta"] for x in (str(v), struct.pack(">d", v).hex())])
     fields = [F.lpad(F.hex(F.get_json_object(text, f"$.{name}").cast("int")), 8, "0") for name in ("tile_size_px", "tiles_per_page", "payload_repetitions")]
-    return F.lower(F.concat(F.lit(K.CANDIDATE_TAG_HEX + "00000001"), F.element_at(doubles, F.get_json_object(text, "$.qim_delta")), *fields))
+    return F.lower(F.concat(F.lit(K.CANDIDATE_TAG.hex() + "00000001"), F.element_at(doubles, F.get_json_object(text, "$.qim_delta")), *fields))
 
 
 def candidate_order(grid: DataFrame) -> list[str]:

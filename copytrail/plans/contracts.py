@@ -72,5 +72,5 @@ SMOKE_ATTACKS = (
 SOURCE_KINDS = ("clean_pdf", "clean_image", "negative_external", "tamper_ground_truth")
 SMOKE_SOURCE = "image-clean-noise"
 
-# First bytes of a version-1 candidate identity.
-CANDIDATE_TAG_HEX = "5342465001"
+# First bytes of a version-1 candidate identity (fixed value).
+CANDIDATE_TAG = b"SBFP\x01"
