@@ -118,6 +118,38 @@ VIEWS: dict[str, str] = {
                l_discount * 10 AS confidence, CAST(FLOOR(l_quantity) AS INT) % 4 AS valid_votes
         FROM {lineitem}""",
     # --- benchmark -----------------------------------------------------------------------------
+    "audit_plan": """
+        SELECT DISTINCT concat('prof', CAST(l_partkey % 5 AS STRING)) AS profile_id, concat('fx', CAST(l_suppkey % 7 AS STRING)) AS fixture_id, l_linenumber - 1 AS page_index,
+               CASE l_orderkey % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'jpeg-q70' WHEN 2 THEN 'resize-s0p75' ELSE 'crop-f0p25' END AS attack_id,
+               concat('cand', CAST(l_partkey % 5 AS STRING)) AS candidate_id,
+               CASE WHEN l_suppkey % 7 >= 5 THEN 'negative_external' ELSE 'clean_image' END AS fixture_kind,
+               CASE l_orderkey % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'resize' ELSE 'crop' END AS attack_kind,
+               CASE l_orderkey % 4 WHEN 1 THEN '{"quality":70}' WHEN 3 THEN '{"fraction":0.25}' ELSE '{}' END AS attack_parameters,
+               CASE WHEN l_orderkey % 4 = 3 AND l_suppkey % 7 < 5 THEN CAST((l_linenumber + l_suppkey % 7) % 4 AS INT) END AS remaining_tiles
+        FROM {lineitem} WHERE l_partkey % 5 < 4 OR l_suppkey % 7 > 0""",
+    "audited_rows": """
+        SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING)) AS row_id,
+               concat('prof', CAST(l_partkey % 5 AS STRING)) AS profile_id, concat('fx', CAST(l_suppkey % 7 AS STRING)) AS fixture_id, l_linenumber - 1 AS page_index,
+               CASE l_orderkey % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'jpeg-q70' WHEN 2 THEN 'resize-s0p75' ELSE 'crop-f0p25' END AS attack_id,
+               CAST(CASE WHEN l_partkey % 41 = 0 THEN 2 ELSE 1 END AS INT) AS schema_version,
+               CASE WHEN l_partkey % 43 = 0 THEN 'other' ELSE 'corpus' END AS corpus_contract_sha256,
+               CASE WHEN l_partkey % 47 = 0 THEN NULL ELSE 'profiles' END AS profile_contract_sha256,
+               CASE WHEN l_partkey % 53 = 0 THEN 'other' ELSE 'attacks' END AS attack_matrix_sha256,
+               CASE WHEN l_partkey % 59 = 0 THEN 'other' ELSE 'plan' END AS benchmark_plan_sha256,
+               CAST(CASE WHEN l_partkey % 61 = 0 THEN 1 ELSE 20260827 END AS BIGINT) AS seed,
+               concat('cand', CAST(CASE WHEN l_partkey % 67 = 0 THEN l_partkey + 1 ELSE l_partkey END % 5 AS STRING)) AS candidate_id,
+               CASE WHEN l_suppkey % 7 >= 5 AND l_partkey % 71 <> 0 THEN 'negative_external' ELSE 'clean_image' END AS fixture_kind,
+               CASE l_orderkey % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'jpeg' WHEN 2 THEN CASE WHEN l_partkey % 73 = 0 THEN 'crop' ELSE 'resize' END ELSE 'crop' END AS attack_kind,
+               CASE l_orderkey % 4 WHEN 1 THEN '{"quality":70}' WHEN 3 THEN CASE WHEN l_partkey % 79 = 0 THEN '{"fraction":0.5}' ELSE '{"fraction":0.25}' END ELSE '{}' END AS attack_parameters,
+               CASE WHEN l_discount >= 0.095 THEN 'execution_error' WHEN l_partkey % 83 = 0 THEN 'guessed' WHEN l_tax > 0.07 THEN 'invalid_crc'
+                    WHEN l_tax > 0.05 THEN 'not_detected' WHEN l_tax > 0.03 THEN 'partial' ELSE 'decoded' END AS reason,
+               CASE WHEN l_orderkey % 4 = 3 AND l_suppkey % 7 < 5 AND l_discount < 0.095 AND l_partkey % 31 <> 0
+                    THEN CAST(CASE WHEN l_partkey % 37 = 0 THEN -1 ELSE (l_linenumber + l_suppkey % 7) % 4 END AS INT) END AS remaining_embedded_tiles,
+               NOT (l_orderkey % 4 = 3 AND l_suppkey % 7 < 5 AND l_discount < 0.095 AND (l_linenumber + l_suppkey % 7) % 4 < 2) AS eligible,
+               CASE WHEN NOT (l_orderkey % 4 = 3 AND l_suppkey % 7 < 5 AND l_discount < 0.095) THEN 'eligible'
+                    WHEN (l_linenumber + l_suppkey % 7) % 4 < 2 THEN 'fewer_than_two_complete_embedded_tiles_remain'
+                    ELSE 'at_least_two_complete_embedded_tiles_remain' END AS eligibility_reason
+        FROM {lineitem}""",
     "result_rows": """
         SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING))
                  AS row_id,

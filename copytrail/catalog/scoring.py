@@ -306,6 +306,28 @@ def _(i):
     return S.schedule_diff(i.planned_rows, i.observed_rows)
 
 
+CONTRACT = {"schema_version": 1, "corpus_contract_sha256": "corpus", "profile_contract_sha256": "profiles", "attack_matrix_sha256": "attacks",
+            "benchmark_plan_sha256": "plan", "seed": 20260827}
+AUDITED = ("candidate_id", "fixture_kind", "attack_kind", "attack_parameters")
+
+
+@query("row_audit", f"""
+    WITH j AS (SELECT r.*, p.candidate_id IS NOT NULL AS due, p.remaining_tiles AS n, {", ".join(f"p.{c} AS p_{c}" for c in AUDITED)}
+      FROM audited_rows r LEFT JOIN audit_plan p USING (fixture_id, page_index, profile_id, attack_id)),
+    e AS (SELECT *, n IS NOT NULL AND reason <> 'execution_error' AS cropped FROM j)
+    SELECT row_id, 'unplanned' AS code FROM e WHERE NOT due
+    {" ".join(f"UNION ALL SELECT row_id, '{c}_mismatch' FROM e WHERE {c} IS DISTINCT FROM {repr(v)}" for c, v in CONTRACT.items())}
+    {" ".join(f"UNION ALL SELECT row_id, '{c}_mismatch' FROM e WHERE due AND {c} IS DISTINCT FROM p_{c}" for c in AUDITED)}
+    UNION ALL SELECT row_id, 'reason_invalid' FROM e WHERE reason NOT IN ('decoded', 'not_detected', 'partial', 'invalid_crc', 'execution_error')
+    UNION ALL SELECT row_id, 'remaining_invalid' FROM e WHERE remaining_embedded_tiles < 0
+    UNION ALL SELECT row_id, 'eligibility_mismatch' FROM e WHERE due AND (eligible <> (NOT cropped OR n >= 2)
+      OR remaining_embedded_tiles IS DISTINCT FROM CASE WHEN cropped THEN n END
+      OR eligibility_reason <> CASE WHEN NOT cropped THEN 'eligible' WHEN n >= 2 THEN 'at_least_two_complete_embedded_tiles_remain'
+         ELSE 'fewer_than_two_complete_embedded_tiles_remain' END)""")
+def _(i):
+    return S.row_audit(i.audited_rows, i.audit_plan, CONTRACT)
+
+
 @query("resume_plan", "SELECT row_id FROM planned_rows p WHERE NOT EXISTS (SELECT 1 FROM observed_rows o WHERE o.row_id = p.row_id)")
 def _(i):
     return S.resume_plan(i.planned_rows, i.observed_rows).select("row_id")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from copytrail.catalog import query
 from copytrail.functions.ids import receipt_id
 from copytrail.operators import tracing as T
+from copytrail.session import materialize
 
 
 def r6(df, *names):
@@ -118,7 +119,8 @@ def _(i):
 
 
 def _verdicts(i):
-    return T.resolve_verdict(i.suspects, i.registry, _retained(i), i.suspect_decodes)
+    # Two joins use the retained evidence, so it is computed once.
+    return T.resolve_verdict(i.suspects, i.registry, materialize(_retained(i), "retained"), i.suspect_decodes)
 
 
 @query("resolve_verdict", "WITH" + EXACT + "," + TRUST + "," + RETAINED + "," + VERDICT + "SELECT * FROM verdicts")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copytrail import constants as C
+from copytrail.functions.evidence import ELIGIBILITY_REASONS
 from copytrail.skew import exact_percentiles
 
 
@@ -347,6 +348,38 @@ def schedule_diff(planned: DataFrame, observed: DataFrame) -> DataFrame:
     return by_key.unionByName(by_id)
 
 
+# Reasons of a result row (fixed values).
+DECODE_REASONS = ("decoded", "not_detected", "partial", "invalid_crc", "execution_error")
+
+
+def row_audit(rows: DataFrame, planned: DataFrame, contract: dict[str, object]) -> DataFrame:
+    """(row_id, code): everything in which a result row departs from what its plan and contracts say, one row per code.
+
+    ``contract`` gives the values that all rows share: schema version, the four contract digests, the seed. ``planned`` has
+    one row per scheduled key with candidate_id, fixture_kind, attack_kind, attack_parameters and ``remaining_tiles``, the
+    tiles recomputed by ``crop_eligibility`` (null where no crop applies). A row that failed to run is eligible by default.
+    The plan is small beside the rows, so the join moves the rows once at most.
+    """
+    fields = ("candidate_id", "fixture_kind", "attack_kind", "attack_parameters")
+    plan = planned.select(*SCHEDULE_KEY, F.lit(True).alias("_due"), F.col("remaining_tiles").alias("_left"), *[F.col(c).alias(f"_{c}") for c in fields])
+    joined = rows.join(plan, list(SCHEDULE_KEY), "left")
+    due = F.col("_due").isNotNull()
+    cropped = F.col("_left").isNotNull() & (F.col("reason") != "execution_error")
+    enough = F.col("_left") >= 2
+    found = F.struct(F.col("eligible"), F.col("remaining_embedded_tiles").cast("int"), F.col("eligibility_reason"))
+    wanted = F.when(cropped, F.struct(enough.alias("eligible"), F.col("_left").cast("int").alias("remaining_embedded_tiles"), F.when(
+        enough, ELIGIBILITY_REASONS[1]).otherwise(ELIGIBILITY_REASONS[2]).alias("eligibility_reason"))).otherwise(F.struct(
+            F.lit(True).alias("eligible"), F.lit(None).cast("int").alias("remaining_embedded_tiles"), F.lit(ELIGIBILITY_REASONS[0]).alias("eligibility_reason")))
+    tests = [("unplanned", ~due)]
+    tests += [(f"{name}_mismatch", ~F.col(name).eqNullSafe(F.lit(value))) for name, value in contract.items()]
+    tests += [(f"{name}_mismatch", due & ~F.col(name).eqNullSafe(F.col(f"_{name}"))) for name in fields]
+    tests += [("reason_invalid", ~F.coalesce(F.col("reason").isin(*DECODE_REASONS), F.lit(False))),
+              ("remaining_invalid", F.coalesce(F.col("remaining_embedded_tiles") < 0, F.lit(False))),
+              ("eligibility_mismatch", due & ~found.eqNullSafe(wanted))]
+    codes = F.filter(F.array(*[F.when(test, F.lit(code)) for code, test in tests]), lambda c: c.isNotNull())
+    return joined.select("row_id", F.explode(codes).alias("code"))
+
+
 def resume_plan(planned: DataFrame, completed: DataFrame) -> DataFrame:
     """Planned rows that have no result yet."""
     return planned.join(completed.select("row_id").distinct(), "row_id", "left_anti")
