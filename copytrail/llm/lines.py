@@ -27,13 +27,15 @@ def masked(line: Column) -> Column:
     return F.trim(F.regexp_replace(fields, r"\s+", " "))
 
 
-def lines_of(keyed: DataFrame) -> DataFrame:
-    """(text_key, line, leaf, line_key, n_words): the lines of each text, masked; blank lines are none."""
-    raw = keyed.select("text_key", F.explode(F.split("text", "\n", -1)).alias("raw"))
-    rows = raw.select("text_key", F.explode(F.array(masked(F.col("raw")))).alias("line")).filter("line <> ''")
-    n_words = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
-    return rows.select("text_key", "line", F.xxhash64(n_words, F.substring_index("line", " ", DEPTH)).alias("leaf"),
-                       F.xxhash64("line").alias("line_key"), n_words.alias("n_words"))
+def leaf_of(line: Column) -> Column:
+    """The leaf of a line as it stands: its number of spaces and its leading tokens, masked. Cheap, for every line needs it."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" ")))
+    return F.xxhash64(spaces, masked(F.substring_index(line, " ", DEPTH)))
+
+
+def key_of(line: Column) -> Column:
+    """A number for a line's leaf and masked text."""
+    return F.xxhash64(leaf_of(line), masked(line))
 
 
 def slots(line: Column) -> Column:
@@ -48,7 +50,7 @@ def slots(line: Column) -> Column:
 def templates(lines: DataFrame) -> DataFrame:
     """(line_key, template): the template of every different line of (leaf, line_key, slots, n).
 
-    The tree's levels are the number of tokens and the first three of them. In a leaf, lines come in descending order of
+    The tree's levels are the number of spaces and the first three tokens. In a leaf, lines come in descending order of
     their texts; one joins the template most like it if at least ``ALIKE`` of the slots agree, and slots that differ become
     variable, else it starts a template. A template's id is a hash of its leaf and first line. A task keeps the templates
     of one leaf at a time, not its lines.
@@ -89,18 +91,19 @@ def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     texts hold, whatever the template; its lines say nothing about recurrence, and whole-document deduplication deals with
     it. Equal texts count once.
     """
-    every = lines_of(keyed)
-    lines = written(every.groupBy("text_key", "line_key").agg(F.first("leaf").alias("leaf"), F.first("n_words").alias("n_words")), "lines")
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("_texts")).filter(F.col("_texts") >= min_documents).select("leaf")
-    some = written(lines.join(busy, "leaf"), "busy_lines")
-    counted = some.groupBy("leaf", "line_key").agg(F.count("*").alias("n"))
-    spelled = every.join(busy, "leaf", "left_semi").groupBy("line_key").agg(F.first("line").alias("line"))
-    distinct = counted.join(spelled.select("line_key", slots(F.col("line")).alias("slots")), "line_key")
+    raw = keyed.select("text_key", F.explode(F.split("text", "\n", -1)).alias("raw")).filter("trim(raw) <> ''")
+    placed = raw.withColumn("leaf", leaf_of(F.col("raw")))
+    busy = placed.select("text_key", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("_texts")).filter(F.col("_texts") >= min_documents)
+    near = placed.join(busy.select("leaf"), "leaf").select("text_key", "leaf", F.explode(F.array(masked(F.col("raw")))).alias("line"))
+    n_words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    some = near.select("text_key", "leaf", F.xxhash64("leaf", "line").alias("line_key"), "line", n_words.alias("n_words"))
+    some = written(some.groupBy("text_key", "leaf", "line_key").agg(F.first("line").alias("line"), F.first("n_words").alias("n_words")), "busy_lines")
+    distinct = some.groupBy("leaf", "line_key").agg(slots(F.first("line")).alias("slots"), F.count("*").alias("n"))
     found = written(templates(distinct), "templates")
     held = written(some.select("text_key", "line_key", "n_words").join(found, "line_key"), "held_lines")
     counts = held.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     common = held.join(counts, "template")
-    words = lines.groupBy("text_key").agg(F.sum("n_words").alias("words"))
+    words = keyed.select("text_key", (F.octet_length("text") - F.octet_length(F.translate("text", " \n", "")) + 1).alias("words")).distinct()
     shared = common.groupBy("text_key").agg(F.sum("n_words").alias("shared"), F.count("*").alias("lines"))
     # A single shared line cannot tell a copy from a text that is little more than its boilerplate.
     copies = shared.join(words, "text_key").filter((F.col("shared") > COPY_SHARE * F.col("words")) & (F.col("lines") > 1)).select("text_key")
@@ -121,7 +124,7 @@ def drop_recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, count: s
     drops = recurring(keyed.select(F.col(key).alias("text_key"), "text"), min_documents).select(F.col("text_key").alias(key), F.col("drop").alias(drop))
     joined = keyed.join(drops, key, "left")
     parts = F.split("text", "\n", -1)
-    stays = F.filter(parts, lambda x: ~F.array_contains(F.col(drop), F.xxhash64(masked(x))))
+    stays = F.filter(parts, lambda x: ~F.array_contains(F.col(drop), key_of(x)))
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     dropped = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stays)).cast("long")
     new = {"text": text, "n_chars": F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long") if "n_chars" in docs.columns else None}
