@@ -48,23 +48,23 @@ class Page:
         self.tokens: dict[tuple[str, str], int] = {}
         self.chars: dict[str, int] = {}
         self.blocks: list[tuple[tuple[str, ...], str]] = []
-        stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, outside the article by its own name or an ancestor's
+        # Tag, path, whether it is outside the article by its own name or an ancestor's, paths of all open containers.
+        stack: list[tuple[str, str, bool, tuple[str, ...]]] = [("", "", False, ("",))]
         parts: list[str] = []
 
         def flush() -> None:
             if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
+                _, path, outside, paths = stack[-1]
+                if not outside and (text := " ".join(html.unescape("".join(parts)).split())):
+                    self.blocks.append((paths, text))
+                    self.chars[path] = self.chars.get(path, 0) + len(text)
                 parts.clear()
-                if text and not stack[-1][2]:
-                    self.blocks.append((tuple(path for _, path, _ in stack), text))
-                    self.chars[stack[-1][1]] = self.chars.get(stack[-1][1], 0) + len(text)
 
         for m in TOKEN.finditer(source):
-            text = m["text"]
-            if text is not None:
-                parts.append(text)
+            if m.lastgroup == "text":
+                parts.append(m[0])
                 continue
-            if m["tag"] is None:
+            if m.lastgroup != "rest":  # a comment, or an element without text
                 continue
             tag = m["tag"].lower()
             if tag == "br":
@@ -85,7 +85,8 @@ class Page:
                 named = any(NOT_ARTICLE_NAMES.match(p.lower()) for v in values for p in PART.split(v))
                 role = tag if tag in ARTICLE else "main" if ARTICLE_ROLE.search(m["rest"] or "") else tag
                 self._count(stack[-1][1], label)
-                stack.append((tag, f"{stack[-1][1]}>{label}" if role == tag else f"{stack[-1][1]}>{label}:main", stack[-1][2] or tag in NOT_ARTICLE or named))
+                path = f"{stack[-1][1]}>{label}" if role == tag else f"{stack[-1][1]}>{label}:main"
+                stack.append((tag, path, stack[-1][2] or tag in NOT_ARTICLE or named, (*stack[-1][3], path)))
         flush()
 
     def _count(self, path: str, label: str) -> None:
