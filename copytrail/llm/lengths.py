@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from copytrail.llm.common import written
+
 BAND = 1024
 
 
@@ -36,9 +38,9 @@ def limits(lengths: DataFrame) -> DataFrame:
     truncated_total: tokens kept if every document is cut at this limit; total_tokens and total_docs; quantile: share of
     documents no longer than this. A limit between two lengths has the row of the next longer one, less docs_at_least
     for each id of difference. Lengths are summed in bands of 1024, and the bands then, so no task sorts all lengths.
-    An empty table gives no rows.
+    An empty table gives no rows. The histogram is written first, so texts are encoded once.
     """
-    h = lengths.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("band", F.expr(f"n_tokens div {BAND}"))
+    h = written(lengths, "lengths").withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("band", F.expr(f"n_tokens div {BAND}"))
     up = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     bands = h.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
