@@ -103,7 +103,8 @@ def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     held = written(some.select("text_key", "line_key", "n_words").join(found, "line_key"), "held_lines")
     counts = held.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     common = held.join(counts, "template")
-    words = keyed.select("text_key", (F.octet_length("text") - F.octet_length(F.translate("text", " \n", "")) + 1).alias("words")).distinct()
+    gaps = sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit(c))) for c in (" ", "\n")), F.lit(1))
+    words = keyed.select("text_key", gaps.alias("words")).distinct()
     shared = common.groupBy("text_key").agg(F.sum("n_words").alias("shared"), F.count("*").alias("lines"))
     # A single shared line cannot tell a copy from a text that is little more than its boilerplate.
     copies = shared.join(words, "text_key").filter((F.col("shared") > COPY_SHARE * F.col("words")) & (F.col("lines") > 1)).select("text_key")
@@ -122,11 +123,12 @@ def drop_recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, count: s
     key, drop = free_name(docs, "_text_key"), free_name(docs, "_drop")
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit(""))))
     drops = recurring(keyed.select(F.col(key).alias("text_key"), "text"), min_documents).select(F.col("text_key").alias(key), F.col("drop").alias(drop))
-    joined = keyed.join(drops, key, "left")
-    parts = F.split("text", "\n", -1)
-    stays = F.filter(parts, lambda x: ~F.array_contains(F.col(drop), key_of(x)))
-    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    dropped = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(parts) - F.size(stays)).cast("long")
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col(drop), key_of(x)))
+    kept = free_name(docs, "_kept")
+    # Behind a one-element explode, or each of the columns below would mask the lines anew.
+    joined = keyed.join(drops, key, "left").select("*", F.explode(F.array(F.when(F.col(drop).isNotNull(), stays))).alias(kept))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)) - F.size(kept)).cast("long")
     new = {"text": text, "n_chars": F.when(F.col(drop).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long") if "n_chars" in docs.columns else None}
     columns = [new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns if c != count]
     return joined.select(*columns, *([dropped.alias(count)] if count else []))
