@@ -6,18 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copytrail.llm.common import free_name, written
+from copytrail.llm.graph import components
 
 DEPTH = 3
 SLOTS = 64
 #: Share of equal tokens from which a line joins a template of its leaf.
 ALIKE = 0.7
 MIN_DOCUMENTS = 10
-#: A document with more than this share of its words in lines that many documents hold is a copy, not a carrier.
-COPY_SHARE = 0.25
+#: Texts that share all but a tenth of their words have a similarity of 0.8: whole-document deduplication deals with them.
+OWN_SHARE = 0.1
+#: Texts are copies of each other if so much of what one has besides common lines is in the other.
+SHARED_REST = 0.25
+SEED = 42
 WILD = "<*>"
 
 
@@ -83,32 +88,83 @@ def templates(lines: DataFrame) -> DataFrame:
     return dealt.mapInArrow(parse, "line_key long, first long, leaf long").select("line_key", F.xxhash64("leaf", "first").alias("template"))
 
 
+def sketch(line: bytes) -> list[int]:
+    """Hashes of about every eighth run of three words of a line, chosen by hash, and always the least."""
+    words = line.lower().split()
+    runs = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 3]), SEED) >> 1 for i in range(max(1, len(words) - 2))] if words else []
+    return [h for h in runs if h % 8 == 0] + [min(runs)] if runs else []
+
+
+def contexts(keyed: DataFrame, common: DataFrame) -> DataFrame:
+    """(text_key, words, own, context): what each text that holds common lines is besides them.
+
+    ``own`` counts the words outside the common lines. Texts whose rests are copies of each other's text have one context:
+    a text is linked to the one that shares most of its rest, from a quarter of the rest's hashed word runs on.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows = []
+            for key, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key in seen:  # exact copies
+                    continue
+                seen.add(key)
+                common_raws = set(held)
+                words = own = 0
+                every, rest = set(), set()
+                for line in text.split(b"\n"):
+                    n, runs = len(line.split()), sketch(line)
+                    words += n
+                    every.update(runs)
+                    if np.uint64(xxhash.xxh64_intdigest(line, SEED)).astype(np.int64) not in common_raws:
+                        own += n
+                        rest.update(runs)
+                rows.append((key, words, own, list(every), list(rest)))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "words", "own", "every", "rest"])
+
+    held = common.groupBy("text_key").agg(F.flatten(F.collect_list("raws")).alias("held"))
+    joined = keyed.join(held, "text_key").select("text_key", F.col("text").cast("binary"), "held")
+    found = joined.mapInArrow(run, "text_key string, words long, own long, every array<long>, rest array<long>")
+    found = written(found.dropDuplicates(["text_key"]).withColumn("id", F.xxhash64("text_key")), "contexts")
+    first = found.select("id", F.explode("every").alias("run")).groupBy("run").agg(F.min("id").alias("label"), F.count("*").alias("n")).filter("n > 1")
+    met = found.select("id", F.size("rest").alias("size"), F.explode("rest").alias("run")).join(first, "run")
+    shares = met.groupBy("id", "size", "label").agg(F.count("*").alias("n"))
+    near = shares.groupBy("id", "size").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("label"))
+    links = near.filter((F.col("n") >= SHARED_REST * F.col("size")) & (F.col("id") != F.col("label")))
+    grouped = components(links.select(F.col("id").alias("a"), F.col("label").alias("b")))
+    return found.join(grouped.withColumnRenamed("node", "id"), "id", "left").select(
+        "text_key", "words", "own", F.coalesce("component", "id").alias("context"))
+
+
 def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(text_key, drop): for each different text of (text_key, text) with recurring lines the keys of these.
 
-    A template recurs when at least ``min_documents`` different texts hold it that are not copies. Only leaves with so many
-    texts are parsed, so nearly all prose leaves the work after one count. In a copy, most lines have templates that many
-    texts hold, whatever the template; its lines say nothing about recurrence, and whole-document deduplication deals with
-    it. Equal texts count once.
+    A template recurs when texts of at least ``min_documents`` different contexts hold it: a text carries a line if a tenth
+    of its words is outside the common lines, however short it is, and texts that are copies of each other outside them
+    count once. A text of common lines alone says nothing about recurrence, unless it is one line; whole-document
+    deduplication deals with it. Only leaves with so many texts are parsed, so nearly all prose leaves the work after one
+    count. Equal texts count once.
     """
     raw = keyed.select("text_key", F.explode(F.split("text", "\n", -1)).alias("raw")).filter("trim(raw) <> ''")
     placed = raw.withColumn("leaf", leaf_of(F.col("raw")))
     busy = placed.select("text_key", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("_texts")).filter(F.col("_texts") >= min_documents)
-    near = placed.join(busy.select("leaf"), "leaf").select("text_key", "leaf", F.explode(F.array(masked(F.col("raw")))).alias("line"))
+    near = placed.join(busy.select("leaf"), "leaf").select("text_key", "leaf", F.xxhash64("raw").alias("raw_key"), F.explode(F.array(masked(F.col("raw")))).alias("line"))
     n_words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
-    some = near.select("text_key", "leaf", F.xxhash64("leaf", "line").alias("line_key"), "line", n_words.alias("n_words"))
-    some = written(some.groupBy("text_key", "leaf", "line_key").agg(F.first("line").alias("line"), F.first("n_words").alias("n_words")), "busy_lines")
+    some = near.select("text_key", "leaf", F.xxhash64("leaf", "line").alias("line_key"), "raw_key", "line", n_words.alias("n_words"))
+    some = written(some.groupBy("text_key", "leaf", "line_key").agg(
+        F.first("line").alias("line"), F.first("n_words").alias("n_words"), F.collect_set("raw_key").alias("raws")), "busy_lines")
     distinct = some.groupBy("leaf", "line_key").agg(slots(F.first("line")).alias("slots"), F.count("*").alias("n"))
     found = written(templates(distinct), "templates")
-    held = written(some.select("text_key", "line_key", "n_words").join(found, "line_key"), "held_lines")
+    held = written(some.select("text_key", "line_key", "n_words", "raws").join(found, "line_key"), "held_lines")
     counts = held.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
-    common = held.join(counts, "template")
-    gaps = sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit(c))) for c in (" ", "\n")), F.lit(1))
-    words = keyed.select("text_key", gaps.alias("words")).distinct()
-    shared = common.groupBy("text_key").agg(F.sum("n_words").alias("shared"), F.count("*").alias("lines"))
-    # A single shared line cannot tell a copy from a text that is little more than its boilerplate.
-    copies = shared.join(words, "text_key").filter((F.col("shared") > COPY_SHARE * F.col("words")) & (F.col("lines") > 1)).select("text_key")
-    carriers = common.join(copies, "text_key", "left_anti").groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
+    common = held.join(counts.select("template"), "template")
+    alone = common.groupBy("text_key").agg(F.count("*").alias("lines"))
+    judged = common.join(contexts(keyed, common), "text_key").join(alone, "text_key")
+    # A single common line cannot tell a copy from a text that is little more than its boilerplate.
+    carry = judged.filter((F.col("own") > 0) & (F.col("own") >= OWN_SHARE * F.col("words")) | (F.col("lines") == 1))
+    carriers = carry.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
     drops = common.join(carriers.select("template"), "template").groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
     return drops
 

@@ -274,6 +274,18 @@ def test_a_template_generalises_fields_that_differ(spark):
     assert got[0] == got[1] == got[2] and len({got[0], got[3], got[4]}) == 3
 
 
+def test_boilerplate_of_short_texts_recurs(spark):
+    head, foot = prose(801, 20), prose(802, 20)
+    frame = docs_of(spark, [f"{head}\n{prose(820 + k, 12)}\n{foot}" for k in range(14)])
+    assert [r.text for r in lines.drop_recurring(frame).orderBy("doc_id").collect()] == [prose(820 + k, 12) for k in range(14)]
+
+
+def test_copies_with_lines_that_left_their_template_count_once(spark):
+    copy = [prose(840 + k, 30) for k in range(6)]
+    texts = ["\n".join("added " + line if i in (k % 6, (k // 3) % 6) else line for i, line in enumerate(copy)) for k in range(18)]
+    assert [r.text for r in lines.drop_recurring(docs_of(spark, texts)).orderBy("doc_id").collect()] == texts
+
+
 # 7 lengths
 
 
