@@ -18,6 +18,9 @@ SLOTS = 64
 #: Share of equal tokens from which a line joins a template of its leaf.
 ALIKE = 0.7
 MIN_DOCUMENTS = 10
+#: A line of more words recurs from ``LONG_DOCUMENTS`` texts on that are mostly different.
+LONG = 50
+LONG_DOCUMENTS = 2
 #: Texts that share all but a tenth of their words have a similarity of 0.8: whole-document deduplication deals with them.
 OWN_SHARE = 0.1
 #: Texts are copies of each other if so much of what one has besides common lines is in the other.
@@ -144,12 +147,17 @@ def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     A template recurs when texts of at least ``min_documents`` different contexts hold it: a text carries a line if a tenth
     of its words is outside the common lines, however short it is, and texts that are copies of each other outside them
     count once. A text of common lines alone says nothing about recurrence, unless it is one line; whole-document
-    deduplication deals with it. Only leaves with so many texts are parsed, so nearly all prose leaves the work after one
-    count. Equal texts count once.
+    deduplication deals with it. For a line of more than ``LONG`` words ``LONG_DOCUMENTS`` contexts are enough, of texts that
+    have at least as much of their own as in other common lines. Only leaves with so many texts are parsed, so nearly all
+    prose leaves the work after one count. Equal texts count once.
     """
+    few = min(LONG_DOCUMENTS, min_documents)
     raw = keyed.select("text_key", F.explode(F.split("text", "\n", -1)).alias("raw")).filter("trim(raw) <> ''")
-    placed = raw.withColumn("leaf", leaf_of(F.col("raw")))
-    busy = placed.select("text_key", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("_texts")).filter(F.col("_texts") >= min_documents)
+    # All lines of a leaf have the same number of spaces, so a long line's leaf has long lines only, but for repeated spaces.
+    spaces = F.octet_length("raw") - F.octet_length(F.replace("raw", F.lit(" ")))
+    placed = raw.withColumn("leaf", leaf_of(F.col("raw"))).withColumn("long", spaces >= LONG)
+    busy = placed.select("text_key", "leaf", "long").distinct().groupBy("leaf", "long").agg(F.count("*").alias("_texts")).filter(
+        F.col("_texts") >= F.when(F.col("long"), few).otherwise(min_documents))
     near = placed.join(busy.select("leaf"), "leaf").select("text_key", "leaf", F.xxhash64("raw").alias("raw_key"), F.explode(F.array(masked(F.col("raw")))).alias("line"))
     n_words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     some = near.select("text_key", "leaf", F.xxhash64("leaf", "line").alias("line_key"), "raw_key", "line", n_words.alias("n_words"))
@@ -158,13 +166,17 @@ def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     distinct = some.groupBy("leaf", "line_key").agg(slots(F.first("line")).alias("slots"), F.count("*").alias("n"))
     found = written(templates(distinct), "templates")
     held = written(some.select("text_key", "line_key", "n_words", "raws").join(found, "line_key"), "held_lines")
-    counts = held.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
+    counts = held.groupBy("template").agg(F.count("*").alias("n"), F.max("n_words").alias("most")).filter(
+        F.col("n") >= F.when(F.col("most") > LONG, few).otherwise(min_documents))
     common = held.join(counts.select("template"), "template")
     alone = common.groupBy("text_key").agg(F.count("*").alias("lines"))
     judged = common.join(contexts(keyed, common), "text_key").join(alone, "text_key")
     # A single common line cannot tell a copy from a text that is little more than its boilerplate.
     carry = judged.filter((F.col("own") > 0) & (F.col("own") >= OWN_SHARE * F.col("words")) | (F.col("lines") == 1))
-    carriers = carry.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
+    different = (F.col("n_words") > LONG) & (F.col("own") > 0) & (2 * F.col("own") >= F.col("words") - F.col("n_words"))
+    carried = carry.groupBy("template", "context").agg(F.bool_or(different).alias("different"))
+    carriers = carried.groupBy("template").agg(F.count("*").alias("n"), F.count_if("different").alias("different")).filter(
+        (F.col("n") >= min_documents) | (F.col("different") >= few))
     drops = common.join(carriers.select("template"), "template").groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
     return drops
 

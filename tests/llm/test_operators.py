@@ -286,6 +286,15 @@ def test_copies_with_lines_that_left_their_template_count_once(spark):
     assert [r.text for r in lines.drop_recurring(docs_of(spark, texts)).orderBy("doc_id").collect()] == texts
 
 
+def test_long_passages_recur_from_two_different_texts_on(spark):
+    passage = prose(860, 60)
+    texts = [f"{prose(870 + k, 80)}\n{passage}" for k in range(2)] + [f"{prose(880 + k, 80)}\n{prose(861, 40)}" for k in range(2)]
+    whole = [prose(890 + k, 60) for k in range(4)]
+    copies = ["\n".join("added " + line if i == k else line for i, line in enumerate(whole)) for k in range(3)] + ["\n".join(whole)]
+    got = [r.text for r in lines.drop_recurring(docs_of(spark, texts + copies + [prose(895, 60) + " a", prose(895, 60) + " b"])).orderBy("doc_id").collect()]
+    assert got == [prose(870, 80), prose(871, 80), *texts[2:], *copies, prose(895, 60) + " a", prose(895, 60) + " b"]
+
+
 # 7 lengths
 
 
