@@ -14,7 +14,6 @@ from copytrail.llm.common import free_name, written
 from copytrail.llm.graph import components
 
 DEPTH = 3
-SLOTS = 64
 #: Share of equal tokens from which a line joins a template of its leaf.
 ALIKE = 0.7
 MIN_DOCUMENTS = 10
@@ -47,12 +46,8 @@ def key_of(line: Column) -> Column:
 
 
 def slots(line: Column) -> Column:
-    """Up to 64 numbers that stand for a line's tokens in order, 0 for a variable field; of a longer line each stands for
-    several tokens in a row, so any line takes bounded memory."""
-    tokens = F.split(line, " ")
-    step = F.ceil(F.size(tokens) / SLOTS).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(tokens) / step).cast("int") - 1), lambda i: F.array_join(F.slice(tokens, i * step + 1, step), " "))
-    return F.transform(cut, lambda t: F.when(t == WILD, F.lit(0)).otherwise(F.xxhash64(t)))
+    """The numbers that stand for a line's tokens in order, 0 for a variable field."""
+    return F.transform(F.split(line, " "), lambda t: F.when(t == WILD, F.lit(0)).otherwise(F.xxhash64(t)))
 
 
 def templates(lines: DataFrame) -> DataFrame:
@@ -164,6 +159,7 @@ def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     some = written(some.groupBy("text_key", "leaf", "line_key").agg(
         F.first("line").alias("line"), F.first("n_words").alias("n_words"), F.collect_set("raw_key").alias("raws")), "busy_lines")
     distinct = some.groupBy("leaf", "line_key").agg(slots(F.first("line")).alias("slots"), F.count("*").alias("n"))
+    distinct = distinct.withColumn("leaf", F.xxhash64("leaf", F.size("slots")))  # repeated spaces: fewer tokens than the leaf's others
     found = written(templates(distinct), "templates")
     held = written(some.select("text_key", "line_key", "n_words", "raws").join(found, "line_key"), "held_lines")
     counts = held.groupBy("template").agg(F.count("*").alias("n"), F.max("n_words").alias("most")).filter(

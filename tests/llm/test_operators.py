@@ -295,6 +295,15 @@ def test_long_passages_recur_from_two_different_texts_on(spark):
     assert got == [prose(870, 80), prose(871, 80), *texts[2:], *copies, prose(895, 60) + " a", prose(895, 60) + " b"]
 
 
+def test_all_tokens_of_long_lines_are_compared(spark):
+    base = prose(900, 400).split()
+    varied = [" ".join(w if i < 3 or random.Random(1000 * k + i).random() > 0.15 else "other" + "x" * k for i, w in enumerate(base)) for k in range(12)]
+    spaced = ["a b c d  e f", "a b c d e f g"]
+    frame = docs_of(spark, [f"{prose(910 + k, 420)}\n{line}" for k, line in enumerate(varied)] + [f"{prose(930 + k, 40)}\n{spaced[k % 2]}" for k in range(20)])
+    got = [r.n_dropped for r in lines.drop_recurring(frame).orderBy("doc_id").collect()]
+    assert got == [1] * 32
+
+
 # 7 lengths
 
 
