@@ -40,11 +40,6 @@ def leaf_of(line: Column) -> Column:
     return F.xxhash64(spaces, masked(F.substring_index(line, " ", DEPTH)))
 
 
-def key_of(line: Column) -> Column:
-    """A number for a line's leaf and masked text."""
-    return F.xxhash64(leaf_of(line), masked(line))
-
-
 def slots(line: Column) -> Column:
     """The numbers that stand for a line's tokens in order, 0 for a variable field."""
     return F.transform(F.split(line, " "), lambda t: F.when(t == WILD, F.lit(0)).otherwise(F.xxhash64(t)))
@@ -137,7 +132,7 @@ def contexts(keyed: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(text_key, drop): for each different text of (text_key, text) with recurring lines the keys of these.
+    """(text_key, drop): for each different text of (text_key, text) with recurring lines the hashes of these.
 
     A template recurs when texts of at least ``min_documents`` different contexts hold it: a text carries a line if a tenth
     of its words is outside the common lines, however short it is, and texts that are copies of each other outside them
@@ -173,7 +168,7 @@ def recurring(keyed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     carried = carry.groupBy("template", "context").agg(F.bool_or(different).alias("different"))
     carriers = carried.groupBy("template").agg(F.count("*").alias("n"), F.count_if("different").alias("different")).filter(
         (F.col("n") >= min_documents) | (F.col("different") >= few))
-    drops = common.join(carriers.select("template"), "template").groupBy("text_key").agg(F.collect_set("line_key").alias("drop"))
+    drops = common.join(carriers.select("template"), "template").groupBy("text_key").agg(F.flatten(F.collect_list("raws")).alias("drop"))
     return drops
 
 
@@ -187,9 +182,9 @@ def drop_recurring(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, count: s
     key, drop = free_name(docs, "_text_key"), free_name(docs, "_drop")
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col("text"), F.lit(""))))
     drops = recurring(keyed.select(F.col(key).alias("text_key"), "text"), min_documents).select(F.col("text_key").alias(key), F.col("drop").alias(drop))
-    stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col(drop), key_of(x)))
+    stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col(drop), F.xxhash64(x)))
     kept = free_name(docs, "_kept")
-    # Behind a one-element explode, or each of the columns below would mask the lines anew.
+    # Behind a one-element explode, or each of the columns below would filter the lines anew.
     joined = keyed.join(drops, key, "left").select("*", F.explode(F.array(F.when(F.col(drop).isNotNull(), stays))).alias(kept))
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col(drop).isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)) - F.size(kept)).cast("long")
