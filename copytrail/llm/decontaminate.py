@@ -9,6 +9,8 @@ from copytrail.llm.common import free_name
 
 #: A 1 compares the token at that place, a 0 ignores it, so a hit survives substitutions at the ignored places.
 MASKS = ("1101101", "1011011")
+#: Of items below the window also this one: all three meet every pattern of a fifth substituted in 8 to 23 tokens.
+SHORT_MASKS = ("1100011",)
 #: Overlaps are judged over this many tokens, or the whole item if it is shorter.
 WINDOW = 24
 SIMILARITY = 0.8
@@ -55,9 +57,10 @@ def overlap(tokens: Column, item: Column, shift: Column, window: int) -> Column:
 def overlaps(keyed: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, similarity: float, min_tokens: int, names: list[str]) -> DataFrame:
     """``names`` of the rows of ``keyed`` (text, key) with item_id and ``o``, for every sufficient overlap of a hit."""
     items = benchmark_tokens(benchmark, min_tokens)
-    wanted = items.select("item_id", F.explode(seeds(F.col("item_tokens"), masks)).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place"))
+    item_seeds = F.when(F.size("item_tokens") < window, seeds(F.col("item_tokens"), masks + SHORT_MASKS)).otherwise(seeds(F.col("item_tokens"), masks))
+    wanted = items.select("item_id", F.explode(item_seeds).alias("s")).select("item_id", "s.seed", F.col("s.place").alias("item_place"))
     tokens = keyed.select("key", F.explode(F.array(token_hashes(F.col("text")))).alias("tokens"))
-    met = tokens.select("key", F.explode(seeds(F.col("tokens"), masks)).alias("s")).select("key", "s.seed", F.col("s.place").alias("place"))
+    met = tokens.select("key", F.explode(seeds(F.col("tokens"), masks + SHORT_MASKS)).alias("s")).select("key", "s.seed", F.col("s.place").alias("place"))
     hits = met.join(wanted, "seed").select("key", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     placed = hits.join(items, "item_id")
     both = keyed.join(placed, "key").select(*names, "item_id", "shift", "item_tokens", F.explode(F.array(token_hashes(F.col("text")))).alias("tokens"))

@@ -141,6 +141,20 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(set(range(len(texts))) - {i for i, _ in want})
 
 
+def test_masks_meet_every_pattern_of_short_items(spark):
+    from itertools import combinations
+
+    masks = [(len(m), sum(1 << i for i, c in enumerate(m) if c == "1")) for m in decontaminate.MASKS + decontaminate.SHORT_MASKS]
+    for n in range(decontaminate.MIN_TOKENS, decontaminate.WINDOW):
+        for swapped in combinations(range(n), n // 5):
+            equal = (1 << n) - 1 - sum(1 << i for i in swapped)
+            assert any(equal >> p & m == m for k, m in masks for p in range(n - k + 1)), (n, swapped)
+    words = prose(950, 15).split()
+    docs = docs_of(spark, [" ".join("swapped" if i % 4 == 3 else w for i, w in enumerate(words))])
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r.item_id, r.matched, r.length) for r in found] == [(1, 12, 15)]
+
+
 def test_decontamination_with_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = docs_of(spark, ["a b c", None])
