@@ -9,6 +9,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,6 +67,15 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
         yield rest, np.zeros(1, dtype=np.int64)
 
 
+def in_steps(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into steps of a few million bytes of one column, or of one row."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(total // most)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            yield batch.slice(begin, end - begin)
+
+
 class WordMemory:
     """Values of words, learned many at a time when first met. ``learn`` gives, for a list of words, one or more lists of values.
 

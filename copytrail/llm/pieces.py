@@ -9,12 +9,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copytrail.llm.common import WordMemory
+from copytrail.llm.common import WordMemory, in_steps
 
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
@@ -196,22 +195,13 @@ def memory(path: str) -> Memory:
     return Memory(path)
 
 
-def _in_steps(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches cut into steps of a few million bytes of text (column 1), or of one row."""
-    for batch in batches:
-        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = np.flatnonzero(np.diff(total // most)) + 1
-        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            yield batch.slice(begin, end - begin)
-
-
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and decoded from its ids.
 
     A null text counts as empty: no ids, decoded to the empty text. Rows come out one for one, null and repeated ids too.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _in_steps(batches):
+        for batch in in_steps(batches):
             out = []
             for ids, raw in memory(path).prepare(batch.column(1).to_pylist()):
                 decoded = raw[1:]  # the space put in front of the text goes
