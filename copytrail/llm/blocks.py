@@ -13,16 +13,19 @@ from copytrail.llm.common import whole_runs
 
 CHUNK = 2048
 SMALL = 24
+MOST_BYTES = 16_000_000
 
 
-def pair_blocks(keyed: DataFrame, row_id: str, chunk: int = CHUNK) -> DataFrame:
+def pair_blocks(keyed: DataFrame, row_id: str, chunk: int = CHUNK, *, weight: str | None = None) -> DataFrame:
     """Rows of keys that hold more than one row, with ``_part``, ``_lo`` and ``_hi``.
 
     A key of n rows is cut by a hash of the row id into ceil(n / chunk) parts, and each pair of parts is one block, so
     no task gets more than about two parts of it at a time and no pair of rows is missed. Rows alone in their key leave.
+    With ``weight`` (a column of bytes that come with a row) parts are also cut to about ``MOST_BYTES``.
     """
-    counts = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    parts = F.ceil(F.col("_n") / chunk).cast("int")
+    heavy = F.ceil(F.sum(weight) / MOST_BYTES) if weight else F.lit(1)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("_n"), heavy.alias("_heavy")).filter("_n > 1")
+    parts = F.greatest(F.ceil(F.col("_n") / chunk), F.col("_heavy")).cast("int")
     cut = keyed.join(counts, "key").withColumn("_parts", parts).withColumn("_part", F.expr(f"int(pmod(xxhash64({row_id}), _parts))"))
     other = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")
     spread = cut.select("*", other)
@@ -39,6 +42,24 @@ def in_blocks(blocks: DataFrame, kernel: Callable[[pa.Table, np.ndarray], pa.Tab
     return dealt.mapInArrow(run, schema)
 
 
+def run_pairs(starts: np.ndarray, n: int, done: np.ndarray, tile: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the same run, many at a time; those of a long run without pairs whose rows are both ``done`` by then."""
+    ends = np.append(starts[1:], n)
+    sizes = ends - starts
+    run_of = np.repeat(np.arange(len(starts)), sizes)
+    few = np.repeat(sizes <= SMALL, sizes)
+    for step in range(1, min(SMALL, n)):
+        i = np.flatnonzero(few[:-step] & (run_of[:-step] == run_of[step:]))
+        if not len(i):
+            break
+        yield i, i + step
+    for k in np.flatnonzero(sizes > SMALL):
+        for begin in range(starts[k], ends[k], tile):
+            i, j = np.meshgrid(np.arange(begin, min(begin + tile, ends[k])), np.arange(begin, ends[k]), indexing="ij")
+            open_pairs = (i < j) & ~(done[i] & done[j])
+            yield i[open_pairs], j[open_pairs]
+
+
 def spanning_links(starts: np.ndarray, n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) that connect what ``near`` connects inside each run.
 
