@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from itertools import islice
 
 import numpy as np
@@ -76,6 +79,19 @@ def in_steps(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_0
             yield batch.slice(begin, end - begin)
 
 
+def tidied(rows: Iterator[pa.RecordBatch], *memories: WordMemory) -> Iterator[pa.RecordBatch]:
+    """The rows; at their end the memories are emptied and unused memory goes back to the system, for workers outlive their tasks."""
+    try:
+        yield from rows
+    finally:
+        for memory in memories:
+            memory.known = [{}]
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # a C library that keeps no such pool
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordMemory:
     """Values of words, learned many at a time when first met. ``learn`` gives, for a list of words, one or more lists of values.
 

@@ -180,7 +180,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     Urls that are null or have no host share the empty host. Rows come out one for one.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    found = written(templates(occurrences(rows.select("host", "html"))), "templates")
+    found = written(templates(written(occurrences(rows.select("host", "html")), "occurrences")), "templates")
     pool = found.filter(F.col("host") == POOL).select("slot").first()  # one path
     common = pool.slot if pool else None
     own = found.filter((F.col("host") != POOL) & (F.col("host_pages") >= MIN_PAGES)).select("host", "slot")

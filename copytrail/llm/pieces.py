@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copytrail.llm.common import WordMemory, in_steps
+from copytrail.llm.common import WordMemory, in_steps, tidied
 
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
-#: Distinct words remembered by one Python worker; older ones go when it is full, which changes no result.
-REMEMBERED = 300_000
+#: Distinct words remembered by one task, some 60 MB; newer ones go when it is full, which changes no result.
+REMEMBERED = 150_000
 #: A word ends where a marked space follows another character; no piece of the vocabulary reaches over such a place.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -211,7 +211,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        lambda batches: tidied(run(batches), memory(path).memory), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [list(map(int, found.split(b","))) if found else [] for found, _ in memory(path).prepare(column.to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lambda batches: tidied(run(batches), memory(path).memory), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from copytrail.llm.blocks import in_blocks, pair_blocks, run_pairs, spanning_links
-from copytrail.llm.common import free_name, in_steps, written
+from copytrail.llm.common import free_name, in_steps, tidied, written
 from copytrail.llm.graph import components
 
 SEED = 42
@@ -186,7 +186,7 @@ def _text_marks(docs: DataFrame, words: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(marks, pa.binary())], names=["doc_id", "text_key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), text_key(F.col("text")).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key binary, fp binary")
+    return rows.mapInArrow(lambda batches: tidied(run(batches)), "doc_id long, text_key binary, fp binary")
 
 
 def text_key(text: Column) -> Column:
