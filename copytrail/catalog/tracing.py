@@ -207,8 +207,18 @@ LINES = """
     line_votes AS (SELECT a.doc_id, CASE WHEN h.n = 1 THEN h.id END AS id, coalesce(h.n > 1, false) AS shared
               FROM altered a LEFT JOIN holders h ON a.lang = h.lang AND a.line = h.line),
     tally AS (SELECT doc_id, id, count(*) AS v, count(*) FILTER (shared) AS s FROM line_votes GROUP BY 1, 2),
-    decided AS (SELECT doc_id, CAST(sum(v) AS BIGINT) AS chunks, CAST(sum(s) AS BIGINT) AS shared_votes, count(id) AS identities,
-        coalesce(max(v) FILTER (id IS NOT NULL), 0) AS valid_votes, max(id) AS id FROM tally GROUP BY 1),
+    counted AS (SELECT doc_id, CAST(sum(v) AS BIGINT) AS chunks, CAST(sum(s) AS BIGINT) AS shared_votes, count(id) AS unique_ids,
+        max(v) FILTER (id IS NOT NULL) AS best, max(id) AS id FROM tally GROUP BY 1),
+    shared AS (SELECT DISTINCT a.doc_id, a.lang, a.line FROM altered a JOIN counted c ON c.doc_id = a.doc_id AND c.unique_ids = 0
+        JOIN holders h ON a.lang = h.lang AND a.line = h.line AND h.n > 1),
+    wanted AS (SELECT doc_id, count(*) AS k FROM shared GROUP BY 1),
+    owned AS (SELECT DISTINCT lang, line, concat('iss-', CAST(doc_id AS STRING)) AS holder FROM lines),
+    whole AS (SELECT s.doc_id, o.holder FROM shared s JOIN owned o ON s.lang = o.lang AND s.line = o.line JOIN wanted w ON w.doc_id = s.doc_id
+        GROUP BY s.doc_id, o.holder, w.k HAVING count(*) = w.k),
+    met AS (SELECT doc_id, min(holder) AS holder FROM whole GROUP BY 1 HAVING count(*) = 1),
+    decided AS (SELECT c.doc_id, chunks, shared_votes, CASE WHEN m.holder IS NOT NULL THEN 1 ELSE unique_ids END AS identities,
+        coalesce(best, CASE WHEN m.holder IS NOT NULL THEN shared_votes END, 0) AS valid_votes, coalesce(c.id, m.holder) AS id
+        FROM counted c LEFT JOIN met m ON m.doc_id = c.doc_id),
     st AS (SELECT *, CASE WHEN identities > 1 THEN 'conflicting_payload_evidence'
         WHEN identities = 1 AND valid_votes >= 2 AND valid_votes / chunks >= 0.60 THEN 'decoded'
         WHEN identities = 1 OR shared_votes >= 2 THEN 'partial_payload_evidence' ELSE 'payload_not_detected' END AS status FROM decided)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from copytrail import constants as C
 from copytrail.functions.ids import receipt_id
+from copytrail.session import materialize
 from copytrail.skew import lookup_join, running_max, running_sum, slice_hot, sparse_join
 
 CONCLUSIVE = ("decoded", "partial_payload_evidence")
@@ -252,26 +253,71 @@ def text_chunks(texts: DataFrame, *ids: str, text: str = "text") -> DataFrame:
         *ids, "chunk_index", F.sha2("_line", 256).alias("chunk_sha256"))
 
 
+def line_holders(issued_chunks: DataFrame) -> DataFrame:
+    """One row per (organization_id, chunk_sha256): ``holders`` counts the copies with that line, ``only_id`` names a single
+    one, and ``holder_set`` stands for the set of several.
+
+    Sets are told apart by their size and two sums of hashes of their members, so no list of holders is ever built: a line
+    that every copy holds is reduced in each task like any other, and lines with the same holders share one set.
+    """
+    copies = issued_chunks.select("organization_id", "chunk_sha256", "issuance_id").distinct()
+    counted = copies.groupBy("organization_id", "chunk_sha256").agg(
+        F.count("*").alias("holders"), F.min("issuance_id").alias("_low"), F.bit_xor(F.xxhash64("issuance_id")).alias("_x"),
+        F.sum(F.xxhash64("issuance_id", F.lit(1)).cast("decimal(20,0)")).alias("_s"))
+    several = F.md5(F.concat_ws("/", "organization_id", "holders", "_x", "_s"))
+    return counted.select("organization_id", "chunk_sha256", "holders", F.when(F.col("holders") == 1, F.col("_low")).alias("only_id"),
+                          F.when(F.col("holders") > 1, several).alias("holder_set"))
+
+
+def intersect_holders(families: DataFrame, holders: DataFrame, issued_chunks: DataFrame) -> DataFrame:
+    """(family, issuance_id): the copy that is in all sets of a family, where it is the only one.
+
+    ``families`` holds (family, sets), sets being an ascending array of (holders, holder_set). Members of a set are read once,
+    from one of its lines. The candidates of a family are those of its smallest set; the next one eliminates most of them,
+    and what is left must be in all others. A family of one set of several copies names nobody and costs nothing.
+    """
+    many = families.filter(F.size("sets") > 1)
+    needed = many.select(F.explode("sets.holder_set").alias("holder_set")).distinct()
+    lines = holders.filter("holders > 1").join(needed, "holder_set").groupBy("holder_set").agg(
+        F.min(F.struct("organization_id", "chunk_sha256")).alias("l")).select("holder_set", "l.*")
+    members = materialize(issued_chunks.join(lines, ["organization_id", "chunk_sha256"]).select("holder_set", "issuance_id").distinct(), "holder_sets")
+    named = many.select("family", *[F.col("sets")[k]["holder_set"].alias(f"_{k}") for k in (0, 1)],
+                        F.expr("transform(slice(sets, 3, greatest(0, size(sets) - 2)), x -> x.holder_set)").alias("_rest"))
+    first = named.join(members.withColumnRenamed("holder_set", "_0"), "_0")
+    second = first.join(members.withColumnRenamed("holder_set", "_1"), ["_1", "issuance_id"], "left_semi")
+    asked = second.select("family", "issuance_id", F.size("_rest").alias("_asked"), F.explode_outer("_rest").alias("holder_set"))
+    met = asked.join(members.withColumn("_in", F.lit(1)), ["holder_set", "issuance_id"], "left")
+    whole = met.groupBy("family", "issuance_id").agg(F.count("_in").alias("_met"), F.max("_asked").alias("_asked")).filter("_met = _asked")
+    return whole.groupBy("family").agg(F.count("*").alias("_n"), F.min("issuance_id").alias("issuance_id")).filter("_n = 1").select("family", "issuance_id")
+
+
 def trace_modified_copy(suspect_chunks: DataFrame, issued_chunks: DataFrame) -> DataFrame:
     """Attribute an altered text to the issued copy that holds its lines.
 
-    Each suspect line votes for the copy holding it. A line that several copies hold cannot name one, so it
-    is counted as shared evidence instead of producing a row per holder; that keeps the join one-to-one for
-    licence lines that occur everywhere, and loses no line.
+    Each suspect line votes for the copy holding it, if only one does. Lines that several copies hold count for the set of
+    their holders, one row per (suspect, set) and none per holder. A suspect without a line of a single copy is attributed by
+    these sets: where exactly one copy holds all its shared lines, they vote for that copy. Suspects with the same sets are
+    resolved once.
     """
-    holders = issued_chunks.groupBy("organization_id", "chunk_sha256", "issuance_id").agg(F.lit(1).alias("_one")).groupBy(
-        "organization_id", "chunk_sha256").agg(F.count("*").alias("_holders"), F.min("issuance_id").alias("_id"))
+    holders = materialize(line_holders(issued_chunks), "line_holders")
     lines = suspect_chunks.groupBy("suspect_id", "organization_id", "chunk_sha256").agg(F.count("*").alias("_n"))
-    votes = lookup_join(lines, holders, ["organization_id", "chunk_sha256"], spread=["suspect_id"]).select(
-        "suspect_id", "_n", F.when(F.col("_holders") == 1, F.col("_id")).alias("issuance_id"),
-        F.coalesce(F.col("_holders") > 1, F.lit(False)).alias("_shared"))
-    tally = votes.groupBy("suspect_id", "issuance_id").agg(
-        F.sum("_n").alias("_votes"), F.sum(F.when(F.col("_shared"), F.col("_n")).otherwise(0)).alias("_common"))
+    shared = F.col("holder_set").isNotNull()
+    votes = lookup_join(lines, holders, ["organization_id", "chunk_sha256"], spread=["suspect_id"])
+    tally = votes.groupBy("suspect_id", F.col("only_id").alias("issuance_id")).agg(
+        F.sum("_n").alias("_votes"), F.sum(F.when(shared, F.col("_n")).otherwise(0)).alias("_common"),
+        F.collect_set(F.when(shared, F.struct("holders", "holder_set"))).alias("_sets"))
     named = F.col("issuance_id").isNotNull()
-    decided = tally.groupBy("suspect_id").agg(
-        F.sum("_votes").alias("chunks"), F.sum("_common").alias("shared_votes"), F.count_if(named).alias("identities"),
-        F.max(F.when(named, F.struct("_votes", "issuance_id"))).alias("_best"))
-    votes_n = F.coalesce(F.col("_best._votes"), F.lit(0))
+    counted = tally.groupBy("suspect_id").agg(
+        F.sum("_votes").alias("chunks"), F.sum("_common").alias("shared_votes"), F.count_if(named).alias("unique_identities"),
+        F.max(F.when(named, F.struct("_votes", "issuance_id"))).alias("_best"), F.first(F.when(~named, F.col("_sets")), True).alias("sets"))
+    sets = F.when((F.col("unique_identities") == 0) & (F.size("sets") > 1), F.array_sort("sets"))
+    counted = counted.withColumn("sets", sets).withColumn("family", F.md5(F.array_join("sets.holder_set", "/")))
+    counted = materialize(counted, "suspect_votes")
+    families = counted.filter("family is not null").groupBy("family").agg(F.first("sets").alias("sets"))
+    found = intersect_holders(families, holders, issued_chunks).withColumnRenamed("issuance_id", "_met")
+    decided = sparse_join(counted.drop("sets"), found, ["family"], ["suspect_id"])
+    votes_n = F.coalesce(F.col("_best._votes"), F.when(F.col("_met").isNotNull(), F.col("shared_votes")), F.lit(0))
+    decided = decided.withColumn("identities", F.when(F.col("_met").isNotNull(), F.lit(1)).otherwise(F.col("unique_identities")).cast("long"))
     status = (
         F.when(F.col("identities") > 1, "conflicting_payload_evidence")
         .when((F.col("identities") == 1) & (votes_n >= C.VOTE_QUORUM) & (votes_n / F.col("chunks") >= C.VOTE_SUPPORT), "decoded")
@@ -281,7 +327,7 @@ def trace_modified_copy(suspect_chunks: DataFrame, issued_chunks: DataFrame) ->
     return decided.withColumn("status", status).select(
         "suspect_id", "chunks", "shared_votes", "identities", votes_n.alias("valid_votes"),
         (votes_n / F.col("chunks")).alias("support"), "status",
-        F.when(F.col("status") == "decoded", F.col("_best.issuance_id")).alias("issuance_id"))
+        F.when(F.col("status") == "decoded", F.coalesce(F.col("_best.issuance_id"), F.col("_met"))).alias("issuance_id"))
 
 
 def chunk_changes(issued: DataFrame, suspect: DataFrame, key: str = "issuance_id") -> DataFrame:
