@@ -257,14 +257,14 @@ def line_holders(issued_chunks: DataFrame) -> DataFrame:
     """One row per (organization_id, chunk_sha256): ``holders`` counts the copies with that line, ``only_id`` names a single
     one, and ``holder_set`` stands for the set of several.
 
-    Sets are told apart by their size and two sums of hashes of their members, so no list of holders is ever built: a line
+    Sets are told apart by their size and two folded hashes of their members, so no list of holders is ever built: a line
     that every copy holds is reduced in each task like any other, and lines with the same holders share one set.
     """
     copies = issued_chunks.select("organization_id", "chunk_sha256", "issuance_id").distinct()
     counted = copies.groupBy("organization_id", "chunk_sha256").agg(
         F.count("*").alias("holders"), F.min("issuance_id").alias("_low"), F.bit_xor(F.xxhash64("issuance_id")).alias("_x"),
-        F.sum(F.xxhash64("issuance_id", F.lit(1)).cast("decimal(20,0)")).alias("_s"))
-    several = F.md5(F.concat_ws("/", "organization_id", "holders", "_x", "_s"))
+        F.bit_xor(F.xxhash64(F.lit(1), "issuance_id")).alias("_y"))
+    several = F.md5(F.concat_ws("/", "organization_id", "holders", "_x", "_y"))
     return counted.select("organization_id", "chunk_sha256", "holders", F.when(F.col("holders") == 1, F.col("_low")).alias("only_id"),
                           F.when(F.col("holders") > 1, several).alias("holder_set"))
 

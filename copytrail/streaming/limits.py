@@ -6,12 +6,15 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from copytrail import constants as C
-from copytrail.skew import previous_in_key, running_max, slice_hot
+from copytrail.session import materialize
+from copytrail.skew import running_max, slice_hot
 
 
 def admit(times: Iterable[int], past: Iterable[int], limit: int, window: int) -> tuple[list[bool], list[int]]:
@@ -26,35 +29,89 @@ def admit(times: Iterable[int], past: Iterable[int], limit: int, window: int) ->
     return out, list(recent)
 
 
-def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Admit or deny each request of (key, ts, event_id).
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """(key, event_id, micros, _slice, pos, old): each request's place in its key, and the time ``limit`` requests before it.
 
-    A pause as long as the window empties it, so every key is cut at such pauses into bursts that are decided
-    independently, and the bursts of one key run in parallel. Inside a burst each decision needs the ones
-    before it; bursts are streamed in order with a state of at most ``limit`` times, so none is held whole.
+    Hot keys are cut into slices along time, so places are counted inside slices and shifted. The order is written once.
+    """
+    inside = Window.partitionBy("key", "_slice").orderBy("micros", "event_id")
+    cut = slice_hot(rows, ["key"], "micros").withColumn("_at", F.row_number().over(inside) - 1).withColumn("_old", F.lag("micros", limit).over(inside))
+    sizes = cut.groupBy("key", "_slice").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    placed = cut.join(starts, ["key", "_slice"]).withColumn("pos", F.col("_start") + F.col("_at")).drop("_start", "_at")
+    placed = materialize(placed, "request_order")
+    # Only the first requests of a later slice have to look into the slices before it.
+    edge = F.col("_old").isNull() & (F.col("pos") >= limit)
+    far = placed.select("key", (F.col("pos") + limit).alias("pos"), F.col("micros").alias("_far"))
+    edges = placed.filter(edge).drop("_old").join(far, ["key", "pos"]).withColumnRenamed("_far", "old")
+    return placed.filter(~edge).withColumnRenamed("_old", "old").unionByName(edges)
+
+
+def _after_doubt(placed: DataFrame, window: int) -> DataFrame:
+    """``placed`` with ``full`` (``limit`` requests stand in the window before it) and ``clean`` (no full one does)."""
+    full = F.col("old") > F.col("micros") - window
+    marked = placed.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("_full_at", F.when(full, F.col("micros")))
+    inside = Window.partitionBy("key", "_slice").orderBy("micros", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy("key", "_slice").agg(F.max("_full_at").alias("_m")).withColumn("_carried", F.max("_m").over(before)).drop("_m")
+    last = F.greatest(F.max("_full_at").over(inside), F.col("_carried"))
+    return marked.join(carried, ["key", "_slice"]).withColumn("_last", last).withColumn(
+        "clean", F.coalesce(F.col("_last") <= F.col("micros") - window, F.lit(True))).drop("_last", "_full_at", "_carried")
+
+
+def walk(keys: list, runs: list[int], times: list[int], known: list[bool], limit: int, window: int, start: tuple | None = None) -> tuple[list[bool], tuple]:
+    """Decisions for requests ordered by (key, run, time), and where the walk stands. A known request is allowed beforehand."""
+    current, recent = start or (None, deque())
+    out = []
+    for key, run, now, sure in zip(keys, runs, times, known, strict=True):
+        if (key, run) != current:
+            current, recent = (key, run), deque()
+        while recent and recent[0] <= now - window:
+            recent.popleft()
+        out.append(sure or len(recent) < limit)
+        if out[-1]:
+            recent.append(now)
+    return out, (current, recent)
+
+
+def rate_limit(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
+    """(key, event_id, allowed): admit or deny each request of (key, ts, event_id).
+
+    A request is allowed when fewer than ``limit`` allowed ones lie in the window before it. With fewer than ``limit``
+    requests of any kind there, it surely is. Where that holds for all requests of the window before it, they are all
+    allowed, so its state is known: it is decided by built-in functions, and a key is cut there. Only what follows a full
+    window without such a cut is walked in order, from the known requests before it, with a state of at most ``limit`` times.
+    So keys of any density below the limit spread over all tasks; a stretch that keeps asking beyond its limit is one walk,
+    because each of its decisions depends on the one before. Requests of equal time go by event_id. A request without a key
+    counts against nothing and is allowed.
     """
+    if limit < 1:
+        return requests.select("key", "event_id", F.col("key").isNull().alias("allowed"))
     window = seconds * 1_000_000
     rows = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    slot = F.col("_slice")
-    stepped = previous_in_key(slice_hot(rows, ["key"], "micros"), ["key"], ["micros", "event_id"], ["micros"], slot)
-    opens = F.col("previous_micros").isNull() | (F.col("micros") - F.col("previous_micros") >= window)
-    marked = stepped.withColumn("_open", F.when(opens, F.col("micros"))).drop("previous_micros")
-    bursts = running_max(marked, ["key"], [F.col("micros"), F.col("event_id")], "_open", slot, "burst").drop("_open", "_slice")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, []
+    judged = materialize(_after_doubt(_placed(rows.filter("key is not null"), limit), window), "request_windows")
+    known = judged.filter("clean").select("key", "event_id", (~F.col("full")).alias("allowed"))
+    open_rows = judged.filter("full OR NOT clean").withColumn("_head", F.when(F.col("full") & F.col("clean"), F.col("pos")))
+    runs = running_max(open_rows, ["key"], [F.col("micros"), F.col("event_id")], "_head", F.col("_slice"), "run")
+    heads = runs.filter("_head IS NOT NULL").select("key", "run", F.explode(F.expr(f"sequence(run - {limit}, run - 1)")).alias("pos"))
+    context = judged.select("key", "pos", "event_id", "micros").join(heads, ["key", "pos"])
+    # The head of a run is decided above; it belongs to the walk as the request that was denied, and leaves no trace in it.
+    walked = runs.filter("NOT clean").select("key", "run", "micros", "event_id", F.lit(False).alias("known"))
+    steps = walked.unionByName(context.select("key", "run", "micros", "event_id", F.lit(True).alias("known")))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for batch in batches:
-            decided = []
-            for (key, burst), part in batch.groupby(["key", "burst"], sort=False):
-                if (key, burst) != current:
-                    current, recent = (key, burst), []
-                allowed, recent = admit(part["micros"], recent, limit, window)
-                decided.append(pd.DataFrame({"key": key, "event_id": part["event_id"], "allowed": allowed}))
-            if decided:
-                yield pd.concat(decided, ignore_index=True)
-
-    ordered = bursts.repartition("key", "burst").sortWithinPartitions("key", "burst", "micros", "event_id")
-    return ordered.mapInPandas(decide, "key string, event_id bigint, allowed boolean")
+            keys, runs, times, sure = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            allowed, at = walk(keys, runs, times, sure, limit, window, at)
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(allowed, pa.bool_())], names=["key", "event_id", "allowed"])
+            yield found.filter(pc.invert(batch.column(4)))
+
+    ordered = steps.repartition("key", "run").sortWithinPartitions("key", "run", "micros", "event_id")
+    schema = T.StructType([*(rows.schema[c] for c in ("key", "event_id")), T.StructField("allowed", T.BooleanType())])
+    free = rows.filter("key is null").select("key", "event_id", F.lit(True).alias("allowed"))
+    return known.unionByName(ordered.select("key", "run", "micros", "event_id", "known").mapInArrow(decide, schema)).unionByName(free)
 
 
 def scoped_requests(requests: DataFrame) -> DataFrame:
