@@ -7,7 +7,7 @@ from copytrail.catalog.lifecycle import ts, ts_sql
 from copytrail.catalog.rules import MESSAGE_ERRORS
 from copytrail.streaming import limits, monitors
 from copytrail.streaming import requests as R
-from copytrail.streaming.runner import drain
+from copytrail.streaming.runner import drain, drain_closed
 
 
 @query("ingest_requests", "WITH" + MESSAGE_ERRORS + """
@@ -42,7 +42,9 @@ EDGE_LIST = """VALUES ('created','queued'), ('created','cancelled'), ('created',
     SELECT job_id, change_id, status, target, error_code FROM walk""")
 def _(i):
     changes = i.stream("job_history").select("job_id", "changed_at", "change_id", F.col("status").alias("target"), "attempt")
-    return drain(monitors.job_states(changes), "states")
+    changes = changes.withColumn("changed_at", F.col("changed_at").cast("timestamp"))
+    schema = "job_id bigint, changed_at timestamp, change_id bigint, target string, attempt int"
+    return drain_closed(lambda ticks: monitors.job_states(changes.withColumn("attempt", F.col("attempt").cast("int")).unionByName(ticks)), schema, "states", i.spark)
 
 
 DAYS = 30
@@ -122,7 +124,8 @@ def _(i):
 
 @query("rate_limit_stream", LIMITED)
 def _(i):
-    return drain(monitors.rate_limit_stream(i.stream("hits"), 3, 3600), "limits")
+    hits = i.stream("hits").select("key", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return drain_closed(lambda ticks: monitors.rate_limit_stream(hits.unionByName(ticks), 3, 3600), "key string, ts timestamp, event_id bigint", "limits", i.spark)
 
 
 @query("request_result_join", f"""

@@ -1,8 +1,7 @@
 """Stream monitors: time-outs by built-in joins and sessions, job states and request limits by keyed state.
 
-Time-outs need no custom state. The last two do, because each decision depends on the accepted ones before it;
-their state has a fixed size per key. Rows of one key inside one micro-batch are ordered in memory, so the
-admission limit of the source (files or bytes per trigger) bounds what a task holds.
+Time-outs need no custom state. The last two do, because each decision depends on the accepted ones before it. Rows of a
+key wait for the watermark, so the delay bounds what a key holds, and event-time timers empty and remove its state.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from copytrail import constants as C
 from copytrail.streaming.limits import admit
@@ -49,52 +48,138 @@ def stale_monitor(events: DataFrame, minutes: int = C.STALE_MINUTES, delay: str
     return sessions.agg(F.max("at").alias("last_seen")).select("key", "last_seen", F.col("s.end").alias("stale_at"))
 
 
-def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+class InEventOrder(StatefulProcessor):
+    """Rows of a key wait in a list until the watermark has passed them, and are then handled in ``order``.
 
+    So neither the cut into micro-batches nor the order inside them (up to the watermark's delay) changes a result. One
+    event-time timer per key stands at its earliest waiting row. ``handle`` gets the settled rows and the key's kept value
+    and returns output rows, the value to keep and the time (microseconds) from which it is of no use; then it is removed.
+    """
 
-def _follow(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    waiting_type: str
+    kept_type: str
+    names: tuple[str, ...]
+
+    def handle(self, key: tuple, rows: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None, int]:
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.timers = handle
+        self.waiting = handle.getListState("waiting", self.waiting_type)
+        self.kept = handle.getValueState("kept", self.kept_type + ", useless_at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in self.waiting_type.split(", ")]
+        new = [row for part in rows for row in zip(*(part[c].tolist() for c in columns), strict=True)]
+        self.waiting.appendList(new)
+        self._wake(min(row[0] for row in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()]
+        ready, rest = sorted(r for r in rows if r[0] <= mark), [r for r in rows if r[0] > mark]
+        held = self.kept.get()
+        kept = None if held is None else tuple(held)
+        out = []
+        if ready:
+            out, value, useless_at = self.handle(key, ready, kept and kept[:-1])
+            kept = None if value is None else (*value, useless_at)
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        if kept is not None and (kept[-1] > mark or rest):
+            if ready:
+                self.kept.update(kept)
+            self._wake(kept[-1])
+        elif held is not None:
+            self.kept.clear()
+        if rest:
+            self._wake(min(r[0] for r in rest))
+        if out:
+            yield pd.DataFrame(out, columns=list(self.names))
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, micros: int) -> None:
+        self.timers.registerTimer(micros // 1000 + 1)
+
+
+class JobStates(InEventOrder):
     """Declared edges move the state, anything else is reported and leaves it alone."""
-    status = state.get[0] if state.exists else None
-    out = []
-    changes = sorted(row for part in rows for row in zip(*(part[c].to_numpy() for c in ("changed_at", "change_id", "target", "attempt"))))
-    for _, change_id, target, attempt in changes:
+
+    waiting_type = "micros bigint, change_id bigint, target string, attempt int"
+    kept_type = "status string"
+    names = ("job_id", "change_id", "status", "target", "error_code")
+
+    def __init__(self, idle_seconds: int):
+        self.idle = idle_seconds * 1_000_000
+
+    def handle(self, key: tuple, rows: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None, int]:
+        status, out = kept[0] if kept else None, []
+        for _, change_id, target, attempt in rows:
+            code = self.error(status, target, attempt)
+            out.append((key[0], change_id, status, target, code))
+            status = target if code is None else status
+        return out, None if status is None else (status,), rows[-1][0] + self.idle
+
+    @staticmethod
+    def error(status: str | None, target: str, attempt: int) -> str | None:
         if status is None:
-            code = None if target == "created" else "JOB_TRANSITION"
-        elif not 0 <= attempt <= C.MAX_ATTEMPT:
-            code = "JOB_ATTEMPT"
-        elif target not in C.JOB_EDGES[status]:
-            code = "JOB_TRANSITION"
-        else:
-            code = "JOB_ATTEMPT" if (status, target) == ("retryable_failed", "queued") and attempt >= C.MAX_ATTEMPT else None
-        out.append((key[0], change_id, status, target, code))
-        if code is None:
-            status = target
-    if status is not None:
-        state.update((status,))
-    yield pd.DataFrame(dict(zip(("job_id", "change_id", "status", "target", "error_code"), zip(*out))))
-
-
-def job_states(changes: DataFrame) -> DataFrame:
-    """Accepted and rejected changes of (job_id, changed_at, change_id, target, attempt), in key order."""
-    return changes.groupBy("job_id").applyInPandasWithState(
-        _follow, "job_id bigint, change_id bigint, status string, target string, error_code string", "status string", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def rate_limit_stream(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Admit or deny each request of (key, ts, event_id); only allowed requests count against the limit.
+            return None if target == "created" else "JOB_TRANSITION"
+        if not 0 <= attempt <= C.MAX_ATTEMPT:
+            return "JOB_ATTEMPT"
+        if target not in C.JOB_EDGES[status]:
+            return "JOB_TRANSITION"
+        return "JOB_ATTEMPT" if (status, target) == ("retryable_failed", "queued") and attempt >= C.MAX_ATTEMPT else None
+
+
+class RequestLimits(InEventOrder):
+    """The kept value is the times of the allowed requests inside the window, at most ``limit`` of them."""
+
+    waiting_type = "micros bigint, event_id bigint"
+    kept_type = "recent array<bigint>"
+    names = ("key", "event_id", "allowed")
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.window = limit, seconds * 1_000_000
 
-    The state of a key is the times of its allowed requests inside the window, at most ``limit`` of them.
+    def handle(self, key: tuple, rows: list[tuple], kept: tuple | None) -> tuple[list[tuple], tuple | None, int]:
+        allowed, recent = admit((r[0] for r in rows), kept[0] if kept else (), self.limit, self.window)
+        out = [(key[0], r[1], a) for r, a in zip(rows, allowed, strict=True)]
+        return out, (recent,) if recent else None, (recent[-1] if recent else rows[-1][0]) + self.window
+
+
+def _real(rows: DataFrame, time: str, row_id: str) -> DataFrame:
+    """Rows with an id. The condition names the time, or it would be moved before the watermark, which then missed the others."""
+    return rows.filter(F.when(F.col(time).isNotNull(), F.col(row_id).isNotNull()))
+
+
+def in_event_order(rows: DataFrame, key: str, processor: InEventOrder, output: str) -> DataFrame:
+    """The processor over a watermarked stream of (key, micros, ...)."""
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
+
+
+def job_states(changes: DataFrame, delay: str = "0 seconds", idle_seconds: int = 30 * 86400) -> DataFrame:
+    """Accepted and rejected changes of (job_id, changed_at, change_id, target, attempt), in the order of their times.
+
+    A change is answered once the watermark has passed it, whatever batch brought it. A job without a change for
+    ``idle_seconds`` of event time is forgotten. Rows without a change_id only move the watermark.
     """
-    window = seconds * 1_000_000
+    marked = _real(changes.withWatermark("changed_at", delay), "changed_at", "change_id")
+    rows = marked.select("job_id", F.unix_micros("changed_at").alias("micros"), "change_id", "target", F.col("attempt").cast("int").alias("attempt"))
+    return in_event_order(rows, "job_id", JobStates(idle_seconds), "job_id bigint, change_id bigint, status string, target string, error_code string")
 
-    def decide(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ordered = _ordered(rows, ["micros", "event_id"])
-        allowed, kept = admit(ordered["micros"], state.get[0] if state.exists else (), limit, window)
-        state.update(([int(t) for t in kept],))
-        yield pd.DataFrame({"key": key[0], "event_id": ordered["event_id"], "allowed": allowed})
 
-    rows = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return rows.groupBy("key").applyInPandasWithState(
-        decide, "key string, event_id bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+def rate_limit_stream(requests: DataFrame, limit: int, seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """Admit or deny each request of (key, ts, event_id); only allowed requests count against the limit.
+
+    A request is answered once the watermark has passed it, whatever batch brought it; of equal times the lower event_id is
+    first. A key is forgotten when its last allowed request has left the window. Rows without an event_id only move the
+    watermark.
+    """
+    marked = _real(requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay), "ts", "event_id")
+    rows = marked.select("key", F.unix_micros("ts").alias("micros"), "event_id")
+    return in_event_order(rows, "key", RequestLimits(limit, seconds), "key string, event_id bigint, allowed boolean")

@@ -9,7 +9,7 @@ from copytrail.session import materialize, shared_root
 from copytrail.sources import readers, sinks
 from copytrail.streaming import monitors
 from copytrail.streaming import requests as R
-from copytrail.streaming.runner import drain, start_batches
+from copytrail.streaming.runner import drain, drain_closed, start_batches
 
 
 def batches(spark, tmp_path, parts, schema):
@@ -24,17 +24,51 @@ def at(minute):
     return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
 
 
+REQUESTS = "key string, ts timestamp, event_id bigint"
+CHANGES = "job_id bigint, changed_at timestamp, change_id bigint, target string, attempt int"
+
+
+def limited(spark, stream, limit=2, delay="0 seconds"):
+    out = drain_closed(lambda ticks: monitors.rate_limit_stream(stream.unionByName(ticks), limit, 3600, delay), REQUESTS, "t", spark)
+    return {r.event_id: r.allowed for r in out.collect()}
+
+
+def followed(spark, stream, delay="0 seconds"):
+    out = drain_closed(lambda ticks: monitors.job_states(stream.unionByName(ticks), delay), CHANGES, "t", spark)
+    return {r.change_id: r.error_code for r in out.collect()}
+
+
 def test_rate_limit_keeps_state_between_batches(spark, tmp_path):
-    stream = batches(spark, tmp_path, [[("k", at(0), 1), ("k", at(1), 2)], [("k", at(2), 3), ("k", at(70), 4)]], "key string, ts timestamp, event_id bigint")
-    found = {r.event_id: r.allowed for r in drain(monitors.rate_limit_stream(stream, 2, 3600), "t").collect()}
-    assert found == {1: True, 2: True, 3: False, 4: True}
+    stream = batches(spark, tmp_path, [[("k", at(0), 1), ("k", at(1), 2)], [("k", at(2), 3), ("k", at(70), 4)]], REQUESTS)
+    assert limited(spark, stream) == {1: True, 2: True, 3: False, 4: True}
 
 
 def test_job_states_keep_the_state_on_rejects(spark, tmp_path):
-    schema = "job_id bigint, changed_at timestamp, change_id bigint, target string, attempt int"
-    stream = batches(spark, tmp_path, [[(1, at(0), 1, "created", 0), (1, at(1), 2, "succeeded", 0)], [(1, at(2), 3, "queued", 0), (1, at(3), 4, "processing", 3)]], schema)
-    found = {r.change_id: r.error_code for r in drain(monitors.job_states(stream), "t").collect()}
-    assert found == {1: None, 2: "JOB_TRANSITION", 3: None, 4: "JOB_ATTEMPT"}
+    stream = batches(spark, tmp_path, [[(1, at(0), 1, "created", 0), (1, at(1), 2, "succeeded", 0)], [(1, at(2), 3, "queued", 0), (1, at(3), 4, "processing", 3)]], CHANGES)
+    assert followed(spark, stream) == {1: None, 2: "JOB_TRANSITION", 3: None, 4: "JOB_ATTEMPT"}
+
+
+def test_no_split_into_batches_changes_a_decision(spark, tmp_path):
+    """Rows in one batch, and in reversed and mixed files, one a batch."""
+    requests = [(k, at(5 * m), 100 * (k == "b") + m) for k in "ab" for m in range(12)]
+    states = ["created", "queued", "succeeded", "processing", "retryable_failed", "queued", "processing", "succeeded"]
+    changes = [(j, at(3 * m), 100 * j + m, target, 0) for j in (1, 2) for m, target in enumerate(states)]
+    one = limited(spark, batches(spark, tmp_path / "a", [requests], REQUESTS))
+    assert sum(one.values()) < len(one) == 24
+    assert limited(spark, batches(spark, tmp_path / "b", [requests[12:], requests[:12]][::-1], REQUESTS), delay="2 hours") == one
+    assert limited(spark, batches(spark, tmp_path / "c", [requests[::-1][k::3] for k in range(3)], REQUESTS), delay="2 hours") == one
+    whole = followed(spark, batches(spark, tmp_path / "d", [changes], CHANGES))
+    assert [whole[100 + m] for m in range(8)] == [None, None, "JOB_TRANSITION", None, None, None, None, None]
+    assert followed(spark, batches(spark, tmp_path / "e", [changes[::-1][k::2] for k in range(2)], CHANGES), delay="1 hour") == whole
+
+
+def test_state_is_removed_behind_the_windows(spark, tmp_path):
+    rows = [(k, at(m), 10 * i + m) for i, k in enumerate("abc") for m in range(3)]
+    stream = batches(spark, tmp_path, [rows, [("z", at(1000), 99)], [("z", at(3000), 98)]], REQUESTS)
+    query = monitors.rate_limit_stream(stream, 2, 3600).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert held[0] > 0 and held[-1] <= 2  # the last request waits for the watermark, with its timer
 
 
 def test_deadline_boundary(spark, tmp_path):
