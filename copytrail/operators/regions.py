@@ -8,38 +8,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from copytrail.functions.geometry import crop_geometry
+from copytrail.session import materialize
 from copytrail.skew import lookup_join, rank_in_key
 
 
-def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
-    """Intersection over union of two rectangle unions per case; both empty is 1, one empty is 0.
+#: Rectangles up to which a tile is swept; a fuller one is cut again, into four times four.
+TILE_MOST = 48
+#: Tiles of this side are swept whatever they hold: edges closer than that cannot be told apart by cutting.
+FINEST = 1 << 30
+TILE = ["case_id", "t", "i", "j"]
+
+
+def _clipped(boxes: DataFrame) -> DataFrame:
+    """Boxes (case_id, side, t, x0, x1, y0, y1) cut along the grid of ``t`` by ``t`` tiles, without those that add nothing.
 
-    The unit square of a case is cut into tiles, the more the more rectangles it has. Rectangles are clipped
-    to tiles and deduplicated, so a huge case is spread over thousands of tiles. Where one rectangle covers a tile
-    wholly, the others of its side add nothing there and leave before anything is paired. Inside a tile, vertical slabs between neighbouring edges are
-    measured by merging their intervals in order.
+    Equal pieces count once, and where one covers its tile wholly the others of its side leave. ``n`` counts a tile's pieces.
     """
-    right, bottom = F.col("x") + F.col("width"), F.col("y") + F.col("height")
+    step = F.lit(1.0) / F.col("t")
+
+    def span(low: str, high: str) -> Column:
+        first = F.floor(F.col(low) * F.col("t"))
+        return F.sequence(first, F.greatest(first, F.ceil(F.col(high) * F.col("t")) - 1))
+
+    pieces = boxes.select("*", F.explode(span("x0", "x1")).alias("i")).select("*", F.explode(span("y0", "y1")).alias("j")).select(
+        *TILE, "side", F.greatest("x0", F.col("i") * step).alias("x0"), F.least("x1", (F.col("i") + 1) * step).alias("x1"),
+        F.greatest("y0", F.col("j") * step).alias("y0"), F.least("y1", (F.col("j") + 1) * step).alias("y1")).distinct()
+    whole = (F.col("x0") == F.col("i") * step) & (F.col("x1") == (F.col("i") + 1) * step) & (F.col("y0") == F.col("j") * step) & (F.col("y1") == (F.col("j") + 1) * step)
+    covered = F.max(F.col("_whole")).over(Window.partitionBy(*TILE, "side"))
+    open_pieces = pieces.withColumn("_whole", whole).repartition(*TILE).withColumn("_covered", covered).filter("_whole OR NOT _covered")
+    return open_pieces.drop("_whole", "_covered").withColumn("n", F.count("*").over(Window.partitionBy(*TILE)))
 
-    def span(low: Column, high: Column) -> Column:
-        first = F.floor(low * F.col("_t"))
-        return F.sequence(first.cast("int"), F.greatest(first, F.ceil(high * F.col("_t")) - 1).cast("int"))
 
+def _leaf_tiles(boxes: DataFrame) -> DataFrame:
+    """The pieces of a quadtree's leaves. Only tiles that are still too full go on to the next level."""
+    leaves = None
+    while True:
+        level = materialize(_clipped(boxes), "tiles")
+        crowded = (F.col("n") > TILE_MOST) & (F.col("t") < FINEST)
+        done = level.filter(~crowded)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if level.filter(crowded).isEmpty():
+            return leaves.drop("n")
+        boxes = level.filter(crowded).select("case_id", "side", (F.col("t") * 4).alias("t"), "x0", "x1", "y0", "y1")
+
+
+def union_iou(rects: DataFrame, cases: DataFrame) -> DataFrame:
+    """Intersection over union of two rectangle unions per case; both empty is 1, one empty is 0.
+
+    The unit square of a case is cut into the leaves of a quadtree: into tiles, the more the more rectangles it has, and
+    tiles that are still crowded into smaller ones, so neither a huge case nor a crowded corner is one task's. Where one
+    rectangle covers a tile wholly, the others of its side add nothing there and leave before anything is paired. Inside a leaf,
+    vertical slabs between neighbouring edges are measured by merging their intervals in order.
+    """
     counts = rects.groupBy("case_id").agg(F.count("*").alias("_n"))
     tiles = F.when(F.col("_n") <= 16, 1).when(F.col("_n") <= 256, 4).when(F.col("_n") <= 4096, 16).when(F.col("_n") <= 65536, 64).otherwise(256)
-    sized = lookup_join(rects.select("case_id", "side", "x", "y", "width", "height"), counts, ["case_id"], "inner", spread=["x", "y", "width", "height"]).withColumn("_t", tiles)
-    step = F.lit(1.0) / F.col("_t")
-    boxes = sized.select("case_id", "side", "_t", F.col("x").alias("x0"), right.alias("x1"), F.col("y").alias("y0"), bottom.alias("y1"),
-                         F.explode(span(F.col("x"), right)).alias("i")).select(
-        "*", F.explode(span(F.col("y0"), F.col("y1"))).alias("j")).select(
-        "case_id", "side", "_t", "i", "j", F.greatest("x0", F.col("i") * step).alias("x0"), F.least("x1", (F.col("i") + 1) * step).alias("x1"),
-        F.greatest("y0", F.col("j") * step).alias("y0"), F.least("y1", (F.col("j") + 1) * step).alias("y1")).distinct()
+    sized = lookup_join(rects.select("case_id", "side", "x", "y", "width", "height"), counts, ["case_id"], "inner", spread=["x", "y", "width", "height"])
+    boxes = _leaf_tiles(sized.select("case_id", "side", tiles.cast("long").alias("t"), F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"),
+                                     F.col("y").alias("y0"), (F.col("y") + F.col("height")).alias("y1")))
     # Distributed by tile once: the cuts, the slabs, their join and the interval merge below all keep that layout.
-    tile = ["case_id", "i", "j"]
-    whole = (F.col("x0") == F.col("i") * step) & (F.col("x1") == (F.col("i") + 1) * step) & (F.col("y0") == F.col("j") * step) & (F.col("y1") == (F.col("j") + 1) * step)
-    covered = F.max(F.col("_whole")).over(Window.partitionBy(*tile, "side"))
-    boxes = boxes.withColumn("_whole", whole).repartition(*tile).withColumn("_covered", covered).filter("_whole OR NOT _covered")
-    boxes = boxes.drop("_whole", "_covered", "_t")
+    tile = TILE
+    boxes = boxes.repartition(*tile)
     cuts = boxes.select(*tile, F.explode(F.array("x0", "x1")).alias("s0")).distinct()
     slabs = cuts.withColumn("s1", F.lead("s0").over(Window.partitionBy(*tile).orderBy("s0"))).filter(F.col("s1").isNotNull())
     inside = slabs.join(boxes, tile).filter((F.col("x0") <= F.col("s0")) & (F.col("x1") >= F.col("s1")))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from copytrail import skew
+from copytrail.operators import regions
 from copytrail.operators.regions import partner_ring, union_iou
 from copytrail.streaming.limits import rate_limit
 
@@ -88,6 +89,24 @@ def test_union_iou_against_a_grid(spark):
     assert found == pytest.approx(truth, abs=1e-9)
 
 
+def test_a_crowded_corner_is_cut_on(spark, monkeypatch):
+    """Thin rectangles in a 256th of the square, on a grid of 4096 of them a side: the leaves stay small, the areas exact."""
+    monkeypatch.setattr(regions, "TILE_MOST", 12)
+    rng, unit = random.Random(5), 1 / (16 * 4096)
+    data, cells = [], {"expected": set(), "predicted": set()}
+    for k in range(1500):
+        side, x, y = ("expected", "predicted")[k % 2], rng.randrange(4000), rng.randrange(4000)
+        w, h = rng.choice([(1, 40), (30, 1), (3, 3), (90, 2)])
+        data.append(("c", side, x * unit, y * unit, w * unit, h * unit))
+        cells[side] |= {(a, b) for a in range(x, x + w) for b in range(y, y + h)}
+    rects = spark.createDataFrame(data, "case_id string, side string, x double, y double, width double, height double")
+    truth = len(cells["expected"] & cells["predicted"]) / len(cells["expected"] | cells["predicted"])
+    assert union_iou(rects, rects).first().iou == pytest.approx(truth, abs=1e-9)
+    boxes = rects.selectExpr("case_id", "side", "1L AS t", "x AS x0", "x + width AS x1", "y AS y0", "y + height AS y1")
+    leaves = regions._leaf_tiles(boxes).groupBy(*regions.TILE).count()
+    assert leaves.agg({"count": "max"}).first()[0] <= 12 and leaves.select("t").distinct().count() >= 2
+
+
 def test_partner_ring_is_a_bijection_per_shift(spark):
     regions = spark.createDataFrame([("p", n) for n in range(50)] + [("q", n) for n in range(3)], "page_id string, region_index int")
     rows = partner_ring(regions, "key").collect()
