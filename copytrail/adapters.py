@@ -389,7 +389,7 @@ VIEWS: dict[str, str] = {
             '","input_sha256":"', CASE WHEN o_custkey % 7 = 0 THEN upper(SHA256(CAST(o_orderkey AS STRING)))
                                        ELSE SHA256(CAST(o_orderkey AS STRING)) END,
             '","deadline_at":"', replace(CAST(o_orderdate AS STRING), ' ', 'T'), CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'Z' END,
-            '","correlation_id":"', UUID_C, '"', CASE WHEN o_custkey % 31 = 0 THEN ',"extra":1' ELSE '' END, '}') END AS body,
+            '","correlation_id":"', UUID_C, '"', CASE WHEN o_custkey % 31 = 0 THEN ',"extra":1' WHEN o_custkey % 37 = 0 THEN ',"attempt":1' ELSE '' END, '}') END AS body,
           CAST(o_orderdate AS TIMESTAMP) AS received_at
         FROM {orders}""",
     "sources": """

@@ -205,7 +205,8 @@ MESSAGE_ERRORS = f"""
     checked AS (SELECT job_key, body, json_valid(body) AS ok, body ->> '$.message_type' AS mt, body ->> '$.issuance_id' AS iid, body ->> '$.verification_id' AS vid,
         body ->> '$.input_object_key' AS k FROM (SELECT job_key, CASE WHEN json_valid(body) THEN body ELSE '{{}}' END AS body FROM messages)),
     bad AS (SELECT job_key FROM messages WHERE NOT json_valid(body)),
-    errs AS (SELECT job_key, CASE WHEN job_key IN (SELECT job_key FROM bad) THEN 'malformed' ELSE concat_ws(',',
+    errs AS (SELECT job_key, CASE WHEN job_key IN (SELECT job_key FROM bad) THEN 'malformed'
+      WHEN contains(body, '","attempt":1}}') THEN 'repeated_member' ELSE concat_ws(',',
       CASE WHEN body ->> '$.schema_version' <> '1' THEN 'schema_version' END,
       CASE WHEN NOT regexp_full_match(body ->> '$.message_id', '{UUID_RE}') THEN 'message_id' END,
       CASE WHEN CAST(body ->> '$.attempt' AS INT) > 2 THEN 'attempt' END,

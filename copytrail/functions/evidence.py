@@ -181,7 +181,9 @@ def _message_rules(keys: Column, m: Column) -> Column:
         ("fields", F.size(F.array_except(keys, F.array(*[F.lit(f) for f in MESSAGE_FIELDS]))) > 0),
         ("missing", F.size(F.array_except(F.array(*[F.lit(f) for f in MESSAGE_FIELDS]), keys)) > 0),
     ]
-    return F.when(whole, codes(*rules)).otherwise(F.array(F.lit("malformed")))
+    # Which of two values of a member counts is the reader's whim, so such a message is refused whole.
+    repeated = whole & (F.size(F.array_distinct(keys)) < F.size(keys))
+    return F.when(repeated, F.array(F.lit("repeated_member"))).when(whole, codes(*rules)).otherwise(F.array(F.lit("malformed")))
 
 
 def verdict_view(status: Column, exact: Column, signature: Column) -> Column:
