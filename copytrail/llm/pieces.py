@@ -17,8 +17,8 @@ from copytrail.llm.common import WordMemory, in_steps, tidied
 
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
-#: Distinct words remembered by one task, some 60 MB; newer ones go when it is full, which changes no result.
-REMEMBERED = 150_000
+#: Distinct words remembered by one task, some 110 MB; newer ones go when it is full, which changes no result.
+REMEMBERED = 300_000
 #: A word ends where a marked space follows another character; no piece of the vocabulary reaches over such a place.
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
