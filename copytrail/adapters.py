@@ -150,6 +150,42 @@ VIEWS: dict[str, str] = {
                     WHEN (l_linenumber + l_suppkey % 7) % 4 < 2 THEN 'fewer_than_two_complete_embedded_tiles_remain'
                     ELSE 'at_least_two_complete_embedded_tiles_remain' END AS eligibility_reason
         FROM {lineitem}""",
+    # Closed-form geometry of a chain, which the evidence queries fold again from its steps.
+    "evidence_plan": """
+        SELECT plan_id, chain, page_height, page_width, has_truth, x, y, canvas_scale, canvas_shift, kept_w, kept_h, x0, y0,
+               CASE WHEN chain IN (1, 3) THEN 0.8e0 ELSE 1.0e0 END * CASE WHEN chain >= 2 THEN page_width / kept_w ELSE 1.0e0 END AS sx,
+               CASE WHEN chain >= 2 THEN (CASE WHEN chain = 3 THEN 0.1e0 ELSE 0.0e0 END - x0 / page_width) * page_width / kept_w WHEN chain = 1 THEN 0.1e0 ELSE 0.0e0 END AS ox,
+               CASE WHEN chain >= 2 THEN page_height / kept_h ELSE 1.0e0 END AS sy, CASE WHEN chain >= 2 THEN (0 - y0) / kept_h ELSE 0.0e0 END AS oy,
+               CASE WHEN chain >= 2 THEN 1 - kept_w * kept_h / (page_width * page_height) ELSE 0.0e0 END AS removed
+        FROM (SELECT *, FLOOR((page_width - kept_w) / 2) * 1.0e0 AS x0, FLOOR((page_height - kept_h) / 2) * 1.0e0 AS y0
+              FROM (SELECT *, FLOOR(page_width * SQRT(0.75e0) + 0.5e0) * 1.0e0 AS kept_w, FLOOR(page_height * SQRT(0.75e0) + 0.5e0) * 1.0e0 AS kept_h
+                    FROM (SELECT o_orderkey AS plan_id, CAST(o_custkey % 4 AS INT) AS chain, 300.0e0 + o_orderkey % 7 * 10 AS page_height,
+                                 200.0e0 + o_custkey % 9 * 10 AS page_width, o_orderkey % 11 <> 0 AS has_truth, (o_orderkey % 8) / 10.0e0 AS x, (o_custkey % 8) / 10.0e0 AS y,
+                                 CASE WHEN o_orderkey % 3 = 0 THEN 0.9e0 ELSE 1.0e0 END AS canvas_scale, CASE WHEN o_orderkey % 3 = 0 THEN 0.05e0 ELSE 0.0e0 END AS canvas_shift
+                          FROM {orders} WHERE o_orderkey % 13 <> 0) p) q) r""",
+    "evidence_rows": """
+        SELECT row_id, plan_id, chain, artifact_absent, CASE WHEN ran THEN CASE WHEN part % 29 = 0 THEN sx + 0.001e0 ELSE sx END END AS sx,
+               ox, sy, oy, CASE WHEN part % 31 = 0 THEN l + 0.01e0 ELSE l END AS l, t, r, b, has_truth AND r > l AND b > t AS seen,
+               (0.4e0 - x0 / page_width) * page_width / kept_w AS tl, (0.4e0 - y0 / page_height) * page_height / kept_h AS tt,
+               0.2e0 * page_width / kept_w AS tw, 0.1e0 * page_height / kept_h AS th, ran AND chain = 3 AND part % 43 <> 0 AS marked,
+               CASE WHEN part % 37 = 0 THEN removed - 0.01e0 WHEN part % 41 = 0 THEN NULL WHEN ran OR chain = 2 THEN removed END AS removed
+        FROM (SELECT *, GREATEST(0.0e0, CASE WHEN ran THEN sx * (x * canvas_scale + canvas_shift) + ox ELSE x * canvas_scale + canvas_shift END) AS l,
+                     GREATEST(0.0e0, CASE WHEN ran THEN sy * y + oy ELSE y END) AS t,
+                     LEAST(1.0e0, CASE WHEN ran THEN sx * ((x + 0.2e0) * canvas_scale + canvas_shift) + ox ELSE (x + 0.2e0) * canvas_scale + canvas_shift END) AS r,
+                     LEAST(1.0e0, CASE WHEN ran THEN sy * (y + 0.15e0) + oy ELSE y + 0.15e0 END) AS b
+              FROM (SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING)) AS row_id, l_partkey AS part,
+                           CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE l_suppkey % 5 = 0 END AS artifact_absent, l_suppkey % 5 <> 0 AS ran, l_orderkey
+                    FROM {lineitem}) a
+              LEFT JOIN (EVIDENCE_PLAN) p ON p.plan_id = a.l_orderkey) e""",
+    "result_lines": """
+        SELECT concat('{"row_id":', CASE WHEN l_partkey % 23 = 0 THEN CAST(l_orderkey AS STRING) ELSE concat('"', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '"') END,
+               ',"page_index":', CAST(l_linenumber - 1 AS STRING), CASE WHEN l_partkey % 29 = 0 THEN '.5' ELSE '' END,
+               CASE WHEN l_partkey % 31 = 0 THEN '' ELSE concat(',"eligible":', CASE WHEN l_partkey % 37 = 0 THEN '1' WHEN l_tax > 0.05 THEN 'true' ELSE 'false' END) END,
+               ',"decoded_id":', CASE WHEN l_discount > 0.05 THEN 'null' ELSE '"i"' END, ',"ssim":', CASE WHEN l_partkey % 3 = 0 THEN '1' ELSE '0.97' END,
+               ',"tamper_ground_truth":', CASE WHEN l_linenumber = 1 THEN '[]' ELSE concat('[{"x":0.25,"y":0,', CASE WHEN l_partkey % 41 = 0 THEN '"z":1,' WHEN l_partkey % 43 = 0 THEN '"x":0.5,' ELSE '' END,
+                 '"width":0.5,"height":0.5}]') END, CASE WHEN l_partkey % 47 = 0 THEN ',"extra":[]' WHEN l_partkey % 53 = 0 THEN ',"page_index":1' ELSE '' END,
+               CASE WHEN l_partkey % 59 = 0 THEN '' ELSE '}' END) AS value
+        FROM {lineitem}""",
     "result_rows": """
         SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING))
                  AS row_id,
@@ -513,6 +549,7 @@ VIEWS: dict[str, str] = {
         SELECT l.vec_id AS pair_id, l.embedding AS a, r.embedding AS b
         FROM {embeddings} l JOIN {embeddings} r ON r.vec_id = l.vec_id + 1""",
 }
+VIEWS["evidence_rows"] = VIEWS["evidence_rows"].replace("EVIDENCE_PLAN", VIEWS["evidence_plan"])
 VIEWS["outbox_events"] = VIEWS["outbox_events"].replace("MESSAGES", VIEWS["messages"])
 # The five ids of an order are digests; they are taken once per row and cut into id text above that.
 _KEYED = "(SELECT *, " + ", ".join(f"md5(concat('{m}', CAST(o_orderkey AS STRING))) AS hash_{m.lower()}" for m in "MJIVC") + (

@@ -69,7 +69,7 @@ def query(name: str, oracle: str | None = None):
 def load() -> None:
     import importlib
 
-    for module in ("tracing", "scoring", "voting", "lifecycle", "access", "rules", "regions", "planning", "streams", "files"):
+    for module in ("tracing", "scoring", "voting", "lifecycle", "access", "rules", "regions", "planning", "streams", "files", "reconstruction"):
         try:
             importlib.import_module(f"copytrail.catalog.{module}")
         except ModuleNotFoundError as error:

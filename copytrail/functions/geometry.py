@@ -129,3 +129,39 @@ def erasure_ladder(claim: Column, ranking: Column, budget: int = 16) -> Column:
         counts.append(counts[-1] // 2)
     steps = [F.when(F.size(ranking) >= n, F.array_sort(F.slice(ranking, 1, n))) for n in counts]
     return F.array_distinct(F.filter(F.array(claim, *steps), lambda s: s.isNotNull()))
+
+
+RECTS = "array<struct<x:double,y:double,width:double,height:double>>"
+
+
+def operation(matrix: Column, removed: Column | None = None, regions: Column | None = None) -> Column:
+    """One step of a chain: the homography it applies, the share of the area it removes, the regions it changes."""
+    return F.struct(matrix.cast("array<double>").alias("matrix"), (F.lit(0.0) if removed is None else removed.cast("double")).alias("removed"),
+                    (F.array() if regions is None else regions).cast(RECTS).alias("regions"))
+
+
+def crop_operation(fraction: Column, height: Column, width: Column) -> Column:
+    """The centred crop as a step: what it keeps becomes the unit square."""
+    def built(c: Column) -> Column:
+        kept, zero, one = c["retained"], F.lit(0.0), F.lit(1.0)
+        matrix = F.array(one / kept["width"], zero, -kept["x"] / kept["width"], zero, one / kept["height"], -kept["y"] / kept["height"], zero, zero, one)
+        return operation(matrix, c["removed_fraction"])
+
+    return let(crop_geometry(fraction, height, width), built)
+
+
+def fold_operations(operations: Column) -> Column:
+    """(matrix, regions, removed, error) of steps in their order; no step is the identity.
+
+    Regions that a step changes move through all later steps; areas that steps remove multiply.
+    """
+    start = F.struct(F.array(*[F.lit(v) for v in IDENTITY]).alias("matrix"), F.array().cast(RECTS).alias("regions"), F.lit(0.0).alias("removed"),
+                     F.lit(None).cast("string").alias("error"))
+
+    def step(so_far: Column, op: Column) -> Column:
+        return let(transform_regions(so_far["regions"], op["matrix"]), lambda moved: F.struct(
+            compose_transforms(op["matrix"], so_far["matrix"]).alias("matrix"), merge_regions(moved["regions"], op["regions"]).alias("regions"),
+            (F.lit(1.0) - (F.lit(1.0) - so_far["removed"]) * (F.lit(1.0) - op["removed"])).alias("removed"),
+            F.coalesce(so_far["error"], moved["error"]).alias("error")))
+
+    return F.aggregate(operations, start, step)
