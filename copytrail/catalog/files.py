@@ -28,6 +28,38 @@ def _(i):
                        F.round("elapsed_ms", 6).alias("elapsed_ms"), F.get("limitations", F.lit(0)).alias("limitation"))
 
 
+LINE = T.StructType([T.StructField(n, k) for n, k in (
+    ("row_id", T.StringType()), ("page_index", T.IntegerType()), ("eligible", T.BooleanType()), ("decoded_id", T.StringType()), ("ssim", T.DoubleType()),
+    ("tamper_ground_truth", T.ArrayType(readers.RECT)))])
+#: Broken rules of the lines by what JSON functions of the checking database see in them.
+BROKEN = """
+    WITH k AS (SELECT value, json_valid(value) AS valid, CASE WHEN json_valid(value) THEN CAST(value AS JSON) END AS j FROM result_lines),
+    m AS (SELECT *, json_keys(j) AS names, json_keys(j, '$.tamper_ground_truth[0]') AS inner_names, json_type(j, '$.row_id') AS t1, json_type(j, '$.page_index') AS t2,
+            json_type(j, '$.eligible') AS t3 FROM k),
+    e AS (SELECT value, j, CASE WHEN NOT valid THEN 'malformed'
+        WHEN len(list_distinct(names)) < len(names) OR len(list_distinct(inner_names)) < len(inner_names) THEN 'repeated_member'
+        ELSE concat_ws(',', CASE WHEN t3 IS NULL THEN 'missing:eligible' END, CASE WHEN t1 <> 'VARCHAR' THEN 'type:row_id' END, CASE WHEN t2 = 'DOUBLE' THEN 'type:page_index' END,
+          CASE WHEN t3 <> 'BOOLEAN' THEN 'type:eligible' END, CASE WHEN len(inner_names) > 4 THEN 'type:tamper_ground_truth' END,
+          CASE WHEN list_contains(names, 'extra') THEN 'unknown:extra' END) END AS errors FROM m)"""
+
+
+@query("strict_rejects", BROKEN + " SELECT value, errors FROM e WHERE errors <> ''")
+def _(i):
+    path = scratch_path(i.spark, "lines")
+    i.result_lines.write.text(path)
+    return readers.read_strict(i.spark, path, LINE)[1].select("value", F.array_join("errors", ",").alias("errors"))
+
+
+@query("strict_results", BROKEN + """
+    SELECT j->>'$.row_id' AS row_id, CAST(j->>'$.page_index' AS INT) AS page_index, CAST(j->>'$.eligible' AS BOOLEAN) AS eligible, j->>'$.decoded_id' AS decoded_id,
+      CAST(j->>'$.ssim' AS DOUBLE) AS ssim, json_array_length(j, '$.tamper_ground_truth') AS regions FROM e WHERE errors = ''""")
+def _(i):
+    path = scratch_path(i.spark, "lines")
+    i.result_lines.write.text(path)
+    rows = readers.read_strict(i.spark, path, LINE)[0]
+    return rows.withColumn("regions", F.size("tamper_ground_truth")).drop("tamper_ground_truth")
+
+
 @query("write_results", "SELECT row_id, concat('[\"', limitation, '\"]') AS limitations, reason, expected_id FROM result_rows")
 def _(i):
     path = scratch_path(i.spark, "results")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from copytrail.functions.text import codes
+
 _S, _D, _I, _L, _B = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType(), T.BooleanType()
 RECT = T.StructType([T.StructField(n, _D) for n in ("x", "y", "width", "height")])
 
@@ -24,7 +28,7 @@ RESULT_ROW = T.StructType([T.StructField(name, kind) for name, kind in (
 def read_results(spark: SparkSession, path: str, schema: T.StructType = RESULT_ROW) -> DataFrame:
     """Result rows of JSON lines; a line that does not fit the schema fails the job instead of vanishing.
 
-    Unknown members cannot be seen by a schema read, so callers that must refuse them use ``unknown_members``.
+    Unknown, missing and repeated members cannot be seen by a schema read; callers that must refuse them use ``read_strict``.
     """
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -36,6 +40,69 @@ def unknown_members(spark: SparkSession, path: str, schema: T.StructType = RESUL
     return spark.read.text(path).select(F.explode(extra).alias("member")).groupBy("member").agg(F.count("*").alias("lines"))
 
 
+#: How a variant names the kinds of JSON values.
+_NUMBER = r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)"
+_KINDS = {T.StringType: "STRING", T.BooleanType: "BOOLEAN", T.IntegerType: "BIGINT", T.LongType: "BIGINT", T.DoubleType: _NUMBER,
+          T.DecimalType: r"BIGINT|DECIMAL\(\d+,0\)"}
+#: Members of a result line that are text in the schema but may be something else in the file.
+RESULT_KINDS = {"attack_parameters": "STRING|OBJECT<.*>", "psnr_db": f"STRING|{_NUMBER}"}
+
+
+def _kind(kind: T.DataType) -> str:
+    """Pattern of the variant type a value of this Spark type has; members of an object are neither missing, unknown nor null."""
+    if isinstance(kind, T.StructType):
+        inner = ", ".join(f"{f.name}: ({_kind(f.dataType)})" for f in sorted(kind.fields, key=lambda f: f.name))
+        return f"OBJECT<{inner}>"
+    return _KINDS[type(kind)]
+
+
+def _has_kind(value: Column, kind: T.DataType, pattern: str | None) -> Column:
+    """Whether a variant is null or of the kind; elements of an array are looked at one by one, for together they hide what one lacks."""
+    named = F.schema_of_variant(value)
+    if isinstance(kind, T.ArrayType):
+        each = F.try_variant_get(value, "$", "array<variant>")
+        fits = F.forall(each, lambda e: F.coalesce(F.schema_of_variant(e).rlike(f"^({_kind(kind.elementType)})$"), F.lit(False)))
+        return (named == "VOID") | (named.startswith("ARRAY<") & F.coalesce(fits, F.lit(False)))
+    return named.rlike(f"^(VOID|{pattern or _kind(kind)})$")
+
+
+def parse_strict(lines: DataFrame, schema: T.StructType = RESULT_ROW, kinds: Mapping[str, str] | None = None, column: str = "value") -> DataFrame:
+    """``lines`` with ``errors`` and ``row``, the line's values (null where there are errors).
+
+    A line must be one JSON object that names no member twice, at any depth, and holds every member of the schema, no other,
+    each null or of its type: 1 is no boolean and 1.0 no integer. Codes: ``empty_line``, ``malformed``, ``not_object``,
+    ``repeated_member``, and after those ``missing:x``, ``type:x`` and ``unknown:x``. ``kinds`` replaces the pattern of some members.
+
+    Variants refuse repeated members while they are parsed, so types, members and repetition all come from one parse. The parser
+    overlooks what follows a value, so the line is parsed as the first of two elements, the other being its digest, which no line
+    can hold: if that comes second, the line was one value and nothing else.
+    """
+    patterns = RESULT_KINDS if kinds is None else kinds
+    names = [f.name for f in schema.fields]
+    digest = F.sha2(F.col(column), 256)
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit(',"'), digest, F.lit('"]')))
+    parsed = lines.select("*", F.explode(F.array(F.struct(whole.alias("v")))).alias("_p"))
+    first = F.try_variant_get("_p.v", "$[0]", "variant")
+    alone = F.coalesce(F.try_variant_get("_p.v", "$[1]", "string") == digest, F.lit(False))
+    readable = F.get_json_object(F.concat(F.lit('{"v":['), F.col(column), F.lit("]}")), "$.v").isNotNull()
+    own = {f.name: F.try_variant_get("_p.v", f"$[0].{f.name}", "variant") for f in schema.fields}
+    unknown = F.transform(F.array_sort(F.array_except(F.json_object_keys(column), F.array(*[F.lit(n) for n in names]))), lambda n: F.concat(F.lit("unknown:"), n))
+    members = F.concat(
+        codes(*[(f"missing:{n}", own[n].isNull()) for n in names]),
+        codes(*[(f"type:{f.name}", own[f.name].isNotNull() & ~_has_kind(own[f.name], f.dataType, patterns.get(f.name))) for f in schema.fields]), unknown)
+    errors = (F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) == "", F.array(F.lit("empty_line")))
+              .when(F.col("_p.v").isNull() & readable, F.array(F.lit("repeated_member"))).when(~alone, F.array(F.lit("malformed")))
+              .when(~F.schema_of_variant(first).startswith("OBJECT"), F.array(F.lit("not_object"))).otherwise(members))
+    judged = parsed.select(*[F.col(c) for c in lines.columns], F.explode(F.array(errors)).alias("errors"))
+    return judged.withColumn("row", F.when(F.size("errors") == 0, F.from_json(column, schema)))
+
+
+def read_strict(spark: SparkSession, path: str, schema: T.StructType = RESULT_ROW, kinds: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a file of JSON lines that keep all its rules, and a reject branch: the other lines with their broken rules and file."""
+    parsed = parse_strict(spark.read.text(path).withColumn("file", F.input_file_name()), schema, kinds)
+    return parsed.filter(F.size("errors") == 0).select("row.*"), parsed.filter(F.size("errors") > 0).select("file", "value", "errors")
+
+
 def union_shards(spark: SparkSession, pattern: str, schema: T.StructType = RESULT_ROW) -> DataFrame:
     """Rows of every shard file, each with the shard it came from."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(pattern)
