@@ -434,6 +434,14 @@ VIEWS: dict[str, str] = {
                          ELSE 'tamper_ground_truth' END AS kind,
                SHA256(text) AS sha256, CAST(1 + FLOOR(n_chars / 2000) AS INT) AS pages
         FROM {documents}""",
+    "corpus_entries": """
+        SELECT doc_id AS ordinal, concat('doc-', CAST(CASE WHEN doc_id % 97 = 0 AND doc_id > 0 THEN doc_id - 1 ELSE doc_id END AS STRING)) AS fixture_id,
+               CASE WHEN doc_id % 29 = 0 THEN 'odd' WHEN lang = 'en' THEN 'clean_pdf' WHEN lang = 'fr' THEN 'negative_external' WHEN lang = 'de' THEN 'clean_image'
+                    ELSE 'tamper_ground_truth' END AS kind,
+               concat(CASE WHEN doc_id % 31 = 0 THEN '../' WHEN doc_id % 37 = 0 THEN '/' ELSE 'set/' END, CAST(doc_id AS STRING)) AS relative_path,
+               CASE WHEN doc_id % 41 = 0 THEN md5(text) ELSE SHA256(text) END AS sha256, CAST(CASE WHEN doc_id % 43 = 0 THEN 0 ELSE 1 + FLOOR(n_chars / 2000) END AS INT) AS pages,
+               doc_id % 3 > 0 AND lang NOT IN ('fr', 'de') AS region, (doc_id % 8) / 8.0e0 AS x
+        FROM {documents}""",
     "small_sources": """
         SELECT item_id AS ordinal, concat('item-', CAST(item_id AS STRING)) AS fixture_id,
                CASE WHEN length(text) % 4 = 0 THEN 'negative_external' ELSE 'clean_image' END AS kind,

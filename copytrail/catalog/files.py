@@ -5,6 +5,8 @@ from pyspark.sql import types as T
 
 from copytrail.catalog import query
 from copytrail.catalog.lifecycle import ts, ts_sql
+from copytrail.functions import geometry as G
+from copytrail.plans import benchmark as B
 from copytrail.session import scratch_path
 from copytrail.sources import readers, sinks
 
@@ -97,3 +99,30 @@ def _(i):
     for batch in (early, early, events):
         sinks.append_once(batch, path, ["user_id", "event_type"], ["event_id"])
     return i.spark.read.parquet(path).select("user_id", "event_type", "event_id")
+
+
+@query("append_indexed", """
+    SELECT user_id, event_type, CASE WHEN min(CASE WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN event_id END) IS NULL THEN min(event_id)
+      ELSE min(CASE WHEN ts < TIMESTAMP '2024-01-10 00:00:00' THEN event_id END) END AS event_id FROM events GROUP BY 1, 2""")
+def _(i):
+    path = scratch_path(i.spark, "indexed")
+    events = i.table("events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    early = events.filter(F.col("ts") < F.expr("TIMESTAMP '2024-01-10 00:00:00'"))
+    for batch in (early, events, early):
+        sinks.append_indexed(batch, path, ["user_id", "event_type"], ["event_id"], slots=16)
+    return sinks.read_indexed(i.spark, path).select("user_id", "event_type", "event_id")
+
+
+@query("read_corpus", """
+    WITH n AS (SELECT fixture_id, count(*) AS n FROM corpus_entries GROUP BY 1)
+    SELECT ordinal, fixture_id, concat_ws(',', CASE WHEN n > 1 THEN 'duplicate_fixture_id' END,
+      CASE WHEN kind NOT IN ('clean_pdf', 'clean_image', 'tamper_ground_truth', 'negative_external') THEN 'kind' END,
+      CASE WHEN relative_path LIKE '/%' OR relative_path LIKE '../%' THEN 'relative_path' END, CASE WHEN length(sha256) <> 64 THEN 'sha256' END, CASE WHEN pages < 1 THEN 'pages' END,
+      CASE WHEN region AND x + 0.25 > 1 THEN 'ground_truth_invalid' END, CASE WHEN kind = 'tamper_ground_truth' AND NOT region THEN 'ground_truth_missing' END) AS errors
+    FROM corpus_entries JOIN n USING (fixture_id)""")
+def _(i):
+    path = scratch_path(i.spark, "corpus")
+    region = F.when(F.col("region"), F.array(G.rect(F.col("x"), F.lit(0.0), F.lit(0.25), F.lit(0.5)))).otherwise(F.array().cast(G.RECTS))
+    B.write_corpus(i.corpus_entries.withColumn("ground_truth_regions", region).drop("region", "x"), path)
+    back = B.read_corpus(i.spark, path, pieces=True)
+    return back.select("ordinal", "fixture_id", F.array_join("errors", ",").alias("errors"))

@@ -131,20 +131,21 @@ def _(i):
 @query("request_result_join", f"""
     WITH cut AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL '65' DAY AS c)
     SELECT o_orderkey AS job_id, {ts_sql('o_orderdate', 'requested_at')}, {ts_sql('l_shipdate', 'finished_at')}, l_returnflag AS outcome,
-      CASE WHEN l_shipdate IS NULL THEN 'missing' ELSE 'matched' END AS state
+      CASE WHEN l_shipdate IS NULL THEN 'missing' WHEN l_shipdate <= o_orderdate + INTERVAL '45' DAY THEN 'matched' ELSE 'late' END AS state
     FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber - 1 = o_orderkey % 4 AND l_shipdate >= o_orderdate
       AND l_shipdate <= o_orderdate + INTERVAL '60' DAY WHERE l_shipdate IS NOT NULL OR o_orderdate <= (SELECT c FROM cut)""")
 def _(i):
     requests = i.stream("orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 4).cast("int").alias("attempt"),
                                          F.col("o_orderdate").cast("timestamp").alias("requested_at"))
-    results = i.stream("lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") - 1).alias("attempt"),
+    results = i.stream("lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") - 1).cast("int").alias("attempt"),
                                           F.col("l_shipdate").cast("timestamp").alias("finished_at"), F.col("l_returnflag").alias("outcome"))
-    joined = drain(R.request_result_join(requests, results, "60 DAYS"), "results")
+    joined = drain(R.request_result_join(requests, results, "45 DAYS", grace="15 DAYS"), "results")
     # Requests without a result near the end of both streams are still waiting for it when the streams end.
     last = i.table("orders").agg(F.max("o_orderdate").cast("timestamp").alias("t")).unionAll(
-        i.table("lineitem").agg(F.max("l_shipdate").cast("timestamp"))).agg(F.min("t")).first()[0]
-    settled = F.col("requested_at") <= F.lit(last) - F.expr("INTERVAL '65' DAY")
-    return joined.filter(settled | F.col("finished_at").isNotNull()).select("job_id", ts("requested_at"), ts("finished_at"), "outcome", "state")
+        i.table("lineitem").agg(F.max("l_shipdate").cast("timestamp"))).agg(F.min("t"))
+    settled = F.col("requested_at") <= last.scalar() - F.expr("INTERVAL '65' DAY")
+    return joined.filter(settled | F.col("finished_at").isNotNull()).select(
+        "job_id", ts("requested_at"), ts("finished_at"), "outcome", "state")
 
 
 @query("audit_stream", """

@@ -130,16 +130,31 @@ def candidate_order(grid: DataFrame) -> list[str]:
 
 
 CORPUS_SCHEMA = (
-    "schema_version int, entries array<struct<fixture_id:string,kind:string,relative_path:string,sha256:string,pages:int,"
+    "schema_version int, begin bigint, entries array<struct<fixture_id:string,kind:string,relative_path:string,sha256:string,pages:int,"
     "ground_truth_regions:array<struct<x:double,y:double,width:double,height:double>>>>")
+#: Entries in one piece of a manifest.
+PIECE = 4096
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a corpus manifest with the rules each one breaks."""
+def write_corpus(sources: DataFrame, path: str, schema_version: int = 1) -> None:
+    """Sources (ordinal and the members of an entry) as a manifest in pieces: one JSON object a line, each with a run of entries.
+
+    ``begin`` is where a piece's run starts in the order of all. Ordinals count from 0 without gaps.
+    """
+    members = F.struct("ordinal", F.struct("fixture_id", "kind", "relative_path", "sha256", "pages", "ground_truth_regions").alias("e"))
+    runs = sources.groupBy((F.floor(F.col("ordinal") / PIECE) * PIECE).alias("begin")).agg(F.array_sort(F.collect_list(members), lambda a, b: F.signum(a["ordinal"] - b["ordinal"]).cast("int")).alias("m"))
+    runs.select(F.lit(schema_version).alias("schema_version"), "begin", F.transform("m", lambda m: m["e"]).alias("entries")).write.json(path)
+
+
+def read_corpus(spark: SparkSession, path: str, pieces: bool = False) -> DataFrame:
+    """Sources of a corpus manifest with the rules each one breaks.
+
+    A manifest is one JSON document, which one task reads, or, with ``pieces``, what ``write_corpus`` wrote, which many do.
+    """
     from copytrail.functions.geometry import rect_valid
 
-    entries = spark.read.schema(CORPUS_SCHEMA).option("multiLine", True).json(path).select(
-        F.posexplode("entries").alias("ordinal", "e")).select("ordinal", "e.*")
+    entries = spark.read.schema(CORPUS_SCHEMA).option("multiLine", not pieces).option("mode", "FAILFAST").json(path).select(
+        F.coalesce("begin", F.lit(0)).alias("begin"), F.posexplode("entries").alias("place", "e")).select((F.col("begin") + F.col("place")).alias("ordinal"), "e.*")
     repeated = entries.groupBy("fixture_id").agg(F.count("*").alias("_n"))
     rows = entries.join(repeated, "fixture_id", "left")
     truth = F.coalesce("ground_truth_regions", F.array().cast("array<struct<x:double,y:double,width:double,height:double>>"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from copytrail.functions.evidence import redact_metadata
+from copytrail.session import materialize
 
 
 def _canonical(df: DataFrame) -> DataFrame:
@@ -68,3 +69,27 @@ def append_once_batches(path: str, keys: Sequence[str], order: Sequence[str]):
         append_once(batch, path, keys, order)
 
     return write
+
+
+SLOT = "_slot"
+
+
+def append_indexed(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], slots: int = 256) -> None:
+    """``append_once`` into a store that is cut by a hash of the key: only the slots that the new rows' keys fall into are read.
+
+    A replayed or small batch costs its own slots, not the keys of the whole store. The first row of each key by ``order`` is
+    kept. A store keeps the number of slots it was begun with: ``slots`` must not change. At most ``slots`` small numbers reach the driver.
+    """
+    slotted = rows.withColumn(SLOT, F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int"))
+    own = [SLOT, *keys]
+    firsts = materialize(new_rows(slotted, None, own, order), "once")
+    stored = _existing(slotted, path)
+    if stored is not None:
+        touched = [r[0] for r in firsts.select(SLOT).distinct().collect()]
+        firsts = firsts.join(stored.filter(F.col(SLOT).isin(touched)).select(*own), own, "left_anti")
+    firsts.repartition(SLOT).write.mode("append").partitionBy(SLOT).parquet(path)
+
+
+def read_indexed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of such a store, without the slot."""
+    return spark.read.parquet(path).drop(SLOT)

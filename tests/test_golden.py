@@ -95,6 +95,15 @@ def test_read_corpus_names_broken_rules(spark, tmp_path):
     assert found == {("a", ()), ("b", ("pages",)), ("c", ("ground_truth_missing",)), ("d", ("kind", "relative_path")), ("e", ("duplicate_fixture_id",))}
 
 
+def test_corpus_in_pieces_keeps_its_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "PIECE", 3)
+    rows = spark.createDataFrame([(k, f"f{k}", "clean_pdf", "a", "0" * 64, 1, []) for k in range(10)],
+                                 "ordinal long, fixture_id string, kind string, relative_path string, sha256 string, pages int, ground_truth_regions array<struct<x:double,y:double,width:double,height:double>>")
+    B.write_corpus(rows, str(tmp_path / "c"))
+    back = B.read_corpus(spark, str(tmp_path / "c"), pieces=True).collect()
+    assert {(r.ordinal, r.fixture_id, tuple(r.errors)) for r in back} == {(k, f"f{k}", ()) for k in range(10)}
+
+
 def test_transition_matrix(spark):
     states = list(C.JOB_EDGES)
     requests = spark.createDataFrame([(s, t, a) for s in states for t in states for a in (0, 2, 3)], "status string, target string, attempt int")

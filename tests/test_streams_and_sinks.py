@@ -91,6 +91,39 @@ def test_request_without_result_is_missing(spark, tmp_path):
     assert found[1] == "matched" and found[2] == "missing"
 
 
+def test_result_within_the_grace_is_late(spark, tmp_path):
+    asked = batches(spark, tmp_path / "a", [[(k, 0, at(0)) for k in range(4)] + [(9, 0, at(900))]], "job_id bigint, attempt int, requested_at timestamp")
+    given = batches(spark, tmp_path / "b", [[(0, 0, at(30), "ok"), (1, 0, at(31), "ok"), (2, 0, at(40), "ok"), (3, 0, at(41), "ok"), (9, 1, at(900), "ok")]],
+                    "job_id bigint, attempt int, finished_at timestamp, outcome string")
+    found = {r.job_id: r.state for r in drain(R.request_result_join(asked, given, "30 MINUTES", grace="10 MINUTES"), "t").collect()}
+    assert {k: found[k] for k in range(4)} == {0: "matched", 1: "late", 2: "late", 3: "missing"}
+
+
+def test_append_indexed_reads_only_touched_slots(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(200).selectExpr("int(id) AS k", "concat('v', id) AS v")
+    sinks.append_indexed(rows, path, ["k"], ["v"], slots=64)
+    before = {p for p in (tmp_path / "t").rglob("*.parquet")}
+    sinks.append_indexed(rows, path, ["k"], ["v"], slots=64)
+    assert {p for p in (tmp_path / "t").rglob("*.parquet")} == before  # a replay writes nothing
+    extra = spark.createDataFrame([(7, "other"), (1000, "b"), (1000, "a"), (None, "n"), (None, "m")], "k int, v string")
+    one = extra.filter("k = 1000").withColumn("s", F.expr("pmod(xxhash64(k), 64)")).first().s
+    for folder in (tmp_path / "t").iterdir():  # slots that the next rows do not touch are not even opened
+        if folder.is_dir() and folder.name != f"_slot={one}":
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"broken")
+    sinks.append_indexed(extra.filter("k = 1000"), path, ["k"], ["v"], slots=64)
+    stored = spark.read.schema("k int, v string, _slot int").parquet(path).filter(F.col("_slot") == one).select("k", "v").collect()
+    assert ("a",) in {(r.v,) for r in stored if r.k == 1000} and len([r for r in stored if r.k == 1000]) == 1
+
+
+def test_append_indexed_keeps_the_first_row_of_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", "x"), (1, "a", "y"), (2, "c", None)], "k int, v string, w string")
+    for _ in range(2):
+        sinks.append_indexed(rows, str(tmp_path / "t"), ["k"], ["v"], slots=4)
+    assert sorted(map(tuple, sinks.read_indexed(spark, str(tmp_path / "t")).select("k", "v", "w").collect())) == [(1, "a", "y"), (2, "c", None)]
+
+
 def test_append_once_ignores_replays(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
