@@ -85,3 +85,15 @@ def payload_check(frame: Column) -> Column:
     raw = F.lower(F.hex(F.substring(frame, 4, 16)))
     text = F.concat_ws("-", *[F.substring(raw, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.struct(reason.alias("reason"), F.when(reason.isNull(), text).alias("issuance_id"))
+
+
+def double_hex(value: Column) -> Column:
+    """The 16 hex digits of a finite double as it lies in memory, sign first; null for one that is not finite or subnormal."""
+    size = F.when(~F.isnan(value) & (F.abs(value) >= 2.0 ** -1022) & (F.abs(value) < float("inf")), F.abs(value))
+    guess = F.floor(F.log2(size)).cast("int")
+    # The logarithm may be off by one next to a power of two; scaling by powers of two is exact.
+    power = guess + F.when(size / F.pow(F.lit(2.0), guess) >= 2, 1).when(size / F.pow(F.lit(2.0), guess) < 1, -1).otherwise(0)
+    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0 ** 52)).cast("long")
+    bits = F.shiftleft((power + 1023).cast("long"), 52).bitwiseOR(fraction)
+    digits = F.lower(F.lpad(F.hex(F.when(value < 0, bits.bitwiseOR(F.lit(-2**63).cast("long"))).otherwise(bits)), 16, "0"))
+    return F.when(value == 0, "0" * 16).otherwise(digits)

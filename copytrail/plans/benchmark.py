@@ -11,7 +11,7 @@ import json
 import struct
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from copytrail.functions import ids
@@ -125,6 +125,40 @@ def _candidate_id(version: int, text: Column) -> Column:
     return F.lower(F.concat(F.lit(K.CANDIDATE_TAG.hex() + "00000001"), F.element_at(doubles, F.get_json_object(text, "$.qim_delta")), *fields))
 
 
+GRID_SCHEMA = (
+    "schema_version int, fixed struct<tiles_per_page:int,bit_replication:int,payload_codeword_bytes:int>, "
+    "coupled_levels array<struct<qim_delta:double,pilot_strength_rms:double>>, sweep struct<tile_size_px:array<int>,payload_repetitions:array<int>>")
+#: Pixels of a tile's side per carrier, and bits that each carrier holds.
+CARRIER_PX, CARRIER_BITS = 16, 2
+
+
+def read_candidate_grid(spark: SparkSession, path: str, tag: bytes = K.GRID_TAG) -> DataFrame:
+    """Candidates of a caller's contract file: coupled levels x tile sizes x repetitions, in that order, with their identities.
+
+    candidate_id is hex: the tag, the SHA-256 of the file's bytes, the schema version, two doubles and four integers, most
+    significant byte first. ``errors`` names what a candidate breaks: ``capacity`` (its tile cannot hold the codeword),
+    ``identity`` (a member is missing or no number) or ``duplicate``. A file that is no such object gives no candidates.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("contract_sha256"), F.from_json(F.decode("content", "UTF-8"), GRID_SCHEMA).alias("g"))
+    grid = files.select("contract_sha256", "g.schema_version", "g.fixed.*", "g.sweep", F.posexplode("g.coupled_levels").alias("_l", "level"))
+    grid = grid.select("*", F.posexplode("sweep.tile_size_px").alias("_t", "tile_size_px"))
+    grid = grid.select("*", F.posexplode("sweep.payload_repetitions").alias("_r", "payload_repetitions"))
+    tiles, rounds = F.size("sweep.tile_size_px"), F.size("sweep.payload_repetitions")
+
+    def word(column: str) -> Column:
+        return F.lower(F.lpad(F.hex(F.col(column)), 8, "0"))
+
+    identity = F.concat(F.lit(tag.hex()), "contract_sha256", word("schema_version"), ids.double_hex(F.col("level.qim_delta")), ids.double_hex(F.col("level.pilot_strength_rms")),
+                        word("tile_size_px"), word("tiles_per_page"), word("payload_repetitions"), word("bit_replication"))
+    named = grid.select(((F.col("_l") * tiles + F.col("_t")) * rounds + F.col("_r")).alias("ordinal"), "contract_sha256", "level.*", "tile_size_px", "tiles_per_page",
+                        "payload_repetitions", "bit_replication", "payload_codeword_bytes", identity.alias("candidate_id"))
+    side = F.floor(F.col("tile_size_px") / CARRIER_PX)
+    same = F.count("*").over(Window.partitionBy("contract_sha256", "candidate_id"))  # a contract holds a few dozen candidates
+    errors = codes(("capacity", side * side * CARRIER_BITS < F.col("payload_codeword_bytes") * 8 * F.col("bit_replication")),
+                   ("identity", F.col("candidate_id").isNull()), ("duplicate", F.col("candidate_id").isNotNull() & (same > 1)))
+    return named.withColumn("errors", errors).drop("payload_codeword_bytes")
+
+
 def candidate_order(grid: DataFrame) -> list[str]:
     return [r.profile_sha256 for r in sorted(contract_rows(grid), key=lambda r: r.ordinal)]
 

@@ -74,3 +74,5 @@ SMOKE_SOURCE = "image-clean-noise"
 
 # First bytes of a version-1 candidate identity (fixed value).
 CANDIDATE_TAG = b"SBFP\x01"
+# The same for identities that hold their contract file's digest (fixed value).
+GRID_TAG = b"SBF2\x01"
